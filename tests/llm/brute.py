@@ -56,3 +56,38 @@ def substring(rows, width=13):
             if owner[tuple(w[a : a + width])] < i:
                 gone[a : a + width] = [True] * width
         yield i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))
+
+
+def lines(rows, least=10):
+    strip = " \t\n\x0b\x0c\r"
+    lower = {c: c + 32 for c in range(65, 91)}
+    first = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            k = x.strip(strip).translate(lower)
+            first[k] = min(first.get(k, i), i)
+    for i, t in rows:
+        own = (t or "").split("\n")
+        keys = [x.strip(strip).translate(lower) for x in own]
+        kept = [x for x, k in zip(own, keys) if len(k) < least or first[k] == i]
+        yield i, len(own), len(own) - len(kept), sha("\n".join(kept))
+
+
+def leaks(rows, items, width=10):
+    lower = {c: c + 32 for c in range(65, 91)}
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+
+    for i, t in rows:
+        w = split(t)
+        hit, found = set(), set()
+        for item, text in items:
+            v = split(text)
+            n = min(width, len(v))
+            for a in range(len(v) - n + 1 if v else 0):
+                for b in range(len(w) - n + 1):
+                    if w[b : b + n] == v[a : a + n]:
+                        hit |= set(range(b, b + n))
+                        found.add(str(item))
+        yield i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
