@@ -46,11 +46,11 @@ def places(doc: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
     starts = runs(doc)
     gaps = np.diff(at, prepend=0)
     gaps[starts] = at[starts]
-    return pack(doc[starts].astype(np.int64)), pack(np.diff(np.r_[starts, len(doc)]).astype(np.uint32)), pack(gaps.astype(np.uint32))
+    return pack(doc[starts].astype(np.int64)), pack(np.diff(np.r_[starts, len(doc)]).astype(np.uint32)), pack(gaps.astype(np.uint64))
 
 
 def unpack_places(ids: bytes, counts: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts, gaps = unpack(ids, np.int64), unpack(counts, np.uint32).astype(np.int64), unpack(gaps, np.uint32).astype(np.int64)
+    ids, counts, gaps = unpack(ids, np.int64), unpack(counts, np.uint32).astype(np.int64), unpack(gaps, np.uint64).astype(np.int64)
     total, starts = np.cumsum(gaps), np.cumsum(counts) - counts
     return np.repeat(ids, counts), total - np.repeat(total[starts] - gaps[starts], counts)
 

@@ -91,3 +91,20 @@ def leaks(rows, items, width=10):
                         hit |= set(range(b, b + n))
                         found.add(str(item))
         yield i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+def byte_strings(rows, width=50):
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for a in range(len(b) - width + 1):
+            k = b[a : a + width]
+            first[k] = min(first.get(k, i), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for a in range(len(b) - width + 1):
+            if first[b[a : a + width]] < i:
+                gone[a : a + width] = b"\1" * width
+        runs = len(re.findall(rb"\x01+", bytes(gone)))
+        yield i, len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g))
