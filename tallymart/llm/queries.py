@@ -29,6 +29,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import minhash_dedup
+
+    return minhash_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import suffix_dedup
 
@@ -44,5 +50,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_suffix_dedup, op6_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op6_packing, op10_decontamination)}
 ORACLE: dict[str, str] = {}

@@ -108,3 +108,25 @@ def byte_strings(rows, width=50):
                 gone[a : a + width] = b"\1" * width
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         yield i, len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g))
+
+
+def near(rows, size=3, percent=85):
+    lower = {c: c + 32 for c in range(65, 91)}
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(lower))
+        sets.append({tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set())
+    of = {i: i for i, _ in rows}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(rows[a][0]), find(rows[b][0])))
+                of[y] = x
+    return [(i, len(s), find(i), find(i) == i) for (i, _), s in zip(rows, sets)]
