@@ -86,3 +86,20 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(edge, np.minimum(starts, n), 1)
     np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge)[:n] > 0
+
+
+def map_texts(docs: DataFrame, run, schema: str, extra: list[str] | None = None, also: list[str] | None = None) -> DataFrame:
+    """mapInArrow over doc_id, text and the columns `also`, with columns that are handed on.
+
+    run(batches) yields (slice of its input, record batch of as many rows);
+    columns `extra` of the slice follow those of the batch, doc_id only once.
+    """
+    extra = [c for c in extra or [] if c != "doc_id"]
+
+    def carry(batches):
+        for block, out in run(batches):
+            yield pa.RecordBatch.from_arrays([*out.columns, *(block.column(c) for c in extra)], names=[*out.schema.names, *extra])
+
+    chosen = dict.fromkeys(["doc_id", "text", *(also or []), *extra])
+    kinds = [schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)]
+    return docs.select(*chosen).mapInArrow(carry, ", ".join(kinds))

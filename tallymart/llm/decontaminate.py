@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, strings
+from .common import blocks, map_texts, strings
 
 #: Bytes of item text in one automaton; its nodes take up to about 300 bytes for each.
 BLOCK_OF_ITEMS = 256 << 10
@@ -52,7 +52,7 @@ def original_runs(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(low[a]), "end": int(high[b])} for a, b in zip(hit[begins], hit[ends])]
 
 
-def scan(docs: DataFrame, found: dict[str, list[str]], first: bool, last: bool, text: bool) -> DataFrame:
+def scan(docs: DataFrame, found: dict[str, list[str]], first: bool, last: bool, extra: list[str]) -> DataFrame:
     """One automaton over the texts. All but the last hand on the text and what has been found so far."""
     sent = docs.sparkSession.sparkContext.broadcast(list(found.items()))
     built = {}
@@ -93,22 +93,20 @@ def scan(docs: DataFrame, found: dict[str, list[str]], first: bool, last: bool,
                 columns |= {"n_hit": pa.array(map(len, hits), pa.int64()), "hits": pa.array([original_runs(t, h) for t, h in zip(texts, hits)], SPAN), "contaminated": pa.array([len(h) > 0 for h in hits], pa.bool_())}
             else:
                 columns["words"] = pa.array([h.tobytes() for h in hits], pa.binary())
-            if text or not last:
-                columns["text"] = block.column("text")
-            yield pa.RecordBatch.from_pydict(columns)
+            yield block, pa.RecordBatch.from_pydict(columns)
 
-    kinds = "doc_id long, n_words long, items array<string>" + (", n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean" if last else ", words binary") + ", text string" * (text or not last)
-    return docs.mapInArrow(run, kinds)
+    kinds = "doc_id long, n_words long, items array<string>" + (", n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean" if last else ", words binary")
+    return map_texts(docs, run, kinds, extra, [] if first else ["words", "items"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, extra: list[str] | None = None) -> DataFrame:
     """Find every window of `width` words of any benchmark item in the documents.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
     lower-cased; an item with fewer words is one window. Returns doc_id,
     n_words, n_hit (words inside an occurrence), items (item_ids, sorted as
     strings), hits (maximal runs of hit words as code point offsets [start,
-    end) in the original text), contaminated and, with `text`, the text.
+    end) in the original text) and contaminated. `extra` columns of docs are carried along.
 
     Null and empty texts have no words. Items with a null item_id or text, or
     no words, find nothing; an empty benchmark finds nothing. Repeated rows
@@ -118,8 +116,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     item text, each broadcast; the text passes through all of them in one
     stage, without a shuffle.
     """
-    out = docs.select("doc_id", "text")
+    extra = [c for c in extra or [] if c != "doc_id"]
+    names = [f"extra_{i}" for i in range(len(extra))]
+    out = docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(extra, names)))
     found = item_blocks(benchmark, width) or [{}]
     for n, block in enumerate(found):
-        out = scan(out, block, n == 0, n == len(found) - 1, text)
-    return out
+        last = n == len(found) - 1
+        out = scan(out, block, n == 0, last, names if last else ["text", *names])
+    return out.select("doc_id", "n_words", "n_hit", "items", "hits", "contaminated", *(F.col(n).alias(c) for c, n in zip(extra, names)))

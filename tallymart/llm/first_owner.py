@@ -127,11 +127,12 @@ def replies(asked: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, REPLY_SQL)
 
 
-def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: str, block: int = BLOCK) -> DataFrame:
-    """Bring documents and their places together. make(doc ids, texts as bytes or None, places by number) gives a record batch."""
+def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: str, extra: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """Bring documents and their places together. make(doc ids, texts as bytes or None, places by number) gives columns; `extra` columns of docs follow them."""
     nothing = [F.lit(None).cast("binary").alias(n) for n in ("ids", "counts", "gaps")]
-    left = docs.select(part_of(F.col("doc_id"), parts).alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing)
-    right = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "gaps")
+    left = docs.select(part_of(F.col("doc_id"), parts).alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing, *(F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra or [])))
+    right = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "gaps", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"extra_{i}") for i, c in enumerate(extra or [])))
+    schema = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra or [])])
     empty = np.zeros(0, np.int64)
 
     def run(batches):
@@ -155,6 +156,8 @@ def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: s
                 ids = piece.column("doc_id").to_pylist()
                 own = np.searchsorted(known, [i if i is not None else 0 for i in ids])
                 gone = [marks[k] if i is not None and k < len(known) and known[k] == i else empty for i, k in zip(ids, own)]
-                yield make(ids, strings(piece.column("text")), gone)
+                columns = make(ids, strings(piece.column("text")), gone)
+                columns |= {c: piece.column(f"extra_{i}") for i, c in enumerate(extra or [])}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return left.unionByName(right).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)

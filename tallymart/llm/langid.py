@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, strings
+from .common import blocks, map_texts, strings
 from .hashing import mix
 
 BUCKETS, WIDTH, GRAMS = 1 << 13, 16, (2, 3, 4)
@@ -175,7 +175,7 @@ class Reader:
         return sums / np.maximum(n, 1)[:, None], n
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, extra: list[str] | None = None) -> DataFrame:
     """Predictions for all rows; the model has a fixed size and is broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     ready = {}
@@ -193,12 +193,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang = [model.languages[i] if k else "und" for i, k in zip(p.argmax(1), n)]
                 score = np.where(n > 0, p.max(1), 0.0)
                 accepted = (n > 0) & (score >= model.least)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(lang), pa.array(score, pa.float64()), pa.array(accepted)], names=["doc_id", "lang_pred", "score", "accepted"])
+            yield block, pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), pa.array(lang), pa.array(score, pa.float64()), pa.array(accepted)], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return map_texts(docs, run, "doc_id long, lang_pred string, score double, accepted boolean", extra)
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = PER_LANGUAGE, extra: list[str] | None = None) -> DataFrame:
     """The language of every whole text, by a model that learns from `learn_from` (doc_id, text, lang).
 
     Returns doc_id, lang_pred (a learned language, or `und` for a null text or
@@ -208,9 +208,10 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = PER_LAN
     Nothing but the text is an input of a prediction. Rows with a null doc_id
     or repeated ones are predicted like others. Without any labelled text,
     every row is `und`. At most about `per_language` documents of a language
-    are learned from, chosen by a hash of the id; all rows are predicted.
+    are learned from, chosen by a hash of the id; all rows are predicted. `extra` columns
+    of docs are carried along.
     """
-    return predict(docs, learn(learn_from, per_language))
+    return predict(docs, learn(learn_from, per_language), extra)
 
 
 def held_out(doc_id="doc_id"):

@@ -72,9 +72,6 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
                 removed.append([])
             kept.append(b" ".join(words))
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc_id", "n_words", "n_removed", "removed", "kept"],
-        )
+        return {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(removed, span), "kept": pa.array(kept, pa.binary()).cast(pa.string())}
 
     return owner.with_places(docs, answers, parts, make, OUT)
