@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from .base import ORACLE, QUERIES  # noqa: F401
+from . import catalog, events, search  # noqa: F401  (each registers its queries)
