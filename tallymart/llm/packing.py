@@ -15,62 +15,108 @@ from .common import blocks, cut, ranges, strings
 LENGTH = 2048
 #: Pieces packed together in one task; each such group leaves at most a bin or two underfull.
 GROUP = 40_000
-#: Words kept with their ids per Python worker.
-REMEMBERED = 400_000
-MARK = "<|endoftext|>"
+#: Words, and parts of words, kept with their ids per Python worker.
+REMEMBERED = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: How this tokenizer file splits lower-cased text before it merges.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters only are split here: none of them composes or changes length in lower case.
+SIMPLE = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"
+
+
+class Store:
+    """Runs of ids under a number each."""
+
+    def __init__(self):
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.n = self.used = 0
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        n, at = self.n, self.used
+        while n + len(lengths) > len(self.starts):
+            self.starts, self.lengths = np.r_[self.starts, self.starts * 0], np.r_[self.lengths, self.lengths * 0]
+        while at + len(values) > len(self.flat):
+            self.flat = np.r_[self.flat, self.flat * 0]
+        self.flat[at : at + len(values)] = values
+        self.starts[n : n + len(lengths)] = at + np.cumsum(lengths) - lengths
+        self.lengths[n : n + len(lengths)] = lengths
+        self.n, self.used = n + len(lengths), at + len(values)
+
+    def get(self, own: np.ndarray) -> np.ndarray:
+        return self.flat[ranges(self.starts[own], self.lengths[own])]
 
 
 class WordIds:
     """Token ids of white-space-separated words.
 
-    The tokenizer never joins anything over white space, so a text's ids are
-    the ids of its words one after another, and each word is encoded once.
-    New words go to the tokenizer together, with a special token between them.
+    The tokenizer never joins anything over white space, nor over the parts
+    (letters, digits, signs) that it splits a word into, so ids of a text are
+    those of its words' parts one after another. Each part is encoded once, many together;
+    words of rarer scripts go through the tokenizer whole. When too many words
+    are known, the half that came least often is forgotten.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {b"\n": 0}  # a document's end, id 0
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 1
-        self.lengths[0] = 1
+        self.parts, self.simple = regex.compile(PARTS), regex.compile(SIMPLE)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.word_ids = {b"\n": 0}, Store()  # a document's end, id 0
+        self.word_ids.add(np.zeros(1, np.uint32), np.ones(1, np.int64))
+        self.part, self.part_ids = {}, Store()
+        self.met = np.zeros(1 << 16, np.int64)
+
+    def add_parts(self, parts: list[str]) -> None:
+        for first in range(0, len(parts), 2000):
+            coded = self.tokenizer.encode_batch_fast([" ".join(parts[first : first + 2000])], add_special_tokens=False)[0]
+            ids = np.array(coded.ids, np.uint32)
+            self.part_ids.add(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+        self.part.update(zip(parts, range(len(self.part), len(self.part) + len(parts))))
 
     def add(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        odd = [w for w in words if b"<|" in w]
-        ids = [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in odd]
-        for first in range(0, len(plain), 2000):
-            some = plain[first : first + 2000]
-            coded = np.array(self.tokenizer.encode(f" {MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, np.uint32)
-            marks = np.flatnonzero(coded == self.mark)
-            ids += [x[x != self.mark] for x in np.split(coded, marks)]
-        values = np.concatenate(ids)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        n, at = len(self.number), self.used
-        while n + len(ids) > len(self.starts):
-            self.starts, self.lengths = np.r_[self.starts, self.starts * 0], np.r_[self.lengths, self.lengths * 0]
-        while at + len(values) > len(self.flat):
-            self.flat = np.r_[self.flat, self.flat * 0]
-        self.flat[at : at + len(values)] = values
-        self.starts[n : n + len(ids)] = at + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(ids)] = lengths
-        self.used += len(values)
-        self.number.update(zip(odd + plain, range(n, n + len(ids))))
+        texts = [w.decode() for w in words]
+        plain = [bool(self.simple.fullmatch(t)) and "<|" not in t for t in texts]
+        split = [self.parts.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
+        flat = [x for own in split for x in own]
+        if len(self.part) + len(set(flat)) > REMEMBERED:
+            self.part, self.part_ids = {}, Store()
+        if new := list(set(flat).difference(self.part)):
+            self.add_parts(new)
+        own = np.fromiter(map(self.part.__getitem__, flat), np.int64, len(flat))
+        word = np.repeat(np.arange(len(words)), [len(x) for x in split])
+        lengths = np.bincount(word, self.part_ids.lengths[own], len(words)).astype(np.int64)
+        values = self.part_ids.get(own)
+        if not all(plain):
+            runs = np.split(values, np.cumsum(lengths)[:-1])
+            runs = [r if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for r, p, t in zip(runs, plain, texts)]
+            values, lengths = np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
+        self.words.update(zip(words, range(self.word_ids.n, self.word_ids.n + len(words))))
+        self.word_ids.add(values, lengths)
+
+    def forget(self) -> None:
+        names = list(self.words)
+        keep = np.sort(np.argsort(-self.met[1 : len(names)], kind="stable")[: len(names) // 2] + 1)
+        keep = np.r_[0, keep]
+        old, self.word_ids = self.word_ids, Store()
+        self.word_ids.add(old.get(keep), old.lengths[keep])
+        self.words = {names[k]: n for n, k in enumerate(keep)}
+        self.met[:] = 0
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many of them each word has."""
-        if len(self.number) > REMEMBERED:
-            self.clear()
-        if new := set(words).difference(self.number):
+        if len(self.words) > REMEMBERED:
+            self.forget()
+        if new := set(words).difference(self.words):
             self.add(list(new))
-        own = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        return self.flat[ranges(self.starts[own], self.lengths[own])], self.lengths[own]
+        own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        while len(self.met) < len(self.words):
+            self.met = np.r_[self.met, self.met * 0]
+        self.met += np.bincount(own, minlength=len(self.met))
+        return self.word_ids.get(own), self.word_ids.lengths[own]
 
 
 _coders: dict[str, WordIds] = {}

@@ -61,3 +61,18 @@ def test_an_exchange_empties_a_bin():
     sizes = np.array([6, 3, 5, 4, 2])
     out = local_search(sizes, np.array([0, 0, 1, 1, 2]), [1, 1, 8], 10)
     assert len(set(out.tolist())) <= 3 and np.bincount(out, sizes).max() <= 10
+
+
+def test_words_are_encoded_as_the_tokenizer_encodes_whole_texts(monkeypatch):
+    import random
+
+    from tallymart.llm import packing
+
+    r = random.Random(3)
+    tokenizer, coder = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    letters = [*map(chr, range(33, 127)), *map(chr, range(0x80, 0x250)), "\u0301", "Σ", "漢", "字", "ﬁ", "\u2028", "🙂", "٣", "<|endoftext|>"]
+    monkeypatch.setattr(packing, "REMEMBERED", 400)
+    for _ in range(150):
+        common = ["the", "It's", "we'LL", "don't.", "1234", "(a|b)", "''s"]
+        text = " ".join(r.choice(common) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(20))
+        assert coder.encode(text.encode().split())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
