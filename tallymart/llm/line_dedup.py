@@ -39,9 +39,9 @@ def line_rows(docs: DataFrame, least: int, slices: int) -> DataFrame:
                         found.append(xxhash.xxh3_128_digest(key))
             pair = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
             h, g, doc = pair[:, 0].copy(), pair[:, 1].copy(), np.array(doc, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((h // np.uint64(width)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(np.array(at, np.int64)), pa.array(owner.later(h ^ g, doc))], schema=ROW
-            )
+            known = owner.later(h ^ g, doc)  # decided already: they go anywhere, not to the task of a hot key
+            to = np.where(known, doc % slices, (h // np.uint64(width)).astype(np.int64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(np.array(at, np.int64)), pa.array(known)], schema=ROW)
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, ROW_SQL)
 
@@ -67,24 +67,24 @@ def dropped(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition("slice").sortWithinPartitions("h", "g", "doc_id", "line").mapInArrow(run, owner.REPLY_SQL)
 
 
-def line_dedup(docs: DataFrame, least: int = 10, text: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list[str] | None = None) -> DataFrame:
     """Drop repeated lines from all documents but the one with the smallest doc_id that holds them.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased;
     keys under `least` code points always stay. Returns doc_id, n_lines,
     n_dropped and keep: a zlib-compressed bitmap with a bit per line, highest
-    bit first. With `text`, also kept: the lines left, joined by newlines.
+    bit first. With `text`, also kept: the lines left, joined by newlines. `extra`
+    columns of docs are carried along.
 
     Null and empty texts are one empty line, which stays. A row with a null
     doc_id keeps all lines and takes none from others. Rows that repeat a
-    doc_id are each returned and do not drop each other's lines. Other columns
-    of `docs` are ignored. Keys are compared by 128 hash bits.
+    doc_id are each returned and do not drop each other's lines. Other columns of
+    `docs` are ignored. Keys are compared by 128 hash bits.
 
     Hashes are dealt by equal ranges of their (uniform) value, so no sampling
     pass is needed to find the ranges, and sorted within a slice by document
     and place; a key's rows stream by with one document number as state.
     """
-    docs = docs.select("doc_id", "text")
     size = text_bytes(docs)
     slices, parts = max(64, math.ceil(size / (4 << 20))), max(48, math.ceil(size / (4 << 20)))
     answers = dropped(line_rows(docs, least, slices), parts)
@@ -100,10 +100,7 @@ def line_dedup(docs: DataFrame, least: int = 10, text: bool = False) -> DataFram
             bitmaps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             if text:
                 kept.append(b"\n".join([x for x, k in zip(lines, keep.tolist()) if k]) if len(out) else value or b"")
-        columns = [pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(bitmaps, pa.binary())]
-        names = ["doc_id", "n_lines", "n_dropped", "keep"]
-        if text:
-            columns, names = columns + [pa.array(kept, pa.binary()).cast(pa.string())], names + ["kept"]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        columns = {"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "keep": pa.array(bitmaps, pa.binary())}
+        return columns | ({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if text else {})
 
-    return owner.with_places(docs, answers, parts, make, "doc_id long, n_lines long, n_dropped long, keep binary" + ", kept string" * text)
+    return owner.with_places(docs, answers, parts, make, "doc_id long, n_lines long, n_dropped long, keep binary" + ", kept string" * text, extra)
