@@ -118,12 +118,12 @@ def price_sort(ranked: DataFrame) -> DataFrame:
     price = F.when(F.col("direction") == "cheap", F.col("price")).when(F.col("direction") == "expensive", -F.col("price"))
     shelf = F.when(F.col("direction").isNotNull() & F.col("main").isNotNull() & ~F.col("category").eqNullSafe(F.col("main")), 1).otherwise(0)
     missing = F.when(F.col("direction").isNotNull() & F.col("price").isNull(), 1).otherwise(0)
-    return kept.join(main, "query_id", "left").withColumn("price_rank", F.row_number().over(w.orderBy(shelf, missing, price, "rank"))).drop("main")
+    return kept.join(main, "query_id", "left").withColumn("price_rank", F.row_number().over(w.orderBy(shelf, missing, price, "rank", "product_id"))).drop("main")
 
 
 def dominant_category(ranked: DataFrame) -> DataFrame:
     """(query_id, dominant): the commonest category if it has at least max(3, n div 2) rows; the first seen wins ties."""
     n = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
     counts = ranked.where("category is not null").groupBy("query_id", "category").agg(F.count("*").alias("c"), F.min("rank").alias("first"))
-    best = counts.withColumn("o", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "first"))).where("o = 1")
+    best = counts.withColumn("o", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "first", "category"))).where("o = 1")
     return n.join(best, "query_id", "left").select("query_id", F.when(F.col("c") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2)), F.col("category")).alias("dominant"))

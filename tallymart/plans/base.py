@@ -46,13 +46,17 @@ def rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RATES, "currency string, rate double")
 
 
+def line_id():
+    return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+
+
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as purchases: id, user_id, product_id, purchased_at, cycle_days (explicit for every fifth)."""
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.col("o_orderdate").alias("purchased_at"), F.expr("CASE WHEN l_orderkey % 5 = 0 THEN 45 END").alias("cycle_days"))
+    return lines.select(line_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.col("o_orderdate").alias("purchased_at"), F.expr("CASE WHEN l_orderkey % 5 = 0 THEN 45 END").alias("cycle_days"))
 
 
-PUR = """pur AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user_id, l_partkey AS product_id, o_orderdate AS purchased_at,
+PUR = """pur AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 1000 + l_suppkey AS id, o_custkey AS user_id, l_partkey AS product_id, o_orderdate AS purchased_at,
  CASE WHEN l_orderkey % 5 = 0 THEN 45 END AS cycle_days FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 

@@ -108,8 +108,8 @@ def i5_case_counts(spark, sf_dir):
     return ev.case_counts(cases)
 
 
-DOTS = """v AS (SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS x FROM embeddings),
- n AS (SELECT vec_id, label, list_transform(x, c -> c / sqrt(list_sum(list_transform(x, d -> d * d)))) AS x FROM v),
+DOTS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+ n AS (SELECT vec_id, label, list_transform(x, lambda c: c / sqrt(list_sum(list_transform(x, lambda d: d * d)))) AS x FROM v),
  p AS (SELECT a.vec_id AS query_id, b.vec_id AS product_id, round(list_dot_product(a.x, b.x), 6) AS score, a.label AS ql, b.label AS vl FROM n a, n b WHERE a.vec_id % 20 = 0),
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM p)"""
 
