@@ -1,10 +1,11 @@
 """Operator 3, MinHash near-dedup: hash minima, banding, verification, components.
 
 Copies with equal shingle sets collapse to one representative first. Within a
-band's bucket only links to a centre are tried (the least id, then a random
-one); what a bucket still holds in different components is then
-compared across these components. So a bucket of many near copies costs a test per member,
-not one per pair, and no link that changes a component is lost.
+band's bucket only links to a centre are tried: the least id, then the member
+that shares most buckets with others. Members that are then still in other components than
+their bucket's largest one are compared with the bucket in blocks inside the tasks,
+by signatures first, then by full sets; only verified links leave them. So a bucket of many
+near copies costs a test per member, and no link that changes a component is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .hashing import lower_ascii, mix, window_hashes, word_hashes, word_spans
 BANDS, ROWS = 26, 5
 #: Members compared with one copy of a centre in one run of rows.
 SALTED = 512
+#: Members of a bucket, at most about, on either side of a block.
+BLOCK = 2048
 FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
 
 
@@ -89,7 +92,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 def alike(pairs: DataFrame, signatures: DataFrame, similarity: float, n: int) -> DataFrame:
     """Signature verification: pairs (a, b) whose minima agree in about `similarity` of all, five standard deviations allowed."""
-    floor = similarity - 5 * (similarity * (1 - similarity) / n) ** 0.5
+    floor = floor_of(similarity, n)
     left = signatures.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
     right = signatures.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
 
@@ -150,31 +153,139 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def floor_of(similarity: float, n: int) -> float:
+    """Share of n minima that a pair of this similarity reaches but for five standard deviations."""
+    return similarity - 5 * (similarity * (1 - similarity) / n) ** 0.5
+
+
+def in_blocks(mixed: DataFrame, run, schema: str, payload: list[str]) -> DataFrame:
+    """Meet the members of each bucket (band, h; b, c and payload) that are not in its largest component with all members.
+
+    run(others, members) gets record batches of at most about BLOCK rows each.
+    """
+    kinds = mixed.groupBy("band", "h", "c").agg(F.count("*").alias("n"))
+    sizes = kinds.groupBy("band", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("sides"))
+    rows = mixed.join(sizes, ["band", "h"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["band", "h", "side", "block"]
+    others = rows.where("c != main").select("band", "h", F.pmod(F.xxhash64("b"), "sides").alias("side"), every("blocks").alias("block"), F.lit(0).alias("role"), "b", "c", *payload)
+    members = rows.where("sides > 0").select("band", "h", every("sides").alias("side"), F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.lit(1).alias("role"), "b", "c", *payload)
+
+    def carry(batches):
+        now, left = None, []
+        for batch in batches:
+            at = list(zip(*(batch.column(k).to_pylist() for k in (*keys, "role"))))
+            edges = [i for i in range(len(at)) if not i or at[i] != at[i - 1]] + [len(at)]
+            for low, high in zip(edges, edges[1:]):
+                piece = batch.slice(low, high - low)
+                if at[low][:-1] != now:
+                    now, left = at[low][:-1], []
+                if at[low][-1] == 0:
+                    left.append(piece)
+                elif left:
+                    left = [pa.Table.from_batches(left).combine_chunks().to_batches()[0]]
+                    yield from run(left[0], piece)
+
+    return others.unionByName(members).repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(carry, schema)
+
+
+def matrix(batch, name: str, width: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(-1, width)
+
+
+def plausible(others, members, floor: float):
+    """Per row of `others`: the members of other components to compare, best first; not those met in an earlier band's bucket."""
+    n = len(others.column("sig")[0].as_py())
+    x, y = matrix(others, "sig", n, np.uint8), matrix(members, "sig", n, np.uint8)
+    bands, other_bands = (np.array(t.column("bands").to_pylist(), np.int64) for t in (others, members))
+    c, other_c = (t.column("c").to_numpy(zero_copy_only=False) for t in (others, members))
+    band = others.column("band")[0].as_py()
+    for i in range(len(x)):
+        agree = (y == x[i]).mean(1)
+        agree[(other_c == c[i]) | (other_bands[:, :band] == bands[i, :band]).any(1)] = -1
+        near = np.flatnonzero(agree >= floor)
+        yield i, near[np.argsort(-agree[near], kind="stable")]
+
+
+def completed(mixed: DataFrame, texts: DataFrame, size: int, percent: int, floor: float) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that are in different components."""
+
+    def flag(others, members):
+        found, other_found = set(), set()
+        for i, near in plausible(others, members, floor):
+            if len(near):
+                found.add(i)
+                other_found.update(near.tolist())
+        for batch, own in ((others, found), (members, other_found)):
+            yield batch.select(["band", "h", "b", "c"]).take(pa.array(sorted(own), pa.int64()))
+
+    def verify(others, members):
+        import zstandard
+
+        tool = zstandard.ZstdDecompressor()
+        sets = [split_sets([tool.decompress(t) for t in batch.column("packed").to_pylist()], size) for batch in (others, members)]
+        ids = [batch.column("b").to_pylist() for batch in (others, members)]
+        comps = [batch.column("c").to_pylist() for batch in (others, members)]
+        of: dict[int, int] = {}
+
+        def find(c):
+            while of.get(c, c) != c:
+                c = of[c]
+            return c
+
+        out = [], []
+        for i, near in plausible(others, members, floor):
+            own = sets[0][i]
+            for first in range(0, len(near), 32):
+                some = [k for k in near[first : first + 32].tolist() if find(comps[1][k]) != find(comps[0][i])]
+                if not some:
+                    continue
+                lengths = np.array([len(sets[1][k]) for k in some])
+                hashes = np.concatenate([sets[1][k] for k in some])
+                at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+                both = np.add.reduceat((own[at] == hashes).astype(np.int64), np.cumsum(lengths) - lengths)
+                for k, good in zip(some, 100 * both >= percent * (len(own) + lengths - both)):
+                    if good and find(comps[1][k]) != find(comps[0][i]):
+                        of[find(comps[0][i])] = find(comps[1][k])
+                        out[0].append(ids[0][i])
+                        out[1].append(ids[1][k])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    flagged = in_blocks(mixed, flag, "band int, h long, b long, c long", ["sig", "bands"]).distinct()
+    full = cut(flagged.join(mixed.select("band", "h", "b", "sig", "bands"), ["band", "h", "b"]))
+    return in_blocks(full.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b"), verify, "a long, b long", ["sig", "bands", "packed"])
+
+
+def split_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    hashes, counts = shingle_sets(texts, size)
+    return np.split(hashes, np.cumsum(counts)[:-1])
+
+
 def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
     """Enough verified links between representatives to connect all that are linked."""
     n = bands * rows
-    bucketed = cut(reps.select("doc_id", F.posexplode("bands").alias("band", "h")))
+    bucketed = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
     shared = bucketed.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    joined = bucketed.withColumnRenamed("doc_id", "b").join(shared, ["band", "h"])
+    joined = cut(bucketed.withColumnRenamed("doc_id", "b").join(shared, ["band", "h"]))
     tried = cut(alike(joined.where("a != b").select("a", "b").distinct(), reps, percent / 100, n))
-    crowded = cut(joined.where("n > 2").select("band", "h", "b"))
-    ids = joined.select(F.col("b").alias("doc_id")).distinct()
-    texts = cut(packed_texts(docs, ids))
+    texts = cut(packed_texts(docs, joined.select(F.col("b").alias("doc_id")).distinct()))
     found = cut(verified(tried, texts, size, percent))
-    for last in (False, True):
-        groups = components(found)
+    crowded = joined.where("n > 2")
+    standing = crowded.groupBy("b").agg(F.sum("n").alias("met"))
+
+    def split(groups):
         placed = crowded.join(groups.withColumnRenamed("node", "b"), "b", "left").select("band", "h", "b", F.coalesce("component", "b").alias("c"))
-        split = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("b", "c"), F.xxhash64("b", "band")).alias("centre")).where("low != high")
-        if last:
-            mixed = placed.join(split.select("band", "h"), ["band", "h"], "left_semi")
-            pairs = mixed.select("band", "h", F.col("b").alias("a"), F.col("c").alias("ca")).join(mixed, ["band", "h"]).where("ca < c")
-        else:
-            pairs = placed.join(split.select("band", "h", F.col("centre.b").alias("a"), F.col("centre.c").alias("ca")), ["band", "h"]).where("ca != c")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = cut(alike(pairs, reps, percent / 100, n))
-        tried = tried.unionByName(more)
-        found = cut(found.unionByName(verified(more, texts, size, percent)))
-    return found
+        return placed, placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band", "h")
+
+    placed, open_buckets = split(components(found))
+    mixed = cut(placed.join(open_buckets, ["band", "h"], "left_semi").join(standing, "b"))
+    centres = mixed.groupBy("band", "h").agg(F.max_by(F.struct("b", "c"), F.struct("met", F.lit(0) - F.col("b"))).alias("centre"))
+    pairs = mixed.join(centres, ["band", "h"]).where("c != centre.c").select(F.least("b", "centre.b").alias("a"), F.greatest("b", "centre.b").alias("b")).distinct()
+    more = alike(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent / 100, n)
+    found = cut(found.unionByName(verified(cut(more), texts, size, percent)))
+    placed, open_buckets = split(components(found))
+    mixed = cut(placed.join(open_buckets, ["band", "h"], "left_semi").join(reps.select(F.col("doc_id").alias("b"), "sig", "bands"), "b"))
+    return cut(found.unionByName(completed(mixed, texts, size, percent, floor_of(percent / 100, n))))
 
 
 def minhash_dedup(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tallymart.llm import minhash
 from tallymart.llm.components import components
 from tallymart.llm.minhash import minhash_dedup
 
@@ -23,7 +26,9 @@ def texts():
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     own = texts()
     ids = [(7 * i) % 211 - 30 for i in range(len(own))]
     got = sorted(map(tuple, minhash_dedup(brute.docs(spark, own, ids), 3, 85).collect()))
@@ -41,3 +46,12 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3), (3, 2)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_a_chain_of_near_copies_is_one_group(spark):
+    """Each text is linked with the next one only: no centre links to all, so buckets are compared in blocks."""
+    words = [f"w{i}" for i in range(400)]
+    own = [" ".join(words[i * 8 : i * 8 + 130]) for i in range(30)]
+    own = [own[i] for i in random.Random(2).sample(range(30), 30)]
+    got = sorted(map(tuple, minhash_dedup(brute.docs(spark, own), 3, 85).collect()))
+    assert got == sorted(brute.near(list(enumerate(own)))) and {g[2] for g in got} == {0}
