@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, strings
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 20
 #: Rated documents to learn from, about; a fixed hash of the id chooses them.
-RATED = 6000
+RATED = 12_000
 #: Features in fewer of these documents have no weight.
 LEAST = 6
 REMEMBERED = 300_000
@@ -74,12 +74,18 @@ class Ordinal:
         return 1 - sigmoid(self.cuts[None, :] - scores[:, None])
 
 
-def fit(starts: np.ndarray, features: np.ndarray, grades: np.ndarray, top: int, epochs: int = 25, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
+def fit(starts: np.ndarray, features: np.ndarray, grades: np.ndarray, top: int, epochs: int = 25, rate: float = 0.3, decay: float = 1e-3) -> Ordinal:
     """Adaptive stochastic gradient descent on the likelihood. starts: where each document's features begin."""
     r = np.random.default_rng(5)
-    often = np.bincount(features, minlength=BUCKETS) >= LEAST
-    sizes = np.diff(np.r_[starts, len(features)])
-    w, square = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
+    # Only frequent features are learned, under small numbers; rare ones would fill every bucket with noise.
+    often = np.flatnonzero(np.bincount(features, minlength=BUCKETS) >= LEAST)
+    small = np.full(BUCKETS, -1)
+    small[often] = np.arange(len(often))
+    doc = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(features)]))
+    known = small[features] >= 0
+    sizes = np.bincount(doc[known], minlength=len(starts))
+    features, starts, n_features = small[features][known], np.cumsum(sizes) - sizes, len(often)
+    w, square = np.zeros(n_features), np.full(n_features, 1e-6)
     share = np.cumsum(np.bincount(grades, minlength=top + 1))[:-1] / len(grades)
     share = np.clip(share, 0.01, 0.99) + np.arange(top) * 1e-6
     cuts = np.log(share / (1 - share))
@@ -98,15 +104,17 @@ def fit(starts: np.ndarray, features: np.ndarray, grades: np.ndarray, top: int,
             lower = np.where(y > 0, sigmoid(cuts[np.maximum(y - 1, 0)] - score), 0.0)
             p = np.maximum(upper - lower, 1e-9)
             pull = -(1 - upper - lower)  # of the log likelihood, by the score
-            g = np.bincount(f, pull[doc], BUCKETS) * often / len(some) - decay * w * (np.bincount(f, minlength=BUCKETS) > 0)
+            g = np.bincount(f, pull[doc], n_features) / len(some) - decay * w
             square += g * g
-            w += rate * 0.3 * g / np.sqrt(square)
+            w += rate * g / np.sqrt(square)
             by_cut = np.bincount(np.minimum(y, top - 1), np.where(y < top, upper * (1 - upper) / p, 0), top) - np.bincount(np.maximum(y - 1, 0), np.where(y > 0, lower * (1 - lower) / p, 0), top)
             g = np.r_[by_cut.sum(), np.exp(gaps) * np.cumsum(by_cut[::-1])[::-1][1:]] / len(some)
             moved += g * g
-            change = rate * 0.3 * g / np.sqrt(moved)
+            change = rate * g / np.sqrt(moved)
             low, gaps = low + change[0], gaps + change[1:]
-    return Ordinal(w, low + np.r_[0, np.cumsum(np.exp(gaps))])
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[often] = w
+    return Ordinal(weights, low + np.r_[0, np.cumsum(np.exp(gaps))])
 
 
 def learn(docs: DataFrame, ratings: DataFrame, rated: int = RATED) -> Ordinal | None:
@@ -121,16 +129,16 @@ def learn(docs: DataFrame, ratings: DataFrame, rated: int = RATED) -> Ordinal |
         words = Words()
         for block in blocks(batches, 2 << 20):
             number, feature = words.features(strings(block.column("text")))
-            own = np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, block.num_rows)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("grade"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
+            own = [x.tobytes() for x in np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, block.num_rows)))]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("grade"), pa.array(own, pa.binary())], names=["doc_id", "grade", "features"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<int>").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features binary").collect()
     rows = sorted(rows)
     grades = np.array([r.grade for r in rows], np.int64)
     if len(np.unique(grades)) < 2:
         return None
-    sizes = np.array([len(r.features) for r in rows])
-    features = np.concatenate([np.array(r.features, np.int64) for r in rows])
+    own = [np.frombuffer(r.features, np.int32) for r in rows]
+    sizes, features = np.array([len(x) for x in own]), np.concatenate(own)
     return fit(np.cumsum(sizes) - sizes, features, grades, int(grades.max()))
 
 
