@@ -16,28 +16,25 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", order: list[Column]
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(product_id, term, tf, dl) of docs (product_id, text)."""
-    terms = docs.select("product_id", tokens("text").alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select("product_id", "dl", F.explode("terms").alias("term")).groupBy("product_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of queries (query_id, text) over docs (product_id, text): query_id, product_id, score, rank.
 
     A term in more than half of the documents gets a quarter of the mean idf.
     Query terms count as often as they come. Rows with a score of zero or less
     go after the cut; queries without terms give nothing. `allowed`
-    (query_id, product_id) keeps only these pairs. Only postings of query terms are joined, and a
-    query's terms are summed up first.
+    (query_id, product_id) keeps only these pairs. Only words that some query
+    has are shuffled by document; the others are only counted, partly in the scan.
     """
-    found = postings(docs)
-    size = docs.agg(F.count("*").alias("docs"), F.avg(F.size(tokens("text"))).alias("mean_dl"))
-    raw = found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    terms = docs.select("product_id", tokens("text").alias("terms"))
+    size = terms.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean_dl"))
+    counts = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = counts.crossJoin(F.broadcast(size)).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
     idf = raw.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", "mean_dl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    met = terms.select("product_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    found = met.groupBy("product_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
     hits = found.join(idf, "term").select("term", "product_id", weight.alias("weight")).join(asked, "term")
     if allowed is not None:
