@@ -76,6 +76,8 @@ def price_intent(text: Column | str) -> Column:
 
 def expansion_terms(text: Column | str, table: Mapping[str, Sequence[str]], stop: Sequence[str], most: int = 8) -> Column:
     """Reviewed synonyms of triggers found, in table order, not those already in the text; none beside price words."""
+    if not table:
+        return F.array().cast("array<string>")
     base = F.lower(F.trim(F.coalesce(col(text), F.lit(""))))
     found = [F.when(F.contains(base, F.lit(k.lower())), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in table.items()]
     every = F.filter(F.flatten(F.array(*found)), lambda t: ~F.contains(base, F.lower(t)))

@@ -144,3 +144,13 @@ def test_hooks(spark):
     assert all(len(r.vector) == 64 for r in hooks.encode(df, "text", hooks.hashed_tokens).collect())
     assert [r.score for r in hooks.score_pairs(df, lambda q, d: [len(set(a.split()) & set(b.split())) / 2 for a, b in zip(q, d)]).collect()] == [0.5, 0.0, 0.5]
     assert df.select(hooks.tokenize("text", str.split).alias("t")).first().t == ["a", "b"]
+
+
+def test_search_relaxes_a_budget_that_empties_the_list(spark):
+    rows = [(1, "red ring", "a", "x", "ring", "d", 10.0, 10.0, "CNY", None), (2, "red bolt", "b", "x", "bolt", "d", 900.0, 900.0, "CNY", None), (3, "blue gear", "b", "y", "gear", "d", 5.0, 5.0, "CNY", "JP"), (4, "old rod", "b", "y", "rod", "d", 5.0, 5.0, "CNY", None), (5, "new rod", "b", "y", "rod", "d", 6.0, None, "USD", None)]
+    catalog = spark.createDataFrame(rows, "product_id long, title string, brand string, category string, sub_category string, description string, base_price double, price_cny double, currency string, origin string")
+    queries = spark.createDataFrame([(1, 7, "red"), (2, 7, "bolt under 20"), (3, 7, "zzz"), (4, 7, "red under 20"), (5, 7, "gear 不要日系"), (6, 7, "new under 9")], "query_id long, user_id long, text string")
+    got = {}
+    for r in se.search_relaxed(queries, catalog).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.product_id, r.note))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {1: [(1, 1, None), (2, 2, None)], 2: [(1, 2, "budget_relaxed")], 3: [(None, None, "no_match")], 4: [(1, 1, None)], 5: [(None, None, "no_match")], 6: [(1, 5, "budget_relaxed")]}

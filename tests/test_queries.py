@@ -1,6 +1,5 @@
 """Every registered query with SQL gives the rows of its SQL on the smallest tables."""
 
-import math
 import os
 
 import duckdb
@@ -24,7 +23,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or not hasattr(v, "__len__") and pd.isna(v):
         return "~"
     if isinstance(v, bool) or type(v).__name__ == "bool":
         return str(bool(v))
