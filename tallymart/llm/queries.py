@@ -81,4 +81,34 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination)}
-ORACLE: dict[str, str] = {}
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: For the tables given: texts by words or lines, one row each. The other operators have no such SQL:
+#: bytes (4), set similarity over all pairs (3) and trained or searched results are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": r"""WITH u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+ k AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS key, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+ f AS (SELECT key, min(doc_id) AS first FROM k WHERE n = 13 GROUP BY key),
+ g AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i FROM k JOIN f USING (key) WHERE n = 13 AND doc_id > first), range(13) r(j)),
+ m AS (SELECT u.*, g.i IS NOT NULL AS gone FROM u LEFT JOIN g USING (doc_id, i))
+ SELECT d.doc_id, count(m.i) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY m.i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id""",
+    "op2_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+ k AS (SELECT *, translate(trim(line, {SPACE}), {LOWER}) AS key FROM l), f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+ g AS (SELECT k.*, length(key) >= 10 AND doc_id > first AS gone FROM k JOIN f USING (key))
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
+    "op9_vector_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, e FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op10_decontamination": rf"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),
+ b AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS total FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
+ dk AS (SELECT doc_id, i, string_agg(word, ' ') OVER x AS key, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+ bk AS (SELECT item_id, string_agg(word, ' ') OVER x AS key, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+ h AS (SELECT doc_id, i, item_id FROM dk JOIN bk USING (key) WHERE dk.n = 10 AND bk.n = 10),
+ p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(10) r(j) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+ c AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
