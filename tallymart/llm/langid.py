@@ -123,15 +123,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     def run(batches):
         for block in blocks(batches, 4 << 20):
             found = [text_features(t.decode()) for t in strings(block.column("text"))]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), block.column("lang"), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["doc_id", "lang", "at", "weight"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), block.column("lang"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "at", "weight"])
 
-    rows = [r for r in sorted(chosen.mapInArrow(run, "doc_id long, lang string, at array<int>, weight array<float>").collect()) if len(r.at)]
+    rows = [r for r in sorted(chosen.mapInArrow(run, "doc_id long, lang string, at binary, weight binary").collect()) if len(r.at)]
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
-        x[i, r.at] = r.weight
+        x[i, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.weight, np.float32)
     return train(x, np.array([languages.index(r.lang) for r in rows]), languages)
 
 
