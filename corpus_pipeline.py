@@ -30,10 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all documents but the first; documents keep what is left, if that is not empty."""
+    """Repeated lines go from all documents but the first; every document stays with what is left of it, which may be empty."""
     out = line_dedup(docs.select(*COLUMNS), text=True, extra=["lang", "source", "n_chars"])
     changed = F.col("n_dropped") > 0
-    out = out.where(~changed | (F.length(F.trim("kept")) > 0))
     return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
