@@ -278,3 +278,24 @@ def e11_price_sort(spark, sf_dir):
 def e7_char_overlap_topk(spark, sf_dir):
     pairs = bought(spark, sf_dir).join(catalog_view(spark, sf_dir), "product_id").withColumn("text", F.concat(F.lit("Red gear "), F.col("query_id").cast("string")))
     return rt.char_overlap_topk(pairs, 5)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS product_id, CASE WHEN p_size % 3 = 0 THEN '中' || p_name ELSE p_name END AS title, CASE WHEN p_size % 3 = 0 THEN p_name END AS title_en, 's_' || p_partkey || '_1' AS sku_id, CASE WHEN p_size % 2 = 0 THEN 'JPY' ELSE 'USD' END AS currency, CAST(CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS reviews, p_type IN ('SMALL', 'LARGE', 'PROMO') AS known FROM part")
+def a2_canonicalize_feed(spark, sf_dir):
+    """part as a raw feed; three of its types are known categories."""
+    from ..sources.files import canonicalize_feed
+
+    provenance = F.when(F.col("p_size") % 2 == 0, F.struct(F.lit(None).cast("string").alias("origin_country"), F.lit(None).cast("string").alias("source_platform"), F.lit("JPY").alias("currency"), F.lit(None).cast("string").alias("external_url"), F.lit(None).cast("string").alias("shipping_note")))
+    raw = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("中"), "p_name")).alias("title_zh"), F.col("p_name").alias("title_en"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.lit("s").alias("sub_category"),
+        F.col("p_retailprice").alias("base_price"), F.lit(None).cast("string").alias("image_url_external"), F.lit("u").alias("external_url"), provenance.alias("provenance"), F.lit("d").alias("marketing_description"), F.when(F.col("p_size") % 5 == 0, "fine").otherwise(" ").alias("user_reviews_summary"),
+    )
+    good, bad = canonicalize_feed(raw, spark.createDataFrame([("SMALL",), ("LARGE",), ("PROMO",)], "category string"))
+    both = good.withColumn("known", F.lit(True)).unionByName(bad.withColumn("known", F.lit(False)))
+    return both.select("product_id", "title", "title_en", F.col("skus")[0]["sku_id"].alias("sku_id"), F.col("provenance.currency").alias("currency"), F.size("rag_knowledge.user_reviews").alias("reviews"), "known")
+
+
+@query(FEW + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY base_price DESC, product_id) AS rank FROM fw) SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 2")
+def s5_top_k(spark, sf_dir):
+    """The two dearest products of each order (H1, S5)."""
+    return rt.top_k(few(spark, sf_dir), 2, order=[F.desc("base_price"), F.asc("product_id")]).select("query_id", "product_id", "rank")

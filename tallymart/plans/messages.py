@@ -228,3 +228,11 @@ def e5_hybrid_topk(spark, sf_dir):
     docs, items = corpus(spark, sf_dir), asked(spark, sf_dir)
     dense = vector_topk(items.select("query_id", hashed_embedding("text").alias("vector")), docs.select("product_id", hashed_embedding("text").alias("vector")), 20)
     return rrf(dense, bm25_topk(items, docs, 20), most=10)
+
+
+@query("SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || chr(10) || role ELSE coalesce(text, '') END, ' ') AS text FROM conversations")
+def a5_message_text(spark, sf_dir):
+    """Turns as lists of parts: the text, an image, and for even turns a second text."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.lit(None).cast("string").alias("url"))
+    parts = F.filter(F.array(part("text", F.col("text")), part("image_url", F.lit("no")), F.when(F.col("turn") % 2 == 0, part("text", F.col("role")))), lambda p: p.isNotNull())
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", cv.message_text(parts).alias("text"))
