@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +18,15 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", order: list[Column]
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Okapi BM25 of queries (query_id, text) over docs (product_id, text): query_id, product_id, score, rank.
 
     A term in more than half of the documents gets a quarter of the mean idf.
     Query terms count as often as they come. Rows with a score of zero or less
     go after the cut; queries without terms give nothing. `allowed`
-    (query_id, product_id) keeps only these pairs. Only words that some query
-    has are shuffled by document; the others are only counted, partly in the scan.
+    (query_id, product_id) keeps only these pairs; `keep` filters the scored
+    pairs before the cut. Only words that some query has are shuffled by
+    document; the others are only counted, partly in the scan.
     """
     terms = docs.select("product_id", tokens("text").alias("terms"))
     size = terms.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean_dl"))
@@ -40,7 +43,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFra
     if allowed is not None:
         hits = hits.join(allowed.select("query_id", "product_id"), ["query_id", "product_id"], "left_semi")
     scored = hits.groupBy("query_id", "product_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
-    return top_k(scored, k).where("score > 0")
+    return top_k(keep(scored) if keep is not None else scored, k).where("score > 0")
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = 60, most: int = 10) -> DataFrame:

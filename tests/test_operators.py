@@ -154,3 +154,16 @@ def test_search_relaxes_a_budget_that_empties_the_list(spark):
     for r in se.search_relaxed(queries, catalog).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.product_id, r.note))
     assert {k: sorted(v, key=str) for k, v in got.items()} == {1: [(1, 1, None), (2, 2, None)], 2: [(1, 2, "budget_relaxed")], 3: [(None, None, "no_match")], 4: [(1, 1, None)], 5: [(None, None, "no_match")], 6: [(1, 5, "budget_relaxed")]}
+
+
+SHOP = "product_id long, title string, brand string, category string, sub_category string, description string, base_price double, price_cny double, currency string, origin string"
+
+
+def test_search_filters_before_it_cuts(spark):
+    rows = [(i, "blue bolt", "b", "x", "bolt", "d", 2000.0, 2000.0, "CNY", None) for i in range(40)] + [(i, "blue bolt", "b", "x", "bolt", "d", 900.0, 900.0, "CNY", None) for i in range(40, 60)] + [(i, "old rod", "b", "y", "rod", "d", 900.0, 900.0, "CNY", None) for i in range(60, 200)]
+    queries = spark.createDataFrame([(1, 7, "blue bolt under 950")], "query_id long, user_id long, text string")
+    catalog = spark.createDataFrame(rows, SHOP)
+    assert sorted((r["rank"], r.product_id) for r in se.search(queries, catalog).collect()) == [(i + 1, 40 + i) for i in range(5)]
+    assert {r.note for r in se.search_relaxed(queries, catalog).collect()} == {None}
+    dense = spark.createDataFrame([(1, i, i + 1) for i in range(50)], "query_id long, product_id long, rank int")
+    assert sorted(r.product_id for r in se.search(queries, catalog, dense=dense).collect()) == list(range(40, 45))
