@@ -167,3 +167,33 @@ def test_search_filters_before_it_cuts(spark):
     assert {r.note for r in se.search_relaxed(queries, catalog).collect()} == {None}
     dense = spark.createDataFrame([(1, i, i + 1) for i in range(50)], "query_id long, product_id long, rank int")
     assert sorted(r.product_id for r in se.search(queries, catalog, dense=dense).collect()) == list(range(40, 45))
+
+
+def test_search_applies_brands_carried_filters_and_coverage(spark):
+    rows = [(i, "red ring", b, "x", "ring", d, float(10 + i), float(10 + i), "CNY", o) for i, (b, d, o) in enumerate([("Acme", "d", "CN"), ("Acme", "wool", "CN"), ("Bolt", "d", "JP"), ("Bolt", "d", "JP"), ("Coil", "d", "US"), ("Coil", "d", None)])] + [(i, "old rod", "Dune", "y", "rod", "d", 9.0, 9.0, "CNY", None) for i in range(10, 20)]
+    catalog = spark.createDataFrame(rows, SHOP)
+    asked = [
+        (1, "red ring", None, None, None, None, False), (2, "red ring Acme", None, None, None, None, False), (3, "red ring 不要 Bolt", None, None, None, None, False), (4, "red ring", ["wool"], None, None, None, False),
+        (5, "red ring", None, ["Coil"], 14.0, None, False), (6, "red ring", None, ["Coil"], 14.0, None, True), (7, "red ring 国产", None, None, None, None, False), (8, "red ring Acme以外", None, None, None, None, False),
+        (9, "red ring", ["日系"], None, None, None, False), (10, "red ring", None, None, None, [("Dune", "brand"), ("Acme", "brand")], False),
+    ]
+    queries = spark.createDataFrame([(q, 7, *r) for q, *r in asked], "query_id long, user_id long, text string, ex_keywords array<string>, brand_include array<string>, price_max double, entities array<struct<entity: string, kind: string>>, switched boolean")
+    got = {}
+    for r in se.search(queries, catalog, k=9, brands={"Acme": [], "Bolt": [], "Coil": [], "Dune": []}).collect():
+        got.setdefault(r.query_id, set()).add(r.product_id)
+    every = set(range(6))
+    assert got == {1: every, 2: {0, 1}, 3: {0, 1, 4, 5}, 4: every - {1}, 5: {4}, 6: every, 7: {0, 1, 5}, 8: {2, 3, 4, 5}, 9: every - {2, 3}, 10: every | {10}}
+
+
+def test_search_relaxed_tells_what_exclusions_emptied(spark):
+    catalog = spark.createDataFrame([(3, "blue gear", "b", "y", "gear", "d", 5.0, 5.0, "CNY", "JP")] + [(i, "old rod", "b", "y", "rod", "d", 5.0, 5.0, "CNY", None) for i in range(4, 9)], SHOP)
+    queries = spark.createDataFrame([(1, 7, "gear 不要日系", None), (2, 7, "zzz 不要日系", None), (3, 7, "gear", 2.0)], "query_id long, user_id long, text string, price_max double")
+    got = {r.query_id: (r.product_id, r.note, r.emptied) for r in se.search_relaxed(queries, catalog).collect()}
+    assert got == {1: (None, "no_match", [3]), 2: (None, "no_match", None), 3: (3, "budget_relaxed", None)}
+
+
+def test_build_filter_guards_the_category(spark):
+    pairs = spark.createDataFrame([("户外运动", "帐篷", "Acme"), ("美妆护肤", "防晒", "Bolt")], "category string, sub_category string, brand string")
+    queries = spark.createDataFrame([(1, "户外 防晒"), (2, "户外 帐篷"), (3, "户外 Bolt"), (4, "户外 Acme"), (5, "户外")], "query_id long, text string")
+    got = se.build_filter(queries, pairs, brands={"Acme": [], "Bolt": []}, sub_rules=[(["防晒"], ["防晒"]), (["帐篷"], ["帐篷"])])
+    assert {r.query_id: r.want_category for r in got.collect()} == {1: None, 2: "户外运动", 3: None, 4: "户外运动", 5: "户外运动"}
