@@ -1,16 +1,14 @@
-"""Operator 9, embedding near-dedup: a small-world graph per shard, every shard queried, cosine verified, components.
+"""Operator 9, embedding near-dedup: shards of unit vectors, every pair of shards compared by matrix products, components.
 
 Equal vectors of a label collapse to a class first, so a vector that a third
-of all rows share is one node. Each shard of a label has a graph; every pair of
-shards is one row of work, in which each queries the other. Counts of
+of all rows share is one node. Every pair of shards of a label is one row of
+work: all cosines, a block of rows at a time, so that no link is missed. Counts of
 links leave the task as one number per class and links as a spanning
 forest, so a dense group costs rows in proportion to its size.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .hnsw import Graph
 
 #: Vectors in a shard, about.
 SHARD = 8192
-#: First beam, share of audited links to be found, and queries per audit.
-BEAM, RECALL, AUDITED = 24, 0.995, 64
+#: Rows of a matrix product: 32 MB of cosines with a shard.
+BLOCK = 512
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
@@ -34,7 +31,7 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def shards(classes: DataFrame, size: int) -> DataFrame:
-    """A row per shard: label, dims, shard, reps, weights and graph, packed."""
+    """A row per shard: label, dims, shard, reps, weights and unit vectors (doubles), packed."""
     classes = classes.withColumn("dims", F.size("embedding"))
     counts = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / size).cast("int").alias("shards"))
     placed = classes.join(counts, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
@@ -43,30 +40,18 @@ def shards(classes: DataFrame, size: int) -> DataFrame:
         table = table.sort_by("rep")
         x = np.array(table.column("embedding").to_pylist(), np.float64)
         x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
-        graph = Graph.build(x)
-        rows = {"label": key[0], "dims": key[1], "shard": key[2], "reps": table.column("rep").to_numpy().astype(np.int64).tobytes(), "weights": table.column("weight").to_numpy().astype(np.int64).tobytes(), "graph": pickle.dumps((graph.vectors, graph.links, graph.entry), 5)}
+        rows = {"label": key[0], "dims": key[1], "shard": key[2], "reps": table.column("rep").to_numpy().astype(np.int64).tobytes(), "weights": table.column("weight").to_numpy().astype(np.int64).tobytes(), "unit": x.tobytes()}
         return pa.table({n: pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], k) for (n, v), k in zip(rows.items(), (table.schema.field("label").type, pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))})
 
     label = classes.schema["label"].dataType.simpleString()
-    return placed.groupBy("label", "dims", "shard").applyInArrow(run, f"label {label}, dims int, shard int, reps binary, weights binary, graph binary")
-
-
-def search(graph: Graph, queries: np.ndarray, least: float) -> np.ndarray:
-    """Which nodes (columns) each query (row) is linked with; beams double until an audit against all nodes passes."""
-    step = max(1, len(queries) // AUDITED)
-    truth = queries[::step] @ graph.vectors.T >= least
-    beam = BEAM
-    while True:
-        out = np.zeros((len(queries), len(graph.vectors)), bool)
-        audit = range(0, len(queries), step)
-        for i in audit:
-            out[i, graph.within(queries[i], least, beam)] = True
-        if beam >= len(graph.vectors) or (out[::step] & truth).sum() >= RECALL * truth.sum():
-            break
-        beam *= 2
-    for i in set(range(len(queries))).difference(audit):
-        out[i, graph.within(queries[i], least, beam)] = True
-    out[::step] |= truth
+    return placed.groupBy("label", "dims", "shard").applyInArrow(run, f"label {label}, dims int, shard int, reps binary, weights binary, unit binary")
+
+
+def search(queries: np.ndarray, nodes: np.ndarray, least: float) -> np.ndarray:
+    """Which nodes (columns) each query (row) is linked with."""
+    out = np.empty((len(queries), len(nodes)), bool)
+    for i in range(0, len(queries), BLOCK):
+        np.greater_equal(queries[i : i + BLOCK] @ nodes.T, least, out=out[i : i + BLOCK])
     return out
 
 
@@ -90,23 +75,22 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 def linked(shard_rows: DataFrame, least: float) -> DataFrame:
     """Rows (a, b, n): n links of class a if b is null, else a link of the forest."""
-    left = shard_rows.select("label", "dims", *(F.col(c).alias(c + "_1") for c in ("shard", "reps", "weights", "graph")))
-    right = shard_rows.select("label", "dims", *(F.col(c).alias(c + "_2") for c in ("shard", "reps", "weights", "graph")))
-    pairs = left.join(right, ["label", "dims"]).where("shard_1 <= shard_2").drop("label", "dims").repartition(F.xxhash64("shard_1", "shard_2", "reps_1"))
+    left = shard_rows.select("label", "dims", *(F.col(c).alias(c + "_1") for c in ("shard", "reps", "weights", "unit")))
+    right = shard_rows.select("label", "dims", *(F.col(c).alias(c + "_2") for c in ("shard", "reps", "weights", "unit")))
+    pairs = left.join(right, ["label", "dims"]).where("shard_1 <= shard_2").drop("label").repartition(F.xxhash64("shard_1", "shard_2", "reps_1"))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                x, y = (Graph(*pickle.loads(row[f"graph_{k}"])) for k in (1, 2))
+                x, y = (np.frombuffer(row[f"unit_{k}"]).reshape(-1, row["dims"]) for k in (1, 2))
                 ids, other = (np.frombuffer(row[f"reps_{k}"], np.int64) for k in (1, 2))
                 weight, other_weight = (np.frombuffer(row[f"weights_{k}"], np.int64) for k in (1, 2))
-                found = search(y, x.vectors, least)
+                found = search(x, y, least)
                 if row["shard_1"] == row["shard_2"]:
                     found |= found.T
                     np.fill_diagonal(found, False)
                     counts = [(ids, found @ other_weight)]
                 else:
-                    found |= search(x, y.vectors, least).T
                     counts = [(ids, found @ other_weight), (other, found.T @ weight)]
                 a, b = forest(found, ids, other)
                 for who, n in counts:
@@ -122,8 +106,7 @@ def vector_dedup(vectors: DataFrame, similarity: float = 0.98, shard: int = SHAR
 
     Returns a row per vector: vec_id, n_links (other vectors linked directly),
     component_id (least vec_id reachable over links) and kept (vec_id =
-    component_id). Links are those found by the graphs, each verified; audits
-    against brute force in every pair of shards make the beams wide enough.
+    component_id). Every pair of distinct vectors of a label is compared.
 
     Vectors that are null, empty, zero, or hold a null or a non-finite
     component, or have a null label or vec_id, link with nothing (their

@@ -48,6 +48,19 @@ def test_equals_brute_force_in_one_and_in_several_shards(spark):
         assert got == brute(rows)
 
 
+def test_few_links_between_large_shards_are_found(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 32))
+    x[1500:1560] = x[:60] + r.normal(scale=0.17, size=(60, 32))
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    truth = (u @ u.T >= 0.98).sum(1) - 1
+    assert 60 <= truth.sum() <= 120
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    got = {row.vec_id: row.n_links for row in vector_dedup(df, shard=1500).select("vec_id", "n_links").collect()}
+    assert [got[i] for i in range(3000)] == truth.tolist()
+
+
 def test_graph_finds_neighbours():
     r = np.random.default_rng(3)
     x = r.normal(size=(1500, 16))
