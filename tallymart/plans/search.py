@@ -41,17 +41,33 @@ def b9_tokens(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
-def expected(spark, sf_dir):
-    """Cases: a benchmark item expects the documents that hold its text; toxic documents are forbidden.
+#: Tokens of an item that a document must share to be compared with it.
+INNER = 8
+
+
+def holding(docs, items):
+    """(query_id, product_id): documents (product_id, text) that contain the text of an item (query_id, text).
 
-    Only documents that share the item's first eight tokens are compared.
+    Only documents that share up to eight of the item's inner tokens, in the
+    text's order and case, are compared (the first and the last may be parts of
+    longer ones); items without inner tokens are compared with all documents.
     """
-    docs, items = corpus(spark, sf_dir), asked(spark, sf_dir)
-    head = lambda t: F.xxhash64(F.array_join(F.slice(t, 1, 8), " "))
-    grams = docs.select("product_id", tokens("text").alias("t")).where("size(t) >= 8").select("product_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.xxhash64(F.array_join(F.slice("t", i, 8), " "))))).alias("g"))
-    heads = items.select("query_id", F.col("text").alias("passage"), head(tokens("text")).alias("g"))
-    held = grams.join(heads, "g").drop("g").join(docs, "product_id").where(F.contains("text", "passage"))
-    found = held.groupBy("query_id").agg(F.sort_array(F.collect_set("product_id")).alias("expected"))
+    runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
+    heads = items.where("text IS NOT NULL").select("query_id", F.col("text").alias("passage"), F.slice(inner, 1, INNER).alias("h")).withColumn("n", F.size("h"))
+    keyed = heads.where("n > 0").withColumn("g", F.xxhash64(F.array_join("h", " "))).drop("h")
+    lengths = keyed.agg(F.collect_set("n").alias("lengths"))
+    grams = docs.select("product_id", runs.alias("t")).crossJoin(F.broadcast(lengths)).select("product_id", "t", F.explode("lengths").alias("n")).where("size(t) >= n")
+    grams = grams.select("product_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.col("n")), " "))))).alias("g"))
+    found = grams.join(keyed, ["n", "g"]).select("query_id", "passage", "product_id").join(docs, "product_id").where(F.contains("text", "passage")).select("query_id", "product_id")
+    rest = heads.where("n = 0").select("query_id", "passage")
+    return found.unionByName(rest.join(docs, F.contains("text", "passage")).select("query_id", "product_id"))
+
+
+def expected(spark, sf_dir):
+    """Cases: a benchmark item expects the documents that hold its text; toxic documents are forbidden."""
+    items = asked(spark, sf_dir)
+    found = holding(corpus(spark, sf_dir), items).groupBy("query_id").agg(F.sort_array(F.collect_set("product_id")).alias("expected"))
     return items.join(found, "query_id", "left")
 
 

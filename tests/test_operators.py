@@ -197,3 +197,12 @@ def test_build_filter_guards_the_category(spark):
     queries = spark.createDataFrame([(1, "户外 防晒"), (2, "户外 帐篷"), (3, "户外 Bolt"), (4, "户外 Acme"), (5, "户外")], "query_id long, text string")
     got = se.build_filter(queries, pairs, brands={"Acme": [], "Bolt": []}, sub_rules=[(["防晒"], ["防晒"]), (["帐篷"], ["帐篷"])])
     assert {r.query_id: r.want_category for r in got.collect()} == {1: None, 2: "户外运动", 3: None, 4: "户外运动", 5: "户外运动"}
+
+
+def test_short_passages_and_parts_of_words_are_found_in_documents(spark):
+    from tallymart.plans.search import holding
+
+    docs = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "two three"), (3, "ring"), (4, "xone two three four five six seven eight nine tens"), (5, None), (6, "Two Three"), (7, ""), (8, "a 蓝牙耳机 b 好 c d 红")]
+    items = [(1, "two three"), (2, "three four five"), (3, "ring"), (4, "one two three four five six seven eight nine ten"), (5, "e t"), (6, "wo three fo"), (7, "absent"), (8, None), (9, "in"), (10, ""), (11, "牙耳机 b 好 c d"), (12, "Two Three")]
+    got = holding(spark.createDataFrame(docs, "product_id long, text string"), spark.createDataFrame(items, "query_id long, text string")).collect()
+    assert sorted((r.query_id, r.product_id) for r in got) == sorted((q, d) for q, p in items for d, t in docs if p is not None and t is not None and p in t)
