@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -249,7 +250,7 @@ def g2_category_pairs(spark, sf_dir):
 
 @query(FEW + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS rank FROM fw), n AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1), c AS (SELECT query_id, category, count(*) AS c, min(rank) AS first FROM r GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, first, category) AS o FROM c) SELECT query_id, CASE WHEN c >= greatest(3, n // 2) THEN category END AS dominant FROM n JOIN b USING (query_id) WHERE o = 1")
 def g3_dominant_category(spark, sf_dir):
-    return rt.dominant_category(rt.top_k(few(spark, sf_dir), 1000, order=[F.asc("product_id")]))
+    return rt.dominant_category(few(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id"))))
 
 
 @query(f"WITH {CAT}, t AS (SELECT product_id, title, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM cat), x AS (SELECT a.w AS trigger, b.w AS term, count(DISTINCT a.product_id) AS n FROM t a JOIN t b ON a.product_id = b.product_id AND a.w != b.w GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY n DESC, term DESC) AS r FROM x) SELECT trigger, term, CAST(2 AS BIGINT) AS score, true AS in_catalog FROM o WHERE r <= 6")

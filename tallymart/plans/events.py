@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as jn
@@ -97,7 +98,7 @@ def g5_preference_list(spark, sf_dir):
 def e10_preference_rerank(spark, sf_dir):
     scores = lc.preference_scores(feedback(spark, sf_dir), catalog_view(spark, sf_dir))
     seen = feedback(spark, sf_dir).select("user_id", "product_id").distinct().withColumn("query_id", F.col("user_id"))
-    ranked = rt.top_k(seen, 1_000_000, order=[F.asc("product_id")]).join(catalog_view(spark, sf_dir), "product_id")
+    ranked = seen.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("product_id"))).join(catalog_view(spark, sf_dir), "product_id")
     return rt.preference_rerank(ranked, scores).select("query_id", "product_id", "bonus", "new_rank")
 
 

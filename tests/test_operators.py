@@ -206,3 +206,14 @@ def test_short_passages_and_parts_of_words_are_found_in_documents(spark):
     items = [(1, "two three"), (2, "three four five"), (3, "ring"), (4, "one two three four five six seven eight nine ten"), (5, "e t"), (6, "wo three fo"), (7, "absent"), (8, None), (9, "in"), (10, ""), (11, "牙耳机 b 好 c d"), (12, "Two Three")]
     got = holding(spark.createDataFrame(docs, "product_id long, text string"), spark.createDataFrame(items, "query_id long, text string")).collect()
     assert sorted((r.query_id, r.product_id) for r in got) == sorted((q, d) for q, p in items for d, t in docs if p is not None and t is not None and p in t)
+
+
+def test_an_order_of_many_products_is_judged_whole(spark, tmp_path):
+    from tallymart.plans.catalog import g3_dominant_category
+    from tallymart.plans.events import e10_preference_rerank
+
+    spark.range(1, 1501).selectExpr("1L AS l_orderkey", "id AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 1501).selectExpr("id AS p_partkey", "'old rod' AS p_name", "'Brand#9' AS p_brand", "CASE WHEN id <= 501 THEN 'SMALL' ELSE 'LARGE' END AS p_type", "1 AS p_size", "5.0D AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in g3_dominant_category(spark, str(tmp_path)).collect()] == [(1, "LARGE")]
+    spark.range(3).selectExpr("id AS event_id", "timestamp '2024-01-01' AS ts", "1L AS user_id", "'click' AS event_type", "1.0D AS value", """concat('{"k": ', id + 1, '}') AS props""").write.parquet(f"{tmp_path}/events.parquet")
+    assert "<= 1000000)" not in e10_preference_rerank(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
