@@ -1,5 +1,6 @@
 """Facts about single operators on hand-made rows."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -78,7 +79,7 @@ def test_fail_soft_keeps_a_list_that_would_be_empty(spark):
 def test_brand_mentions():
     texts = ["推荐耐克的鞋", "不要耐克", "华为以外还有吗", "小米的就算了", "不要苹果的耳机", "苹果的不要太贵", "laptop for programming", "iphone13 please", None, "不要索尼的、苹果的"]
     brands = {"Nike": ["耐克"], "华为": [], "小米": ["mi"], "Apple": ["苹果", "iphone"], "索尼": []}
-    got = ps.mentions(pd.Series(texts), brands)
+    got = ps.mentions(pd.Series(texts), ps.Names(brands))
     assert got.included.tolist() == [["Nike"], [], [], [], [], ["Apple"], [], ["Apple"], [], []]
     assert got.excluded.tolist() == [[], ["Nike"], ["华为"], ["小米"], ["Apple"], [], [], [], [], ["Apple", "索尼"]]
 
@@ -104,6 +105,26 @@ def test_turns_are_carried_replaced_and_cancelled(spark):
     assert out[3].category is None and out[4].exclude_keywords is None
 
 
+def test_any_refused_mention_excludes_and_terms_may_overlap():
+    got = ps.mentions(pd.Series(["小米好，不要小米", "Brand#12", "xbrand#1", "brand#1b", "小米有品"]), ps.Names({"小米": [], "有品": ["小米有品"], "Brand#1": [], "Brand#12": []}))
+    assert got.included.tolist() == [[], ["Brand#1", "Brand#12"], [], [], ["小米", "有品"]] and got.excluded.tolist() == [["小米"], [], [], [], []]
+
+
+def test_windows_carry_what_turns_one_by_one_carry(spark):
+    r = random.Random(8)
+    parts = ["推荐护肤", "数码产品", "家居", "耐克", "华为", "不要华为", "不要耐克", "除了小米以外", "小米", "300以内", "50元以上", "不要日系", "不要美货", "预算不限", "品牌不限", "品类不限", "国别不限", "也可以", "换个别的", "洗面奶", "手机壳", "你好"]
+    rows = [(c, t, "user" if r.random() < 0.8 else "assistant", "，".join(r.sample(parts, r.randint(1, 4)))) for c in range(150) for t in range(r.randint(1, 9))]
+    brands = {"Nike": ["耐克"], "华为": [], "小米": []}
+    shelves, subs = {"nike": {"数码电子", "家居家具"}, "华为": {"数码电子"}}, {"美妆护肤": {"洁面"}, "数码电子": {"手机配件"}}
+    rules = [(("洗面奶",), ("洁面",)), (("手机壳",), ("手机配件", "壳"))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    expected = {}
+    for row in cv.turn_columns(turns, brands, rules).orderBy("conv_id", "turn").collect():
+        expected[row.conv_id] = cv.next_filter(expected.get(row.conv_id, cv.EMPTY), row.asDict(), shelves, subs)
+    got = {x.conv_id: {k: x[k] for k in cv.EMPTY} for x in cv.conversation_filter(turns, brands, shelves, subs, rules).collect()}
+    assert got == expected and sum(bool(x["brand_include"]) for x in got.values()) > 9 and sum(bool(x["brand_exclude"]) for x in got.values()) > 9
+
+
 def test_relaxed_prices_and_stripped_clauses(spark):
     assert one(spark, ps.strip_price("text"), "1000以内的耳机") == "耳机" and one(spark, ps.strip_price("text"), "headphones under 1000") == "headphones"
     assert one(spark, ps.strip_negation("text"), "推荐咖啡,不要速溶的") == "推荐咖啡" and one(spark, ps.reorder_negation("text"), "不要苹果的耳机") == "耳机 不要苹果"
