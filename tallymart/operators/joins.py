@@ -13,16 +13,26 @@ def enrich_hits(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     return hits.join(catalog, "product_id")
 
 
-def match_filters(filters: DataFrame, catalog: DataFrame) -> DataFrame:
+def match_filters(filters: DataFrame, catalog: DataFrame, slices: int = 256) -> DataFrame:
     """(query_id, product_id) of every filter row (query_id, want_category, price_min, price_max) against the catalog.
 
-    Filters with a category join on it; those without one meet all
-    products, so keep them few: they are broadcast by Spark if small enough.
+    Filters with a category join on it. Those without one join on slices of the
+    catalog's price range, so that a filter meets the products of its own slices only; a
+    product without a price is in the first slice, for filters without bounds.
     """
     inside = (F.col("price_min").isNull() | (F.col("base_price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("base_price") <= F.col("price_max")))
     some, free = filters.where("want_category is not null"), filters.where("want_category is null")
     keyed = some.join(catalog.withColumnRenamed("category", "want_category"), "want_category").where(inside)
-    ranged = free.join(catalog, inside)
+    span = catalog.agg(F.min("base_price").alias("_low"), F.greatest(F.max("base_price") - F.min("base_price"), F.lit(1e-9)).alias("_width"))
+
+    def slice_of(price: Column, missing: int) -> Column:
+        at = F.floor((price - F.col("_low")) / F.col("_width") * slices)
+        return F.least(F.greatest(F.coalesce(at, F.lit(missing)), F.lit(0)), F.lit(slices - 1)).cast("int")
+
+    low, high = slice_of(F.col("price_min"), 0), slice_of(F.col("price_max"), slices - 1)
+    left = free.crossJoin(span).where(low <= high).withColumn("_slice", F.explode(F.sequence(low, high)))
+    right = catalog.crossJoin(span).select("product_id", "base_price", slice_of(F.col("base_price"), 0).alias("_slice"))
+    ranged = left.join(right, "_slice").where(inside)
     return keyed.select("query_id", "product_id").unionByName(ranged.select("query_id", "product_id"))
 
 
@@ -77,16 +87,20 @@ def convert_prices(catalog: DataFrame, rates: DataFrame) -> DataFrame:
 def rate_asof(events: DataFrame, quotes: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """Each event (ts, currency) with the latest quote not after it: rate, stale (older than ttl). CNY is 1; no quote is null.
 
-    Quotes become intervals (few currencies, so windows over quotes alone); events are
-    joined by range and never windowed by currency.
+    Events and quotes meet per currency and hour. The last quote of each hour is carried
+    over to later hours in a table of a row per currency and hour, the only one that a window takes by currency alone.
     """
-    w = Window.partitionBy("currency").orderBy("quoted_at")
-    spans = quotes.groupBy("currency", "quoted_at").agg(F.max("rate").alias("rate")).withColumn("until", F.lead("quoted_at").over(w))
-    q = spans.select(F.col("currency").alias("q_currency"), "quoted_at", "until", "rate")
-    hit = (F.col("currency") == F.col("q_currency")) & (F.col("ts") >= F.col("quoted_at")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    out = events.join(q, hit, "left")
-    home = F.col("currency") == "CNY"
-    return out.withColumn("rate", F.when(home, 1.0).otherwise(F.col("rate"))).withColumn("stale", F.when(home, False).otherwise(F.unix_timestamp("ts") - F.unix_timestamp("quoted_at") > ttl_seconds)).drop("q_currency", "until", "quoted_at")
+    slot = lambda at: F.date_trunc("hour", F.col(at))
+    quote = F.struct(F.col("quoted_at").alias("at"), F.col("rate").alias("rate"))
+    said = quotes.groupBy("currency", "quoted_at").agg(F.max("rate").alias("rate")).select("currency", slot("quoted_at").alias("_slot"), F.col("quoted_at").alias("ts"), F.lit(0).alias("_kind"), quote.alias("_quote"))
+    both = events.withColumn("_slot", slot("ts")).withColumn("_kind", F.lit(1)).unionByName(said, allowMissingColumns=True)
+    hour = Window.partitionBy("currency", "_slot").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("currency").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("currency", "_slot").agg(F.max("_quote").alias("_end")).select("currency", "_slot", F.last("_end", True).over(before).alias("_carried"))
+    seen = both.withColumn("_inside", F.last("_quote", True).over(hour)).where("_kind = 1").join(ends, ["currency", "_slot"], "left")
+    got, home = F.coalesce("_inside", "_carried"), F.col("currency") == "CNY"
+    out = seen.withColumn("rate", F.when(home, 1.0).otherwise(got["rate"])).withColumn("stale", F.when(home, False).otherwise(F.unix_timestamp("ts") - F.unix_timestamp(got["at"]) > ttl_seconds))
+    return out.select(*events.columns, "rate", "stale")
 
 
 def rekey_users(table: DataFrame, mapping: DataFrame, unique: list[str]) -> DataFrame:

@@ -48,6 +48,16 @@ def price_alerts(watches: DataFrame, catalog: DataFrame, now: Column, limit: int
     return hits.withColumn("savings", F.round(F.col("target_price_cny") - F.col("price_cny"), 2)).withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
+def mark_alerted(watches: DataFrame, alerts: DataFrame, now: Column) -> DataFrame:
+    """Watches with last_alerted_at = now for those of the alerts, so that the snooze holds them back."""
+    return watches.join(alerts.select("id", F.lit(True).alias("_told")), "id", "left").withColumn("last_alerted_at", F.when(F.col("_told"), now).otherwise(F.col("last_alerted_at"))).drop("_told")
+
+
+def list_watches(watches: DataFrame) -> DataFrame:
+    """Watches with their position among their user's, newest first."""
+    return watches.withColumn("position", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows by unique key: an update replaces the row, the last one in `order` wins."""
     both = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -124,11 +134,21 @@ def cart_state(events: DataFrame) -> DataFrame:
 
 
 def cart_totals(cart: DataFrame, rates: DataFrame) -> DataFrame:
-    """Per user: quantity, CNY total over lines that can be converted (each rounded to two places), and how many cannot. cart: user_id, unit_price, currency, quantity."""
+    """Per user: quantity, CNY total over lines that can be converted (each rounded to two places), how many cannot, and their totals by currency, sorted by code. cart: user_id, unit_price, currency, quantity."""
     rate = F.when(F.col("currency") == "CNY", F.lit(1.0)).otherwise(F.col("rate"))
-    line = (F.col("unit_price").cast("decimal(18,6)") * F.col("quantity") * rate.cast("decimal(18,6)")).cast("decimal(18,2)")
-    out = cart.join(rates.select("currency", "rate"), "currency", "left").withColumn("line", line)
-    return out.groupBy("user_id").agg(F.sum("quantity").alias("quantity"), F.coalesce(F.sum("line"), F.lit(0)).cast("decimal(28,2)").alias("total_cny"), F.count_if(F.col("line").isNull()).alias("unresolved"))
+    own = F.col("unit_price").cast("decimal(18,6)") * F.col("quantity").cast("int")
+    rows = cart.join(rates.select("currency", "rate"), "currency", "left").withColumn("line", (own * rate.cast("decimal(18,6)")).cast("decimal(18,2)"))
+    per = rows.groupBy("user_id", "currency").agg(F.sum("quantity").alias("quantity"), F.sum("line").alias("line"), F.count_if(F.col("line").isNull()).alias("n"), F.sum(F.when(F.col("line").isNull(), own.cast("decimal(18,2)"))).alias("total"))
+    unresolved = F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("currency", "total"))))
+    return per.groupBy("user_id").agg(F.sum("quantity").alias("quantity"), F.coalesce(F.sum("line"), F.lit(0)).cast("decimal(28,2)").alias("total_cny"), F.sum("n").alias("unresolved"), unresolved.alias("unresolved_totals"))
+
+
+def settle_total(cart: DataFrame, pairs: DataFrame, target: str) -> DataFrame:
+    """Per user: the total in one currency, each line rounded to two places, and how many lines have no rate. pairs: currency, target, rate (decimal)."""
+    rate = pairs.where(F.col("target") == target).select("currency", F.col("rate").alias("_rate"))
+    line = (F.col("unit_price").cast("decimal(18,6)") * F.col("quantity").cast("int") * F.col("_rate")).cast("decimal(18,2)")
+    out = cart.join(rate, "currency", "left").withColumn("line", line)
+    return out.groupBy("user_id").agg(F.coalesce(F.sum("line"), F.lit(0)).cast("decimal(28,2)").alias("total"), F.count_if(F.col("line").isNull()).alias("unresolved"))
 
 
 def favorites(toggles: DataFrame) -> DataFrame:
@@ -146,3 +166,8 @@ def group_status(groups: DataFrame, members: DataFrame, catalog: DataFrame, now:
         (F.col("price_cny").cast("decimal(18,4)") * F.lit("0.85").cast("decimal(4,2)")).cast("decimal(18,2)").alias("group_price"),
         F.greatest(F.unix_timestamp("expires_at") - F.unix_timestamp(now), F.lit(0)).alias("seconds_left"),
     )
+
+
+def opener_groups(groups: DataFrame) -> DataFrame:
+    """Groups with their position among their opener's, newest first."""
+    return groups.withColumn("position", F.row_number().over(Window.partitionBy("opener_id").orderBy(F.desc("created_at"), F.desc("group_id"))))

@@ -90,13 +90,13 @@ def b10_l2_normalize(spark, sf_dir):
 
 
 FILTERS = """f AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'PROMO' END AS want_category, CASE WHEN s_suppkey % 4 = 0 THEN ['ring', 'bolt'] END AS want_subs,
- CASE WHEN s_suppkey % 5 = 0 THEN ['brand#2', 'BRAND#7'] END AS brand_include, CASE WHEN s_suppkey % 6 = 0 THEN ['Brand#2'] END AS brand_exclude, CASE WHEN s_suppkey % 2 = 0 THEN 910.0 + s_suppkey % 10 END AS price_min, CASE WHEN s_suppkey % 7 > 0 THEN 950.0 + s_suppkey % 10 END AS price_max FROM supplier WHERE s_suppkey % 10 < 9)"""
+ CASE WHEN s_suppkey % 5 = 0 THEN ['brand#2', 'BRAND#7'] END AS brand_include, CASE WHEN s_suppkey % 6 = 0 THEN ['Brand#2'] END AS brand_exclude, CASE WHEN s_suppkey % 2 = 0 THEN 910.0 + s_suppkey % 10 END AS price_min, CASE WHEN s_suppkey % 7 > 0 THEN 950.0 + s_suppkey % 10 END AS price_max FROM supplier)"""
 FITS = """(want_category IS NULL OR want_subs IS NOT NULL OR category = want_category) AND (want_subs IS NULL OR list_contains(want_subs, sub_category))
  AND (brand_include IS NULL OR list_contains(list_transform(brand_include, lambda x: lower(x)), lower(brand))) AND (brand_exclude IS NULL OR NOT list_contains(list_transform(brand_exclude, lambda x: lower(x)), lower(brand)))"""
 
 
 def filter_rows(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").where("s_suppkey % 10 < 9").selectExpr(
+    return read(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey AS query_id", "CASE s_suppkey % 3 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'PROMO' END AS want_category", "CASE WHEN s_suppkey % 4 = 0 THEN array('ring', 'bolt') END AS want_subs", "CASE WHEN s_suppkey % 5 = 0 THEN array('brand#2', 'BRAND#7') END AS brand_include",
         "CASE WHEN s_suppkey % 6 = 0 THEN array('Brand#2') END AS brand_exclude", "CASE WHEN s_suppkey % 2 = 0 THEN double(910 + s_suppkey % 10) END AS price_min", "CASE WHEN s_suppkey % 7 > 0 THEN double(950 + s_suppkey % 10) END AS price_max",
     )

@@ -55,10 +55,29 @@ def watches(spark, sf_dir):
     return lines.select(line_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("target_price_cny"), F.col("o_orderdate").alias("created_at"), F.when(F.col("l_orderkey") % 3 == 0, now() - F.expr("INTERVAL 2 HOURS")).alias("last_alerted_at"))
 
 
-@query(PRICED + f", {WATCH}, h AS (SELECT wt.*, CAST(price_cny AS DOUBLE) AS price FROM wt JOIN pr USING (product_id) WHERE last_alerted_at IS NULL AND price_cny <= target_price_cny), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id, product_id, target_price_cny) AS position FROM h) SELECT user_id, count(*) AS alerts, CAST(sum(CAST(target_price_cny - price AS DECIMAL(18,2))) AS DOUBLE) AS savings FROM r WHERE position <= 1000 GROUP BY 1")
-def j4_price_alerts(spark, sf_dir):
+ALERTS = PRICED + f", {WATCH}, h AS (SELECT wt.*, CAST(price_cny AS DOUBLE) AS price FROM wt JOIN pr USING (product_id) WHERE last_alerted_at IS NULL AND price_cny <= target_price_cny), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS position FROM h)"
+
+
+def alerts(spark, sf_dir):
     p = priced(spark, sf_dir).select("product_id", F.col("price_cny").cast("double").alias("price_cny"))
-    return lc.price_alerts(watches(spark, sf_dir), p, now(), 1000).groupBy("user_id").agg(F.count("*").alias("alerts"), F.sum(F.col("savings").cast("decimal(18,2)")).cast("double").alias("savings"))
+    return lc.price_alerts(watches(spark, sf_dir), p, now(), 10)
+
+
+@query(ALERTS + " SELECT id, user_id, product_id, CAST(CAST(target_price_cny - price AS DECIMAL(18,2)) AS DOUBLE) AS savings, CAST(position AS INTEGER) AS position FROM r WHERE position <= 10")
+def j4_price_alerts(spark, sf_dir):
+    """The first ten alerts of each user, the limit of a request."""
+    return alerts(spark, sf_dir).select("id", "user_id", "product_id", F.col("savings").cast("decimal(18,2)").cast("double").alias("savings"), "position")
+
+
+@query(ALERTS + f" SELECT wt.id, CASE WHEN r.id IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE wt.last_alerted_at END AS last_alerted_at FROM wt LEFT JOIN (SELECT id FROM r WHERE position <= 10) r USING (id)")
+def j4_mark_alerted(spark, sf_dir):
+    return lc.mark_alerted(watches(spark, sf_dir), alerts(spark, sf_dir), now()).select("id", "last_alerted_at")
+
+
+@query(f"WITH {WATCH} SELECT user_id, id, product_id, target_price_cny, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS position FROM wt")
+def j6_list_watches(spark, sf_dir):
+    """Every user's watches, newest first."""
+    return lc.list_watches(watches(spark, sf_dir)).select("user_id", "id", "product_id", "target_price_cny", "position")
 
 
 @query(f"WITH {WATCH}, s AS (SELECT user_id, product_id, max(created_at) AS created_at, bool_or(l_linenumber > 4) AS updated FROM wt GROUP BY ALL), g AS (SELECT user_id, product_id, updated, CASE WHEN updated THEN (SELECT max(created_at) FROM wt w WHERE w.user_id = s.user_id AND w.product_id = s.product_id AND l_linenumber > 4) ELSE created_at END AS created_at FROM s) SELECT user_id, product_id, created_at FROM g WHERE product_id % 10 > 0")
@@ -102,9 +121,9 @@ def e10_preference_rerank(spark, sf_dir):
     return rt.preference_rerank(ranked, scores).select("query_id", "product_id", "bonus", "new_rank")
 
 
-@query(f"WITH {FB}, q AS (SELECT 'USD' AS currency, ts AS quoted_at, value AS rate, lead(ts) OVER (ORDER BY ts) AS until FROM (SELECT ts, max(value) AS value FROM events WHERE event_type = 'view' AND event_id % 5 = 0 GROUP BY ts)) SELECT id, CASE WHEN id % 3 = 0 THEN 1.0 WHEN id % 3 = 1 THEN q.rate END AS rate, CASE WHEN id % 3 = 0 THEN false ELSE epoch(date_trunc('second', ts)) - epoch(date_trunc('second', quoted_at)) > 3600 END AS stale FROM fb LEFT JOIN q ON id % 3 = 1 AND ts >= quoted_at AND (until IS NULL OR ts < until)")
+@query(f"WITH {FB}, q AS (SELECT 'USD' AS currency, ts AS quoted_at, value AS rate, lead(ts) OVER (ORDER BY ts) AS until FROM (SELECT ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY ts)) SELECT id, CASE WHEN id % 3 = 0 THEN 1.0 WHEN id % 3 = 1 THEN q.rate END AS rate, CASE WHEN id % 3 = 0 THEN false ELSE epoch(date_trunc('second', ts)) - epoch(date_trunc('second', quoted_at)) > 3600 END AS stale FROM fb LEFT JOIN q ON id % 3 = 1 AND ts >= quoted_at AND (until IS NULL OR ts < until)")
 def d8_rate_asof(spark, sf_dir):
-    quotes = read(spark, sf_dir, "events").where("event_type = 'view' and event_id % 5 = 0").select(F.lit("USD").alias("currency"), F.col("ts").alias("quoted_at"), F.col("value").alias("rate"))
+    quotes = read(spark, sf_dir, "events").where("event_type = 'view'").select(F.lit("USD").alias("currency"), F.col("ts").alias("quoted_at"), F.col("value").alias("rate"))
     rows = feedback(spark, sf_dir).select("id", "ts", F.expr("CASE id % 3 WHEN 0 THEN 'CNY' WHEN 1 THEN 'USD' ELSE 'JPY' END").alias("currency"))
     return jn.rate_asof(rows, quotes).select("id", "rate", "stale")
 
@@ -141,10 +160,26 @@ def g7_cart_state(spark, sf_dir):
     return cart(spark, sf_dir)
 
 
-@query(PRICED + f", {CART} SELECT user_id, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(coalesce(sum(CAST(CAST(base_price AS DECIMAL(18,6)) * CAST(quantity AS INTEGER) * CASE currency WHEN 'CNY' THEN 1 WHEN 'USD' THEN 7 END AS DECIMAL(18,2))), 0) AS DOUBLE) AS total_cny, count(*) FILTER (WHERE currency = 'JPY') AS unresolved FROM cs JOIN pr USING (product_id) GROUP BY 1")
+LINES = PRICED + f""", {CART}, ln AS (SELECT user_id, CAST(quantity AS INTEGER) AS quantity, currency, base_price, CAST(CAST(base_price AS DECIMAL(18,6)) * CAST(quantity AS INTEGER) * CASE currency WHEN 'CNY' THEN 1 WHEN 'USD' THEN 7 END AS DECIMAL(18,2)) AS cny FROM cs JOIN pr USING (product_id)),
+ lo AS (SELECT user_id, currency, sum(CAST(CAST(base_price AS DECIMAL(18,6)) * quantity AS DECIMAL(18,2))) AS open FROM ln WHERE cny IS NULL GROUP BY ALL), ul AS (SELECT user_id, string_agg(currency || ' ' || CAST(open AS VARCHAR), ',' ORDER BY currency) AS unresolved_totals FROM lo GROUP BY 1)"""
+
+
+def cart_lines(spark, sf_dir):
+    return cart(spark, sf_dir).join(catalog_view(spark, sf_dir), "product_id").withColumnRenamed("base_price", "unit_price")
+
+
+@query(LINES + " SELECT user_id, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(coalesce(sum(cny), 0) AS DOUBLE) AS total_cny, count(*) FILTER (WHERE cny IS NULL) AS unresolved, any_value(unresolved_totals) AS unresolved_totals FROM ln LEFT JOIN ul USING (user_id) GROUP BY 1")
 def g8_cart_totals(spark, sf_dir):
-    lines = cart(spark, sf_dir).join(catalog_view(spark, sf_dir), "product_id").withColumnRenamed("base_price", "unit_price")
-    return lc.cart_totals(lines, rates(spark)).withColumn("total_cny", F.col("total_cny").cast("double"))
+    out = lc.cart_totals(cart_lines(spark, sf_dir), rates(spark))
+    return out.withColumn("total_cny", F.col("total_cny").cast("double")).withColumn("unresolved_totals", F.nullif(F.array_join(F.transform("unresolved_totals", lambda x: F.concat_ws(" ", x["currency"], x["total"].cast("string"))), ","), F.lit("")))
+
+
+@query(LINES + " SELECT user_id, CAST(coalesce(sum(CAST(CASE currency WHEN 'USD' THEN CAST(base_price AS DECIMAL(18,6)) * quantity WHEN 'CNY' THEN CAST(base_price AS DECIMAL(18,6)) * quantity * CAST(0.142857 AS DECIMAL(18,6)) END AS DECIMAL(18,2))), 0) AS DOUBLE) AS total, count(*) FILTER (WHERE currency = 'JPY') AS unresolved FROM ln GROUP BY 1")
+def g8_settle_total(spark, sf_dir):
+    """Carts settled in USD: each line is rounded on its own."""
+    pairs = spark.createDataFrame([("USD", "USD", "1"), ("CNY", "USD", "0.142857")], "currency string, target string, rate string").withColumn("rate", F.col("rate").cast("decimal(18,6)"))
+    out = lc.settle_total(cart_lines(spark, sf_dir), pairs, "USD")
+    return out.withColumn("total", F.col("total").cast("double"))
 
 
 @query("SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 50 AS product_id FROM events WHERE event_type = 'click' GROUP BY ALL HAVING count(*) % 2 = 1")
@@ -159,6 +194,13 @@ def g10_group_status(spark, sf_dir):
     return lc.group_status(groups, members, priced(spark, sf_dir), now()).drop("opener_id").withColumn("group_price", F.col("group_price").cast("double"))
 
 
+@query("SELECT o_custkey AS opener_id, o_orderkey AS group_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS position FROM orders")
+def g10_opener_groups(spark, sf_dir):
+    """Every opener's groups, newest first."""
+    groups = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("group_id"), F.col("o_custkey").alias("opener_id"), F.col("o_orderdate").alias("created_at"))
+    return lc.opener_groups(groups).select("opener_id", "group_id", "position")
+
+
 @query("SELECT l_partkey AS product_id, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1")
 def a3_latest_by_key(spark, sf_dir):
     return lc.latest_by_key(read(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_shipdate", "l_orderkey"]).select(F.col("l_partkey").alias("product_id"), F.col("l_shipdate").alias("shipped"))
