@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over pairs (a, b) with a > b."""
-    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = near.join(least, "a")
-    if large:
-        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+def least_neighbours(edges: DataFrame) -> DataFrame:
+    """(a, low, n): the least smaller neighbour of each node that has one, and how many it has."""
+    return cut(edges.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node in an edge (a, b); component: the least node reachable.
 
     Edges may come in either direction and repeatedly; loops and nulls are
-    ignored. Each round is written to the checkpoint folder. Hubs are safe:
-    a round takes minima and joins on them, and gathers no neighbourhoods.
+    ignored. They are kept as (larger, smaller), so a large-star step moves
+    every edge from its smaller end to that end's least neighbour, and a
+    small-star step ties the smaller ends of a node to the least of them. It
+    is done when every larger end has one edge and no smaller end has any. Hubs
+    are safe: a step takes minima and joins on them, and gathers no
+    neighbourhoods; each step is written, so that small ones join without a
+    shuffle and skewed ones are split.
     """
     edges = edges.where("a is not null and b is not null and a != b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    least = least_neighbours(edges)
     for _ in range(most):
-        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        before = now
-        edges = cut(star(star(edges, True), False))
+        of_low = least.select(F.col("a").alias("b"), F.col("low").alias("lower"))
+        moved = edges.join(of_low, "b", "left").select("a", "b", "lower")
+        if not least.where("n > 1").limit(1).count() and not moved.where("lower is not null").limit(1).count():
+            roots = least.select(F.col("low").alias("node")).distinct()
+            return least.select(F.col("a").alias("node"), F.col("low").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+        large = cut(moved.select("a", F.coalesce("lower", "b").alias("b")))
+        hubs = least_neighbours(large)
+        small = large.join(hubs.select("a", "low"), "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        done, edges = (edges, least, large, hubs), cut(small.unionByName(hubs.select("a", F.col("low").alias("b"))).distinct())
+        least = least_neighbours(edges)
+        discard(*done)
     raise RuntimeError(f"components did not settle in {most} rounds")

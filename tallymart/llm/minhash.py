@@ -1,11 +1,15 @@
 """Operator 3, MinHash near-dedup: hash minima, banding, verification, components.
 
 Copies with equal shingle sets collapse to one representative first. Within a
-band's bucket only links to a centre are tried: the least id, then the member
-that shares most buckets with others. Members that are then still in other components than
-their bucket's largest one are compared with the bucket in blocks inside the tasks,
-by signatures first, then by full sets; only verified links leave them. So a bucket of many
-near copies costs a test per member, and no link that changes a component is lost.
+band's bucket only links to a centre, the least id, are tried. Members that are then still in
+other components than their bucket's largest one are compared with the bucket in blocks inside
+the tasks, by signatures first, then by full sets; only verified links leave them, and they
+join whole components. So a bucket of many near copies costs a test per member, and no link
+that changes a component is lost.
+
+Only ids pass through the bands. A signature is one byte of each minimum, and
+a band's bucket is named by its bytes, so signatures are kept once per
+representative and joined where they are compared.
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, strings
+from .common import blocks, cut, discard, strings
 from .components import components
 from .hashing import lower_ascii, mix, window_hashes, word_hashes, word_spans
 
 #: 26 bands of 5 minima find a pair of similarity 0.85 but for 2 in 10 million.
 BANDS, ROWS = 26, 5
-#: Members compared with one copy of a centre in one run of rows.
-SALTED = 512
+#: Rows of pairs whose full sets are held at once.
+PAIRS = 256
 #: Members of a bucket, at most about, on either side of a block.
-BLOCK = 2048
-FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"
+BLOCK = 1024
+FEATURES = "doc_id long, n_shingles long, s1 long, s2 long, sig binary, packed binary"
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +69,15 @@ def minima(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """Set size, identity of the set, one byte of each minimum, and the bands' hashes."""
+    """Set size, identity of the set, one byte of each minimum, and the compressed text of documents with a set."""
 
     def run(batches):
+        import zstandard
+
+        tool = zstandard.ZstdCompressor(level=1)
         for block in blocks(batches, 1 << 20):
-            hashes, counts = shingle_sets(strings(block.column("text")), size)
+            texts = strings(block.column("text"))
+            hashes, counts = shingle_sets(texts, size)
             full = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[full]
             same = np.zeros((2, len(counts)), np.uint64)
@@ -77,19 +85,22 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 same[0, full] = np.add.reduceat(mix(hashes.copy()), starts)
                 same[1, full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
             least = minima(hashes, counts, bands * rows)
-            banded = np.stack([window_hashes(least[:, i * rows : (i + 1) * rows].astype(np.uint64).ravel(), rows)[::rows] for i in range(bands)], 1) if len(full) else np.zeros((0, bands), np.uint64)
-            sig = [None] * len(counts)
-            band = [[]] * len(counts)
+            sig, packed = [None] * len(counts), [None] * len(counts)
             for row, i in enumerate(full):
-                sig[i], band[i] = least[row].astype(np.uint8).tobytes(), banded[row].view(np.int64)
+                sig[i], packed[i] = least[row].astype(np.uint8).tobytes(), tool.compress(texts[i])
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "sig", "bands"],
+                [block.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(packed, pa.binary())],
+                names=["doc_id", "n_shingles", "s1", "s2", "sig", "packed"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the documents: shuffled and merged at every size, so that a small run foretells a large one."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def alike(pairs: DataFrame, signatures: DataFrame, similarity: float, n: int) -> DataFrame:
     """Signature verification: pairs (a, b) whose minima agree in about `similarity` of all, five standard deviations allowed."""
     floor = floor_of(similarity, n)
@@ -102,55 +113,33 @@ def alike(pairs: DataFrame, signatures: DataFrame, similarity: float, n: int) ->
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c in "xy")
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= floor))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return sorted_join(sorted_join(pairs, left, "a"), right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Compressed texts of these documents."""
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union. A much used a comes last, in a join that Spark splits."""
+    with_b = sorted_join(pairs, texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("right")), "b")
+    both = sorted_join(with_b, texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("left")), "a").select("a", "b", "left", "right")
 
     def run(batches):
         import zstandard
 
-        tool = zstandard.ZstdCompressor(level=1)
-        for block in blocks(batches, 8 << 20):
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([tool.compress(t) for t in strings(block.column("text"))], pa.binary())], names=["doc_id", "packed"])
-
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, packed binary")
-
+        tool = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for first in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(first, PAIRS)
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                packed = dict(zip(a, batch.column("left").to_pylist())) | dict(zip(b, batch.column("right").to_pylist()))
+                sets = dict(zip(packed, split_sets([tool.decompress(t) for t in packed.values()], size)))
+                good = [similar(sets[x], sets[y], percent) for x, y in zip(a, b)]
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets satisfy 100 * intersection >= percent * union. Rows of a centre a lie together; a much used one is repeated by salt."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED).alias("salts"))
-    members = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts")).select("a", "salt", "b")
-    centres = counts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    left = centres.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "packed")
-    right = members.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "packed")
+    return both.mapInArrow(run, "a long, b long")
 
-    def run(batches):
-        import zstandard
 
-        tool = zstandard.ZstdDecompressor()
-        now, own = None, None
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            packed = batch.column("packed").to_pylist()
-            out = [], []
-            for first in range(0, len(a), 256):
-                texts = [tool.decompress(x) for x in packed[first : first + 256]]
-                hashes, sizes = shingle_sets(texts, size)
-                for i, other in enumerate(np.split(hashes, np.cumsum(sizes)[:-1]), first):
-                    if b[i] is None:
-                        now, own = a[i], other
-                        continue
-                    assert now == a[i]
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        out[0].append(a[i])
-                        out[1].append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-
-    return left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def floor_of(similarity: float, n: int) -> float:
@@ -164,7 +153,7 @@ def in_blocks(mixed: DataFrame, run, schema: str, payload: list[str]) -> DataFra
     run(others, members) gets record batches of at most about BLOCK rows each.
     """
     kinds = mixed.groupBy("band", "h", "c").agg(F.count("*").alias("n"))
-    sizes = kinds.groupBy("band", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("sides"))
+    sizes = cut(kinds.groupBy("band", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).alias("sides")))
     rows = mixed.join(sizes, ["band", "h"])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["band", "h", "side", "block"]
@@ -193,26 +182,27 @@ def matrix(batch, name: str, width: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(-1, width)
 
 
-def plausible(others, members, floor: float):
+def plausible(others, members, floor: float, rows: int):
     """Per row of `others`: the members of other components to compare, best first; not those met in an earlier band's bucket."""
     n = len(others.column("sig")[0].as_py())
     x, y = matrix(others, "sig", n, np.uint8), matrix(members, "sig", n, np.uint8)
-    bands, other_bands = (np.array(t.column("bands").to_pylist(), np.int64) for t in (others, members))
     c, other_c = (t.column("c").to_numpy(zero_copy_only=False) for t in (others, members))
-    band = others.column("band")[0].as_py()
+    before = others.column("band")[0].as_py() * rows
     for i in range(len(x)):
-        agree = (y == x[i]).mean(1)
-        agree[(other_c == c[i]) | (other_bands[:, :band] == bands[i, :band]).any(1)] = -1
+        same = y == x[i]
+        agree = same.mean(1)
+        agree[(other_c == c[i]) | same[:, :before].reshape(len(y), -1, rows).all(2).any(1)] = -1
         near = np.flatnonzero(agree >= floor)
         yield i, near[np.argsort(-agree[near], kind="stable")]
 
 
-def completed(mixed: DataFrame, texts: DataFrame, size: int, percent: int, floor: float) -> DataFrame:
-    """Verified links (a, b) between members of a bucket that are in different components."""
+def completed(mixed: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int, n: int) -> DataFrame:
+    """Verified links between members of a bucket that are in different components, as pairs (a, b) of those components."""
+    floor = floor_of(percent / 100, n)
 
     def flag(others, members):
         found, other_found = set(), set()
-        for i, near in plausible(others, members, floor):
+        for i, near in plausible(others, members, floor, rows):
             if len(near):
                 found.add(i)
                 other_found.update(near.tolist())
@@ -224,7 +214,6 @@ def completed(mixed: DataFrame, texts: DataFrame, size: int, percent: int, floor
 
         tool = zstandard.ZstdDecompressor()
         sets = [split_sets([tool.decompress(t) for t in batch.column("packed").to_pylist()], size) for batch in (others, members)]
-        ids = [batch.column("b").to_pylist() for batch in (others, members)]
         comps = [batch.column("c").to_pylist() for batch in (others, members)]
         of: dict[int, int] = {}
 
@@ -234,7 +223,7 @@ def completed(mixed: DataFrame, texts: DataFrame, size: int, percent: int, floor
             return c
 
         out = [], []
-        for i, near in plausible(others, members, floor):
+        for i, near in plausible(others, members, floor, rows):
             own = sets[0][i]
             for first in range(0, len(near), 32):
                 some = [k for k in near[first : first + 32].tolist() if find(comps[1][k]) != find(comps[0][i])]
@@ -247,13 +236,13 @@ def completed(mixed: DataFrame, texts: DataFrame, size: int, percent: int, floor
                 for k, good in zip(some, 100 * both >= percent * (len(own) + lengths - both)):
                     if good and find(comps[1][k]) != find(comps[0][i]):
                         of[find(comps[0][i])] = find(comps[1][k])
-                        out[0].append(ids[0][i])
-                        out[1].append(ids[1][k])
+                        out[0].append(comps[0][i])
+                        out[1].append(comps[1][k])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    flagged = in_blocks(mixed, flag, "band int, h long, b long, c long", ["sig", "bands"]).distinct()
-    full = cut(flagged.join(mixed.select("band", "h", "b", "sig", "bands"), ["band", "h", "b"]))
-    return in_blocks(full.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b"), verify, "a long, b long", ["sig", "bands", "packed"])
+    flagged = cut(in_blocks(mixed.join(sigs, "b"), flag, "band int, h binary, b long, c long", ["sig"]).distinct())
+    payload = sigs.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b")
+    return in_blocks(flagged.join(payload, "b"), verify, "a long, b long", ["sig", "packed"])
 
 
 def split_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -261,31 +250,32 @@ def split_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return np.split(hashes, np.cumsum(counts)[:-1])
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """Enough verified links between representatives to connect all that are linked."""
+def with_component(nodes: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """`nodes` with their component under `name` in its place; a node in no link is its own."""
+    return nodes.join(groups.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("component", name)).drop("component")
+
+
+def linked_groups(sets: DataFrame, reps: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, c): the component of every representative."""
     n = bands * rows
-    bucketed = reps.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    shared = bucketed.groupBy("band", "h").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    joined = cut(bucketed.withColumnRenamed("doc_id", "b").join(shared, ["band", "h"]))
+    of_bands = F.expr(f"transform(sequence(0, {bands - 1}), i -> substring(sig, i * {rows} + 1, {rows}))")
+    bucketed = reps.select(F.col("doc_id").alias("b"), F.posexplode(of_bands).alias("band", "h"))
+    shared = cut(bucketed.groupBy("band", "h").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"))
+    joined = cut(sorted_join(bucketed, shared, ["band", "h"]))
+    discard(shared)
     tried = cut(alike(joined.where("a != b").select("a", "b").distinct(), reps, percent / 100, n))
-    texts = cut(packed_texts(docs, joined.select(F.col("b").alias("doc_id")).distinct()))
-    found = cut(verified(tried, texts, size, percent))
-    crowded = joined.where("n > 2")
-    standing = crowded.groupBy("b").agg(F.sum("n").alias("met"))
-
-    def split(groups):
-        placed = crowded.join(groups.withColumnRenamed("node", "b"), "b", "left").select("band", "h", "b", F.coalesce("component", "b").alias("c"))
-        return placed, placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band", "h")
-
-    placed, open_buckets = split(components(found))
-    mixed = cut(placed.join(open_buckets, ["band", "h"], "left_semi").join(standing, "b"))
-    centres = mixed.groupBy("band", "h").agg(F.max_by(F.struct("b", "c"), F.struct("met", F.lit(0) - F.col("b"))).alias("centre"))
-    pairs = mixed.join(centres, ["band", "h"]).where("c != centre.c").select(F.least("b", "centre.b").alias("a"), F.greatest("b", "centre.b").alias("b")).distinct()
-    more = alike(pairs.join(tried, ["a", "b"], "left_anti"), reps, percent / 100, n)
-    found = cut(found.unionByName(verified(cut(more), texts, size, percent)))
-    placed, open_buckets = split(components(found))
-    mixed = cut(placed.join(open_buckets, ["band", "h"], "left_semi").join(reps.select(F.col("doc_id").alias("b"), "sig", "bands"), "b"))
-    return cut(found.unionByName(completed(mixed, texts, size, percent, floor_of(percent / 100, n))))
+    texts = cut(sorted_join(sets.select("doc_id", "packed"), joined.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    groups = cut(components(cut(verified(tried, texts, size, percent))))
+    out = with_component(reps.select("doc_id", F.col("doc_id").alias("c")), groups, "c")
+    placed = cut(with_component(joined.where("n > 2").select("band", "h", "b", F.col("b").alias("c")), groups, "c"))
+    discard(joined, tried)
+    split = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band", "h")
+    mixed = cut(placed.join(cut(split), ["band", "h"], "left_semi"))
+    discard(placed)
+    if not mixed.limit(1).count():
+        return out
+    sigs = reps.select(F.col("doc_id").alias("b"), "sig")
+    return with_component(out, components(completed(mixed, sigs, texts, size, percent, rows, n)), "c")
 
 
 def minhash_dedup(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -307,9 +297,11 @@ def minhash_dedup(docs: DataFrame, size: int = 5, percent: int = 80, bands: int
     """
     sets = cut(features(docs, size, bands, rows))
     full = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("rep")).select("s1", "s2", "rep.*"))
-    groups = components(links(docs, reps, size, percent, bands, rows))
-    classes = reps.select("s1", "s2", F.col("doc_id").alias("node")).join(groups, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("of_set"))
-    out = sets.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    of = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("of_set")).otherwise(F.col("doc_id"))
+    classes = cut(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id")))
+    reps = cut(sorted_join(full, classes, ["s1", "s2", "doc_id"], "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]))
+    groups = linked_groups(sets, reps, size, percent, bands, rows)
+    of_sets = cut(classes.join(groups, "doc_id").select("s1", "s2", "c"))
+    discard(classes)
+    out = sorted_join(sets.select("doc_id", "n_shingles", "s1", "s2"), of_sets, ["s1", "s2"], "left")
+    of = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", of.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
