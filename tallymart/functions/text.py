@@ -17,12 +17,12 @@ def col(c: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-cased words; runs of CJK characters become their bigrams (a single one stays). Null gives an empty array."""
+    """Lower-cased words; runs of CJK characters become their bigrams (a single one stays). Null gives an empty array. Texts without CJK take one pass."""
     low = F.lower(F.coalesce(col(text), F.lit("")))
     words = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{N}}_&&[^{CJK}]]+"), F.lit(0))
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
-    return F.concat(words, pairs)
+    return F.when(low.rlike(f"[{CJK}]"), F.concat(words, pairs)).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def contains_any(text: Column | str, terms: Sequence[str]) -> Column:

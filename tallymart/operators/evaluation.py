@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,11 @@ def overall(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("cases"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
 
 
-def by_tag(metrics: DataFrame, tags: DataFrame) -> DataFrame:
-    """Means per tag; a case counts in all its tags (query_id, tags), one without any as `untagged`."""
+def by_tag(metrics: DataFrame, tags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Means per tag (and columns `by`); a case counts in all its tags (query_id, tags), one without any as `untagged`."""
     none = F.array(F.lit("untagged"))
     tagged = metrics.join(tags, "query_id", "left").select("*", F.explode(F.when(F.size("tags") > 0, F.col("tags")).otherwise(none)).alias("tag"))
-    return tagged.groupBy("tag").agg(F.count("*").alias("cases"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
+    return tagged.groupBy("tag", *by).agg(F.count("*").alias("cases"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
 
 
 def no_match(results: DataFrame, cases: DataFrame, titles: DataFrame) -> DataFrame:
@@ -69,6 +71,23 @@ def compare_modes(metrics: DataFrame, baseline: str) -> DataFrame:
     return out.select("metric", "mode", "value", (sign * F.col("value") == top).alias("best"), F.round(F.col("value") - F.col("base"), 6).alias("lift"))
 
 
+def compare_tags(metrics: DataFrame, tags: DataFrame, baseline: str) -> DataFrame:
+    """Mean and lift over the baseline per (metric, tag, mode). metrics: query_id, mode and the columns METRICS; tags: query_id, tags."""
+    means = by_tag(metrics, tags, ["mode"])
+    long = means.select("tag", "mode", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))).alias("x")).select("tag", "mode", "x.metric", "x.value")
+    base = long.where(F.col("mode") == baseline).select("metric", "tag", F.col("value").alias("base"))
+    return long.join(base, ["metric", "tag"], "left").select("metric", "tag", "mode", "value", F.round(F.col("value") - F.col("base"), 6).alias("lift"))
+
+
+def largest_changes(metrics: DataFrame, metric: str, baseline: str) -> DataFrame:
+    """Per mode other than the baseline: the case with the largest gain and the one with the largest loss in a metric (the lower query_id at ties); null where no case gained or lost."""
+    base = metrics.where(F.col("mode") == baseline).select("query_id", F.col(metric).alias("base"))
+    change = metrics.where(F.col("mode") != baseline).join(base, "query_id").withColumn("change", F.round(F.col(metric) - F.col("base"), 6)).where("change is not null")
+    top = lambda sign: F.max(F.when(sign * F.col("change") > 0, F.struct((sign * F.col("change")).alias("by"), (-F.col("query_id")).alias("id"))))
+    out = change.groupBy("mode").agg(top(1).alias("up"), top(-1).alias("down"))
+    return out.select("mode", (-F.col("up.id")).alias("gain_case"), F.col("up.by").alias("gain"), (-F.col("down.id")).alias("loss_case"), (-F.col("down.by")).alias("loss"))
+
+
 def case_counts(cases: DataFrame) -> DataFrame:
     return cases.agg(
         F.count("*").alias("cases"),
@@ -112,3 +131,29 @@ def title_rules(results: DataFrame, rules: DataFrame) -> DataFrame:
     out = rules.join(shown, "query_id", "left")
     good = F.col("titles").isNotNull() & ((F.size(F.coalesce("required", F.array().cast("array<string>"))) == 0) | has("required")) & ~F.coalesce(has("forbidden"), F.lit(False))
     return out.select("query_id", F.coalesce(good, F.lit(False)).alias("passed"))
+
+
+def vector_eval(hits: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """Leave-one-in evaluation of vector hits (query_id, product_id, rank), ids from one set: per query label, category, brand, self_recall1, self_recallk, and precision of label and brand among the hits other than itself.
+
+    labels: product_id, category, brand. The first k rows count; a query
+    that finds nothing but itself has null precisions.
+    """
+    own = labels.select(F.col("product_id").alias("query_id"), F.col("category").alias("own_category"), F.col("brand").alias("own_brand"))
+    rows = hits.where(F.col("rank") <= k).join(labels, "product_id").join(own, "query_id")
+    me = F.col("query_id") == F.col("product_id")
+    part = lambda same: F.count_if(~me & same) / F.nullif(F.count_if(~me), F.lit(0))
+    return rows.groupBy("query_id", F.col("own_category").alias("category"), F.col("own_brand").alias("brand")).agg(
+        F.max(me & (F.col("rank") == 1)).cast("int").alias("self_recall1"), F.max(me).cast("int").alias("self_recallk"),
+        part(F.col("category").eqNullSafe(F.col("own_category"))).alias("category_precision"), part(F.col("brand").eqNullSafe(F.col("own_brand"))).alias("brand_recall"),
+    )
+
+
+VECTOR_METRICS = ("self_recall1", "self_recallk", "category_precision", "brand_recall")
+
+
+def vector_means(per_query: DataFrame) -> DataFrame:
+    """Means of vector_eval() overall (a null category) and per category."""
+    means = [F.count("*").alias("queries"), *(F.round(F.avg(m), 6).alias(m) for m in VECTOR_METRICS)]
+    each = per_query.where("category is not null").groupBy(F.col("category").cast("string").alias("category")).agg(*means)
+    return per_query.agg(*means).withColumn("category", F.lit(None).cast("string")).unionByName(each)

@@ -28,16 +28,16 @@ def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], np
 
 def hashed_tokens() -> Callable[[list[str]], np.ndarray]:
     """Default encoder: signed hashed bags of words."""
+    import hashlib
     import re
-    import zlib
 
     word = re.compile(r"\w+")
 
     def run(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), WIDTH), np.float32)
+        out = np.zeros((len(texts), WIDTH))
         for row, text in zip(out, texts):
             for w in word.findall(text.lower()):
-                h = zlib.crc32(w.encode())
+                h = int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest()[:4], "big")
                 row[h % WIDTH] += 1 if h & 64 else -1
         return out
 
@@ -45,7 +45,7 @@ def hashed_tokens() -> Callable[[list[str]], np.ndarray]:
 
 
 def hashed_embedding(text: str) -> Column:
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         x = hashed_tokens()(texts.fillna("").tolist())
         norm = np.linalg.norm(x, axis=1, keepdims=True)

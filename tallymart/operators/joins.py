@@ -36,12 +36,22 @@ def match_filters(filters: DataFrame, catalog: DataFrame, slices: int = 256) ->
     return keyed.select("query_id", "product_id").unionByName(ranged.select("query_id", "product_id"))
 
 
+def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(whole, part) of all distinct strings where one holds the other. They meet on the part's first three letters (or all it has), which must be among the whole's."""
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("whole") - n + 1, F.lit(1))), lambda i: F.substring(F.col("whole"), i, F.lit(n)))
+    keyed = parts.where("part != ''").select("part").distinct().withColumn("key", F.substring("part", 1, 3))
+    held = wholes.where("whole != ''").select("whole").distinct().withColumn("key", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
+    return held.join(keyed, "key").where(F.contains("whole", "part")).select("whole", "part")
+
+
 def brand_origin(brands: DataFrame, origins: DataFrame) -> DataFrame:
     """(brand, country) of distinct brands: exact key of the origin table (known, country, ordinal), else the first known brand that contains or is contained in it."""
     keys = brands.where("brand is not null").select("brand", F.lower(F.trim("brand")).alias("key")).where("key != ''").distinct()
     exact = keys.join(origins.select(F.col("known").alias("key"), "country", "ordinal"), "key").groupBy("brand").agg(F.min_by("country", "ordinal").alias("country"))
     rest = keys.join(exact, "brand", "left_anti")
-    loose = rest.join(origins, F.contains("key", "known") | F.contains("known", "key")).groupBy("brand").agg(F.min_by("country", "ordinal").alias("country"))
+    keys, known = rest.select(F.col("key").alias("whole")), origins.select(F.col("known").alias("whole"))
+    within = containing(keys, known.withColumnRenamed("whole", "part")).toDF("key", "known").unionByName(containing(known, keys.withColumnRenamed("whole", "part")).toDF("known", "key"))
+    loose = rest.join(within, "key").join(origins, "known").groupBy("brand").agg(F.min_by("country", "ordinal").alias("country"))
     return exact.unionByName(loose)
 
 

@@ -29,9 +29,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFra
     document; the others are only counted, partly in the scan.
     """
     terms = docs.select("product_id", tokens("text").alias("terms"))
-    size = terms.agg(F.count("*").alias("docs"), F.avg(F.size("terms")).alias("mean_dl"))
-    counts = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.crossJoin(F.broadcast(size)).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
+    # One pass counts the documents of every term and, under a null term, all documents and their lengths.
+    each = terms.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
+    counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+    size = counts.where("term is null").select(F.col("df").alias("docs"), (F.col("total") / F.col("df")).alias("mean_dl"))
+    raw = counts.where("term is not null").crossJoin(F.broadcast(size)).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()

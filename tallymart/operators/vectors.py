@@ -20,12 +20,12 @@ def l2_normalize(vector):
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, other: bool = False, tasks: int | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, other: bool = False, slices: int = 256) -> DataFrame:
     """Cosine top-k: queries (query_id, vector) against vectors (product_id, vector), each of unit norm.
 
-    Queries are packed into blocks; every block meets every slice of the
-    vectors in one task, which returns its best k per query. So a row is shuffled per query, slice
-    and k, never per pair. `other` leaves out the vector whose id is the query's.
+    Both are packed into blocks. The blocks of vectors are dealt to `slices`, and every
+    block of queries goes to each slice (or, if Spark finds them small, to every task); a pair of blocks returns its
+    best k per query. So a row is shuffled per query, block and k, never per pair. `other` leaves out the vector whose id is the query's.
     """
     def packed(batches):
         for batch in batches:
@@ -36,7 +36,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, other: bool = Fa
 
     left = queries.where("vector is not null").select(F.col("query_id").cast("long").alias("id"), "vector").mapInArrow(packed, "ids binary, x binary, dims int")
     right = vectors.where("vector is not null").select(F.col("product_id").cast("long").alias("id"), "vector").mapInArrow(packed, "ids binary, x binary, dims int")
-    pairs = left.select("dims", F.col("ids").alias("q"), F.col("x").alias("qx")).join(right.select("dims", F.col("ids").alias("v"), F.col("x").alias("vx")), "dims")
+    left = left.select("dims", F.col("ids").alias("q"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    pairs = left.join(right.select("dims", F.col("ids").alias("v"), F.col("x").alias("vx"), F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int").alias("slice")), ["slice", "dims"])
 
     def best(batches):
         for batch in batches:

@@ -217,19 +217,6 @@ def e15_search_relaxed(spark, sf_dir):
     return se.search_relaxed(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS)
 
 
-@query()
-def e5_hybrid_topk(spark, sf_dir):
-    """BM25 over documents fused with vectors: documents and items by hashed-token embeddings."""
-    from ..operators.hooks import hashed_embedding
-    from ..operators.retrieval import bm25_topk, rrf
-    from ..operators.vectors import vector_topk
-    from .search import asked, corpus
-
-    docs, items = corpus(spark, sf_dir), asked(spark, sf_dir)
-    dense = vector_topk(items.select("query_id", hashed_embedding("text").alias("vector")), docs.select("product_id", hashed_embedding("text").alias("vector")), 20)
-    return rrf(dense, bm25_topk(items, docs, 20), most=10)
-
-
 @query("SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || chr(10) || role ELSE coalesce(text, '') END, ' ') AS text FROM conversations")
 def a5_message_text(spark, sf_dir):
     """Turns as lists of parts: the text, an image, and for even turns a second text."""

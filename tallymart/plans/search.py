@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
+from ..operators import search as se
+from ..operators.hooks import hashed_embedding
 from ..operators.vectors import l2_normalize, vector_topk
 from .base import CAT, catalog_view, query, read
 
@@ -71,21 +73,27 @@ def expected(spark, sf_dir):
     return items.join(found, "query_id", "left")
 
 
+TAGS = "tags AS (SELECT item_id AS query_id, unnest(CASE WHEN item_id % 4 = 0 THEN ['untagged'] WHEN item_id % 2 = 0 THEN ['even', 'basic'] ELSE ['basic'] END) AS tag FROM benchmark)"
 CASES = "cs AS (SELECT b.item_id AS query_id, count(d.doc_id) AS n_expected FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1), good AS (SELECT b.item_id AS query_id, d.doc_id AS product_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-METRICS = f"""WITH {BM25}, {CASES}, m AS (SELECT c.query_id, c.n_expected,
+def metrics_of(hits: str, n: str = "") -> str:
+    """Metrics of a table of hits, as cm."""
+    return f"""m{n} AS (SELECT c.query_id, c.n_expected,
  count(g.product_id) FILTER (WHERE h.rank <= 5) AS f5, count(g.product_id) FILTER (WHERE h.rank <= 10) AS f10, min(h.rank) FILTER (WHERE g.product_id IS NOT NULL) AS first,
  count(h.product_id) FILTER (WHERE h.rank <= 5) AS n5, count(l.doc_id) FILTER (WHERE h.rank <= 5) AS leaked
- FROM cs c LEFT JOIN hits h USING (query_id) LEFT JOIN good g USING (query_id, product_id) LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = h.product_id GROUP BY ALL),
- cm AS (SELECT query_id, CASE WHEN n_expected > 0 THEN f5 / n_expected END AS recall5, CASE WHEN n_expected > 0 THEN f10 / n_expected END AS recall10,
- CASE WHEN n_expected > 0 THEN coalesce(1 / first, 0.0) END AS mrr, CASE WHEN n_expected > 0 THEN f5 / 5 END AS precision5, CASE WHEN n5 > 0 THEN 1 - leaked / n5 ELSE 1.0 END AS negation FROM m)"""
+ FROM cs c LEFT JOIN {hits} h USING (query_id) LEFT JOIN good g USING (query_id, product_id) LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = h.product_id GROUP BY ALL),
+ cm{n} AS (SELECT query_id, CASE WHEN n_expected > 0 THEN f5 / n_expected END AS recall5, CASE WHEN n_expected > 0 THEN f10 / n_expected END AS recall10,
+ CASE WHEN n_expected > 0 THEN coalesce(1 / first, 0.0) END AS mrr, CASE WHEN n_expected > 0 THEN f5 / 5 END AS precision5, CASE WHEN n5 > 0 THEN 1 - leaked / n5 ELSE 1.0 END AS negation FROM m{n})"""
 
 
-def measured(spark, sf_dir):
+METRICS = f"WITH {BM25}, {CASES}, {metrics_of('hits')}"
+
+
+def measured(spark, sf_dir, hits=None, cases=None):
     toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    hits = e1_bm25_topk(spark, sf_dir)
+    hits = e1_bm25_topk(spark, sf_dir) if hits is None else hits
     # The forbidden documents of a case that matter are those it returned.
     bad = hits.join(toxic, hits.product_id == toxic.doc_id).groupBy("query_id").agg(F.collect_set("product_id").alias("forbidden"))
-    cases = expected(spark, sf_dir).join(bad, "query_id", "left").withColumn("forbidden", F.coalesce("forbidden", F.array(F.lit(-1).cast("long"))))
+    cases = (expected(spark, sf_dir) if cases is None else cases).join(bad, "query_id", "left").withColumn("forbidden", F.coalesce("forbidden", F.array(F.lit(-1).cast("long"))))
     return ev.case_metrics(hits, cases)
 
 
@@ -99,22 +107,72 @@ def i3_overall(spark, sf_dir):
     return ev.overall(measured(spark, sf_dir))
 
 
-@query(METRICS + ", tags AS (SELECT query_id, unnest(CASE WHEN query_id % 4 = 0 THEN ['untagged'] WHEN query_id % 2 = 0 THEN ['even', 'basic'] ELSE ['basic'] END) AS tag FROM cm) SELECT tag, count(*) AS cases, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ev.METRICS) + " FROM cm JOIN tags USING (query_id) GROUP BY tag")
+@query(METRICS + ", " + TAGS + " SELECT tag, count(*) AS cases, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in ev.METRICS) + " FROM cm JOIN tags USING (query_id) GROUP BY tag")
 def i3_by_tag(spark, sf_dir):
-    tags = asked(spark, sf_dir).select("query_id", F.expr("CASE WHEN query_id % 4 = 0 THEN array() WHEN query_id % 2 = 0 THEN array('even', 'basic') ELSE array('basic') END").cast("array<string>").alias("tags"))
-    return ev.by_tag(measured(spark, sf_dir), tags)
+    return ev.by_tag(measured(spark, sf_dir), tags(spark, sf_dir))
+
+
+def tags(spark, sf_dir):
+    return asked(spark, sf_dir).select("query_id", F.expr("CASE WHEN query_id % 4 = 0 THEN array() WHEN query_id % 2 = 0 THEN array('even', 'basic') ELSE array('basic') END").cast("array<string>").alias("tags"))
+
+
+HASHED = r"""hw AS (SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) FROM benchmark),
+ hs AS (SELECT kind, id, h % 64 AS slot, sum(CASE WHEN h & 64 > 0 THEN 1.0 ELSE -1.0 END) AS x FROM (SELECT kind, id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM hw) GROUP BY ALL),
+ hn AS (SELECT kind, id, slot, x / nullif(sqrt(sum(x * x) OVER (PARTITION BY kind, id)), 0) AS x FROM hs),
+ hp AS (SELECT q.id AS query_id, d.doc_id AS product_id, coalesce(round(sum(q.x * e.x), 6), 0) AS score FROM (SELECT DISTINCT id FROM hn WHERE kind = 'q') a JOIN documents d ON true LEFT JOIN hn q ON q.kind = 'q' AND q.id = a.id LEFT JOIN hn e ON e.kind = 'd' AND e.id = d.doc_id AND e.slot = q.slot GROUP BY q.id, d.doc_id),
+ dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM hp)"""
+FUSED = f"""WITH {BM25}, {HASHED},
+ u AS (SELECT query_id, product_id, rank - 1 AS dense_rank, NULL AS bm25_rank FROM dn WHERE rank <= 20 UNION ALL SELECT query_id, product_id, NULL, rank - 1 FROM bm WHERE rank <= 20 AND score > 0),
+ g AS (SELECT query_id, product_id, min(dense_rank) AS dense_rank, min(bm25_rank) AS bm25_rank FROM u GROUP BY ALL),
+ f AS (SELECT *, round(coalesce(1 / (61 + dense_rank), 0.0) + coalesce(1 / (61 + bm25_rank), 0.0), 9) AS score FROM g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, product_id) AS rank FROM f)"""
+
+
+def fused(spark, sf_dir, k=10):
+    """BM25 hits fused with vector hits, by hashed bags of words."""
+    vector = hashed_embedding("text").alias("vector")
+    return se.hybrid_topk(asked(spark, sf_dir).select("query_id", "text", vector), corpus(spark, sf_dir).select("product_id", "text", vector), k)
+
+
+MODES = FUSED + f", top AS (SELECT * FROM r WHERE rank <= 10), {CASES}, {metrics_of('hits')}, {metrics_of('top', 2)}, md AS (SELECT 'bm25' AS mode, * FROM cm UNION ALL SELECT 'hybrid', * FROM cm2)"
+
+
+def modes(spark, sf_dir):
+    """Metrics of every case by BM25 alone and by both."""
+    under = lambda df, mode: df.withColumn("query_id", F.struct(F.lit(mode).alias("mode"), F.col("query_id").alias("id")))
+    hits = [under(h.select("query_id", "product_id", "rank"), m) for h, m in ((e1_bm25_topk(spark, sf_dir), "bm25"), (fused(spark, sf_dir), "hybrid"))]
+    cases = expected(spark, sf_dir).withColumn("mode", F.explode(F.array(F.lit("bm25"), F.lit("hybrid"))))
+    out = measured(spark, sf_dir, hits[0].unionByName(hits[1]), cases.withColumn("query_id", F.struct("mode", F.col("query_id").alias("id"))).drop("mode"))
+    return out.select(F.col("query_id.mode").alias("mode"), F.col("query_id.id").alias("query_id"), *ev.METRICS)
 
 
-@query(METRICS + """, base AS (SELECT avg(recall5) AS r, avg(mrr) AS m FROM cm), cut AS (SELECT avg(CASE WHEN n_expected > 0 THEN (CASE WHEN first <= 2 THEN 1 ELSE 0 END) END) AS r FROM m),
- long AS (SELECT 'recall5' AS metric, 'full' AS mode, round(r, 6) AS value FROM base UNION ALL SELECT 'recall5', 'first2', round(r, 6) FROM cut UNION ALL SELECT 'latency_ms', 'full', 3.0 UNION ALL SELECT 'latency_ms', 'first2', 2.0)
- SELECT metric, mode, value, CASE metric WHEN 'latency_ms' THEN value = min(value) OVER (PARTITION BY metric) ELSE value = max(value) OVER (PARTITION BY metric) END AS best,
- round(value - max(CASE WHEN mode = 'full' THEN value END) OVER (PARTITION BY metric), 6) AS lift FROM long""")
+@query(MODES + " , lg AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, mode, round(avg({m}), 6) AS value FROM md GROUP BY mode" for m in ev.METRICS) + ") SELECT metric, mode, value, value = max(value) OVER (PARTITION BY metric) AS best, round(value - max(CASE WHEN mode = 'bm25' THEN value END) OVER (PARTITION BY metric), 6) AS lift FROM lg")
 def i4_compare_modes(spark, sf_dir):
-    m = measured(spark, sf_dir)
-    full = m.agg(F.round(F.avg("recall5"), 6).alias("value")).select(F.lit("recall5").alias("metric"), F.lit("full").alias("mode"), "value")
-    cut = m.agg(F.round(F.avg(F.when(F.col("mrr").isNotNull(), F.when(F.col("mrr") >= 0.5, 1.0).otherwise(0.0))), 6).alias("value")).select(F.lit("recall5").alias("metric"), F.lit("first2").alias("mode"), "value")
-    latency = spark.createDataFrame([("latency_ms", "full", 3.0), ("latency_ms", "first2", 2.0)], "metric string, mode string, value double")
-    return ev.compare_modes(full.unionByName(cut).unionByName(latency), "full")
+    means = modes(spark, sf_dir).groupBy("mode").agg(*(F.round(F.avg(m), 6).alias(m) for m in ev.METRICS))
+    return ev.compare_modes(means.unpivot("mode", list(ev.METRICS), "metric", "value"), "bm25")
+
+
+@query(MODES + f", {TAGS}, lg AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, tag, mode, round(avg({m}), 6) AS value FROM md JOIN tags USING (query_id) GROUP BY tag, mode" for m in ev.METRICS) + ") SELECT metric, tag, mode, value, round(value - max(CASE WHEN mode = 'bm25' THEN value END) OVER (PARTITION BY metric, tag), 6) AS lift FROM lg")
+def i4_tag_lift(spark, sf_dir):
+    return ev.compare_tags(modes(spark, sf_dir), tags(spark, sf_dir), "bm25")
+
+
+@query(MODES + ", ch AS (SELECT b.query_id, b.mode, round(b.mrr - a.mrr, 6) AS change FROM md a JOIN md b USING (query_id) WHERE a.mode = 'bm25' AND b.mode = 'hybrid' AND a.mrr IS NOT NULL AND b.mrr IS NOT NULL), up AS (SELECT * FROM ch WHERE change > 0 ORDER BY change DESC, query_id LIMIT 1), dw AS (SELECT * FROM ch WHERE change < 0 ORDER BY change, query_id LIMIT 1) SELECT 'hybrid' AS mode, (SELECT query_id FROM up) AS gain_case, (SELECT change FROM up) AS gain, (SELECT query_id FROM dw) AS loss_case, (SELECT change FROM dw) AS loss FROM (SELECT count(*) AS n FROM ch) WHERE n > 0")
+def i4_largest_changes(spark, sf_dir):
+    return ev.largest_changes(modes(spark, sf_dir), "mrr", "bm25")
+
+
+@query("""WITH sg AS (SELECT p_partkey AS product_id, p_size, '推荐' || ['红色', '蓝色耳机', '防晒霜', '跑步鞋', 'x'][1 + p_size % 5] || p_name AS title FROM part), qs AS (SELECT s_suppkey AS query_id, ['蓝色的耳机', '红色 跑鞋', 'none', '防晒'][1 + s_suppkey % 4] AS text FROM supplier),
+ bo AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS product_id FROM lineitem), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS rank FROM bo),
+ t AS (SELECT query_id, list_distinct(regexp_extract_all(text, '[一-鿿]')) AS q, list_distinct(regexp_extract_all(title, '[一-鿿]')) AS t FROM rk JOIN sg USING (product_id) JOIN qs USING (query_id) WHERE rank <= 5),
+ j AS (SELECT query_id, avg(len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t)))) AS j FROM t WHERE len(t) > 0 GROUP BY 1)
+ SELECT query_id, round(coalesce(greatest(0.0, least(1.0, 1 - 2 * j)), 1.0), 6) AS no_match FROM qs LEFT JOIN j USING (query_id)""")
+def i2_no_match(spark, sf_dir):
+    """Suppliers as queries that expect nothing, but get five of the products they ship."""
+    titles = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.lit("推荐"), F.expr("element_at(array('红色', '蓝色耳机', '防晒霜', '跑步鞋', 'x'), 1 + p_size % 5)"), "p_name").alias("title"))
+    cases = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr("element_at(array('蓝色的耳机', '红色 跑鞋', 'none', '防晒'), int(1 + s_suppkey % 4))").alias("text"), F.array().cast("array<long>").alias("expected"))
+    got = rt.top_k(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("product_id")).distinct(), 5, order=[F.asc("product_id")])
+    return ev.no_match(got, cases, titles).withColumn("no_match", F.round("no_match", 6))
 
 
 @query(f"WITH {CASES} SELECT count(*) AS cases, count(*) FILTER (WHERE n_expected > 0) AS with_expected, count(*) FILTER (WHERE n_expected = 0) AS no_match, count(*) FILTER (WHERE query_id % 5 = 0) AS multi_turn, CAST(0 AS BIGINT) AS with_forbidden FROM cs")
@@ -152,30 +210,15 @@ def e2_dense_topk(spark, sf_dir):
     return dense_topk(v.where("product_id % 20 = 0").select(F.col("product_id").alias("query_id"), "vector"), chunks, 5)
 
 
-@query(f"WITH {DOTS}, h AS (SELECT query_id, ql, max(CASE WHEN query_id = product_id AND rank = 1 THEN 1 ELSE 0 END) AS s, count(*) FILTER (WHERE query_id != product_id AND ql = vl) AS same, count(*) FILTER (WHERE query_id != product_id) AS others FROM t WHERE rank <= 5 GROUP BY ALL) SELECT ql AS label, count(*) AS queries, round(avg(s), 6) AS self_recall1, round(avg(same / nullif(others, 0)), 6) AS precision5 FROM h GROUP BY ql")
+@query(f"""WITH {DOTS}, lb AS (SELECT vec_id, vec_id // 3 % 7 AS brand FROM embeddings), h AS (SELECT query_id, ql, max(CASE WHEN query_id = product_id AND rank = 1 THEN 1 ELSE 0 END) AS s1, max(CASE WHEN query_id = product_id THEN 1 ELSE 0 END) AS sk, count(*) FILTER (WHERE query_id != product_id AND ql = vl) AS same, count(*) FILTER (WHERE query_id != product_id AND a.brand = b.brand) AS brands, count(*) FILTER (WHERE query_id != product_id) AS others FROM t JOIN lb a ON a.vec_id = query_id JOIN lb b ON b.vec_id = product_id WHERE rank <= 5 GROUP BY ALL)
+ SELECT CAST(ql AS VARCHAR) AS category, count(*) AS queries, round(avg(s1), 6) AS self_recall1, round(avg(sk), 6) AS self_recallk, round(avg(same / nullif(others, 0)), 6) AS category_precision, round(avg(brands / nullif(others, 0)), 6) AS brand_recall FROM h GROUP BY GROUPING SETS ((ql), ())""")
 def i6_vector_eval(spark, sf_dir):
-    """Leave-one-in evaluation per label: share of vectors that find themselves first, and label precision of the others among five."""
+    """Leave-one-in evaluation, overall and per label: how often vectors find themselves, and what share of the others has their label or brand."""
     v = unit(spark, sf_dir)
     queries = v.where("product_id % 20 = 0").select(F.col("product_id").alias("query_id"), "vector")
     hits = vector_topk(queries, v.select("product_id", "vector"), 6)
-    label = v.select("product_id", "label")
-    named = hits.join(label, "product_id").join(label.select(F.col("product_id").alias("query_id"), F.col("label").alias("own")), "query_id").where("rank <= 5")
-    per = named.groupBy("query_id", "own").agg(F.max((F.col("query_id") == F.col("product_id")) & (F.col("rank") == 1)).cast("int").alias("self1"), F.sum(((F.col("label") == F.col("own")) & (F.col("query_id") != F.col("product_id"))).cast("int")).alias("same"), F.sum((F.col("query_id") != F.col("product_id")).cast("int")).alias("others"))
-    return per.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("queries"), F.round(F.avg("self1"), 6).alias("self_recall1"), F.round(F.avg(F.col("same") / F.nullif(F.col("others"), F.lit(0))), 6).alias("precision5"))
-
-
-FUSED = f"""WITH {BM25}, len_rank AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY product_id DESC) AS rank FROM hits WHERE product_id % 3 > 0),
- u AS (SELECT query_id, product_id, rank - 1 AS dense_rank, NULL AS bm25_rank FROM len_rank UNION ALL SELECT query_id, product_id, NULL, rank - 1 FROM hits),
- g AS (SELECT query_id, product_id, min(dense_rank) AS dense_rank, min(bm25_rank) AS bm25_rank FROM u GROUP BY ALL),
- f AS (SELECT *, round(coalesce(1 / (61 + dense_rank), 0.0) + coalesce(1 / (61 + bm25_rank), 0.0), 9) AS score FROM g),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, product_id) AS rank FROM f)"""
-
-
-def fused(spark, sf_dir):
-    """BM25 hits fused with a second order of some of them (by id)."""
-    hits = e1_bm25_topk(spark, sf_dir)
-    other = rt.top_k(hits.where("product_id % 3 > 0").drop("rank"), 10, order=[F.desc("product_id")])
-    return rt.rrf(other, hits)
+    labels = v.select("product_id", F.col("label").alias("category"), F.expr("product_id div 3 % 7").alias("brand"))
+    return ev.vector_means(ev.vector_eval(hits, labels))
 
 
 @query(FUSED + " SELECT query_id, product_id, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
@@ -183,6 +226,12 @@ def e4_rrf(spark, sf_dir):
     return fused(spark, sf_dir)
 
 
+@query(FUSED + " SELECT query_id, product_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def e5_hybrid_topk(spark, sf_dir):
+    """BM25 over documents fused with vectors: the first five."""
+    return fused(spark, sf_dir, 5).select("query_id", "product_id", "score", "rank")
+
+
 @query(f"WITH {BM25}, v AS (SELECT query_id, 1 AS variant, product_id, rank FROM hits WHERE rank <= 6 UNION ALL SELECT query_id, 2, product_id, 11 - rank FROM hits), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY variant, rank) AS n FROM v) SELECT query_id, product_id, CAST(variant AS INTEGER) AS variant, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, product_id) AS INTEGER) AS position FROM f WHERE n = 1")
 def e6_multi_query_union(spark, sf_dir):
     hits = e1_bm25_topk(spark, sf_dir).select("query_id", "product_id", "rank")
