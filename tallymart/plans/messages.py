@@ -109,13 +109,19 @@ def f20_request_key(spark, sf_dir):
     return messages(spark, sf_dir).select("query_id", ps.request_key(F.lit("prompt"), "text", images).alias("key"), ps.pricing_token(product).alias("token"))
 
 
+TALK = "CASE WHEN role != 'user' THEN text WHEN turn = 0 THEN '推荐防晒 ' || conv_id WHEN (conv_id + turn) % 3 = 0 THEN '便宜的' WHEN (conv_id + turn) % 3 = 1 THEN '家居 ' || turn * 100 || '元以内' ELSE '不要日系' END"
+
+
+def talk(turns):
+    return turns.select("conv_id", "turn", "role", F.expr(TALK).alias("text"))
+
+
 def talks(spark, sf_dir):
     """Conversations whose user turns are composed messages, by turn."""
-    text = F.expr("CASE WHEN role != 'user' THEN text WHEN turn = 0 THEN '推荐防晒 ' || conv_id WHEN (conv_id + turn) % 3 = 0 THEN '便宜的' WHEN (conv_id + turn) % 3 = 1 THEN '家居 ' || turn * 100 || '元以内' ELSE '不要日系' END")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    return talk(read(spark, sf_dir, "conversations"))
 
 
-TALKS = "tk AS (SELECT conv_id, turn, role, CASE WHEN role != 'user' THEN text WHEN turn = 0 THEN '推荐防晒 ' || conv_id WHEN (conv_id + turn) % 3 = 0 THEN '便宜的' WHEN (conv_id + turn) % 3 = 1 THEN '家居 ' || turn * 100 || '元以内' ELSE '不要日系' END AS text FROM conversations)"
+TALKS = f"tk AS (SELECT conv_id, turn, role, {TALK} AS text FROM conversations)"
 
 
 @query(f"""WITH {TALKS}, u AS (SELECT *, text NOT IN ('便宜的', '不要日系') AS anchor FROM tk WHERE role = 'user'),
@@ -144,8 +150,11 @@ def f18_prior_turns(spark, sf_dir):
  SELECT conv_id, CASE WHEN h IS NOT NULL THEN '家居家具' END AS category, CAST(h * 100 AS DOUBLE) AS price_max, CASE WHEN jp THEN '日系' ELSE '' END AS keywords FROM l""")
 def f17_conversation_filter(spark, sf_dir):
     """Constraints carried over the turns of every conversation."""
-    out = cv.conversation_filter(talks(spark, sf_dir), {"Nike": ["耐克"]})
-    return out.select("conv_id", "category", "price_max", F.coalesce(F.array_join("exclude_keywords", ","), F.lit("")).alias("keywords"))
+    return filter_row(cv.conversation_filter(talks(spark, sf_dir), {"Nike": ["耐克"]}))
+
+
+def filter_row(rows):
+    return rows.select("conv_id", "category", "price_max", F.coalesce(F.array_join("exclude_keywords", ","), F.lit("")).alias("keywords"))
 
 
 @query(f"WITH {MSG} SELECT query_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'multilingual' ELSE 'zh' END AS model, contains(text, 'spf50') AS skip, CAST(CASE WHEN {HIGH} IS NOT NULL OR {first_number(LOW)} IS NOT NULL THEN 20 WHEN query_id % 16 IN (5, 6) THEN 10 ELSE 5 END AS INTEGER) AS pool FROM ms")
