@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import pickle
+from itertools import chain
 
 import numpy as np
 
@@ -12,7 +14,7 @@ DEGREE, BASE_DEGREE, SLACK, BUILD_BEAM = 12, 24, 12, 48
 class Graph:
     """links[l]: neighbours of each node on level l. Similarity is the dot product in double precision."""
 
-    def __init__(self, vectors: np.ndarray, links: list[dict[int, list[int]]] | None = None, entry: int = 0):
+    def __init__(self, vectors: np.ndarray, links: list[dict] | None = None, entry: int = 0):
         self.vectors = np.ascontiguousarray(vectors, np.float64)
         self.links = links if links is not None else [{}]
         self.entry = entry
@@ -28,6 +30,17 @@ class Graph:
             graph.insert(i, int(levels[i]))
         return graph
 
+    def packed(self) -> bytes:
+        """The links and the entry, without the vectors."""
+        levels = [(np.fromiter(near, np.int32, len(near)), np.fromiter(map(len, near.values()), np.int32, len(near)), np.fromiter(chain.from_iterable(near.values()), np.int32)) for near in self.links]
+        return pickle.dumps((levels, self.entry), 5)
+
+    @classmethod
+    def unpacked(cls, vectors: np.ndarray, data: bytes) -> Graph:
+        """A graph to search, from packed()."""
+        levels, entry = pickle.loads(data)
+        return cls(vectors, [dict(zip(nodes.tolist(), np.split(near, np.cumsum(counts)[:-1]))) for nodes, counts, near in levels], entry)
+
     def insert(self, i: int, level: int) -> None:
         top = len(self.links) - 1
         if i == 0:
@@ -72,7 +85,7 @@ class Graph:
 
     def closest(self, q: np.ndarray, at: int, level: int) -> int:
         best = float(self.vectors[at] @ q)
-        while near := self.links[level][at]:
+        while len(near := self.links[level][at]):
             sims = self.vectors[near] @ q
             k = int(sims.argmax())
             if sims[k] <= best:
