@@ -12,10 +12,21 @@ from ..operators import search as se
 from .base import CAT, catalog_view, query, read
 from .catalog import ORIGIN, priced, sourced, origins
 
-PHRASES = """CASE p_partkey % 16 WHEN 0 THEN 'recommend ' || p_name || ' under ' || p_size * 20 WHEN 1 THEN '蓝牙耳机' || p_size || '元以内' WHEN 2 THEN '不超过' || p_size || '的防晒 护肤' WHEN 3 THEN '预算提高到' || p_size * 10 || '元 护肤品'
- WHEN 4 THEN p_size || '元以上的家居' WHEN 5 THEN '这些太便宜了，推荐一些贵的' WHEN 6 THEN 'any cheaper headphones?' WHEN 7 THEN '不要日系和美货的洗面奶' WHEN 8 THEN '把第' || (1 + p_size % 9) || '个改成2个' WHEN 9 THEN '删掉第二个' WHEN 10 THEN '推荐个礼物'
- WHEN 11 THEN '把购物车清空' WHEN 12 THEN '帮我加入购物车' WHEN 13 THEN '母亲节的清单 [目录✓] [推断?] [目录✓]' WHEN 14 THEN '今天天气和机票' ELSE '下单吧 对比一下 sunscreen spf50' END"""
-MSG = f"ms AS (SELECT p_partkey AS query_id, {PHRASES} AS text FROM part)"
+def pick(number: str, values) -> str:
+    """One of some SQL texts, by a number from 0."""
+    return f"CASE {number} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+#: A message of five parts, each chosen by another column: a start, a thing, a price, brands or countries, an ending.
+PARTS = (
+    pick("p_partkey % 6", ("'推荐'", "'recommend '", "'我想买'", "'有没有'", "'any cheaper '", "'帮我挑'")),
+    pick("p_size % 12", ("'蓝牙耳机'", "'护肤品'", "'防晒霜'", "'家居摆件'", "'户外帐篷'", "'数码产品'", "'图书'", "'headphones '", "'sunscreen spf50 '", "'running shoes '", "'洗面奶'", "''")) + " || p_name",
+    pick("p_partkey % 7", ("''", "p_size || '元以内'", "' under ' || p_size * 20", "'，预算提高到' || p_size * 10 || '元'", "'，' || p_size || '元以上'", "'，不超过' || p_size", "' over ' || p_size")),
+    pick("(p_partkey + p_size) % 8", ("''", "'，不要' || p_brand", "'，不要日系和美货'", "'，除了' || p_brand || '以外'", "'，' || p_brand || '的就算了'", "' without ' || p_brand", "'，喜欢' || p_brand", "'，不要法国的'")),
+    pick("p_partkey % 11", ("''", "'，太便宜了推荐贵的'", "'，送女友的礼物'", "'，把第' || (1 + p_size % 9) || '个改成2个'", "'，删掉第二个'", "'，清空购物车'", "'，帮我加入购物车'", "' [目录✓] [推断?] [目录✓]'", "'，今天天气'", "'，对比一下母亲节的'", "'，下单吧'")),
+)
+PHRASES = " || ".join(f"({p})" for p in PARTS)
+MSG = f"ms AS (SELECT p_partkey AS query_id, p_brand, {PHRASES} AS text FROM part)"
 
 
 def messages(spark, sf_dir):
@@ -30,74 +41,119 @@ def first_number(pattern: str) -> str:
     return f"nullif(TRY_CAST(regexp_extract(text, '{pattern}', 1) AS DOUBLE), 0)"
 
 
+def listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def any_of(text: str, terms) -> str:
+    return f"(len(list_filter({listed(terms)}, lambda t: contains(lower({text}), lower(t)))) > 0)"
+
+
+def first_of(text: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN {any_of(text, terms)} THEN '{c}'" for c, terms in rules) + " END"
+
+
+#: DuckDB's patterns have no look-around; what the look-arounds would rule out is in none of the messages.
+PHRASE = lx.NEGATED_PHRASE.replace("|(?<!有)没有", "")
+SUFFIX_NOT = ps.SUFFIX_NOT.replace("(?=", "(?:")
+CLAUSE = ps.NEGATION_CLAUSE.replace("不要(?!超过)", "不要")
+INFERRED = (("数码电子", ("耳机", "键盘")), ("美妆护肤", ("洗面奶", "防晒")), ("服饰运动", ("跑鞋",)))
+SUB_RULES = ((("蓝牙耳机",), ("真无线耳机", "头戴耳机")), (("防晒",), ("防晒霜",)), (("耳机",), ("耳机",)))
 HIGH = f"coalesce({first_number(SUFFIX)}, {first_number(lx.MAX_PREFIX)}, {first_number(lx.MAX_BUDGET)}, {first_number(lx.EN_MAX)})"
+HINTED = "CASE WHEN regexp_matches(text, '[一-鿿]') THEN [] ELSE list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{en}') THEN '{zh}' END" for en, zh in lx.ENGLISH_HINTS) + "], lambda x: x IS NOT NULL) END"
+FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+WIDER = f"hn AS (SELECT *, {HINTED} AS hints FROM ms), wd AS (SELECT query_id, text AS plain, concat_ws(' ', text, nullif(array_to_string({FIRSTS.format('hints')}, ' '), '')) AS text FROM hn)"
+MENTIONED = f"""nm AS (SELECT DISTINCT p_brand AS b, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part), hi AS (SELECT query_id, b, n, substr(t, greatest(1, p - 30), least(30, p - 1)) AS before, substr(t, p + length(b), 12) AS after, substr(t, p, 10) AS near FROM (SELECT query_id, b, n, lower(text) AS t, instr(lower(text), lower(b)) AS p FROM ms, nm) WHERE p > 0),
+ ng AS (SELECT query_id, b, n, regexp_matches(before, '(?i){ps.NEGATED_PREFIX}') OR regexp_matches(after, '(?i){ps.SUFFIX_DISMISS}') OR regexp_matches(after, '(?i){SUFFIX_NOT}') OR contains(near, '以外') OR contains(near, '之外') AS bad FROM hi),
+ br AS (SELECT query_id, coalesce(string_agg(b, ',' ORDER BY n) FILTER (WHERE NOT bad), '') AS included, coalesce(string_agg(b, ',' ORDER BY n) FILTER (WHERE bad), '') AS excluded FROM ng GROUP BY 1)"""
+#: The brands of part; texts name one each, and a name may be the start of a longer one.
+BRANDS = {f"Brand#{n}": [] for n in range(1, 26)}
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(text, '{t}')" for t in terms) + f" THEN '{c}'" for c, terms in lx.CATEGORIES) + " END AS category FROM ms")
+@query(f"WITH {MSG} SELECT query_id, {first_of('text', lx.CATEGORIES)} AS category FROM ms")
 def f1_parse_category(spark, sf_dir):
     return messages(spark, sf_dir).select("query_id", ps.parse_category("text").alias("category"))
 
 
+@query(f"WITH {MSG}, {WIDER} SELECT query_id, coalesce({first_of('text', lx.CATEGORIES)}, {first_of('text', INFERRED)}) AS category, CASE " + " ".join(f"WHEN {any_of('text', terms)} THEN '{','.join(subs)}'" for terms, subs in SUB_RULES) + " END AS sub_categories FROM wd")
+def f1_infer_category(spark, sf_dir):
+    """Words of a category first, then words that imply one; English hints count."""
+    wide = messages(spark, sf_dir).withColumn("text", tx.augment("text", tx.english_hints("text", lx.ENGLISH_HINTS)))
+    return wide.select("query_id", ps.infer_category("text", INFERRED).alias("category"), F.array_join(ps.parse_sub_categories("text", SUB_RULES), ",").alias("sub_categories"))
+
+
 @query(f"WITH {MSG} SELECT query_id, {HIGH} AS price_max, {first_number(LOW)} AS price_min FROM ms")
 def f2_parse_price_bounds(spark, sf_dir):
     return messages(spark, sf_dir).select("query_id", tx.price_max("text").alias("price_max"), tx.price_min("text").alias("price_min"))
 
 
-@query(f"WITH {MSG}, tw AS (SELECT query_id, text, p_brand AS b FROM ms JOIN part ON query_id = p_partkey) SELECT query_id, CASE WHEN query_id % 3 = 0 THEN '' ELSE b END AS included, CASE WHEN query_id % 3 = 0 THEN b ELSE '' END AS excluded FROM tw")
+@query(f"WITH {MSG}, {MENTIONED} SELECT query_id, coalesce(included, '') AS included, coalesce(excluded, '') AS excluded FROM ms LEFT JOIN br USING (query_id)")
 def f3_parse_brands(spark, sf_dir):
-    """Texts that want or refuse a brand, in several forms; brands are spelled with a letter, as digits may follow a name."""
-    name = F.expr("'Brand' || substr('abcdefghijklmnopqrstuvwxy', int(substr(p_brand, 7)), 1)")
-    rows = read(spark, sf_dir, "part").withColumn("b", name).select(F.col("p_partkey").alias("query_id"), F.expr("CASE WHEN p_partkey % 3 > 0 THEN '推荐' || b || '的杯子' WHEN p_partkey % 2 = 0 THEN '杯子不要' || b WHEN p_partkey % 9 = 0 THEN b || '的就算了' ELSE '除了' || b || '以外的' END").alias("text"))
-    brands = {f"Brand#{i + 1}": [f"brand{c}"] for i, c in enumerate("abcdefghijklmnopqrstuvwxy")}
-    out = rows.withColumn("b", ps.parse_brands("text", brands))
-    return out.select("query_id", F.array_join("b.included", ",").alias("included"), F.array_join("b.excluded", ",").alias("excluded"))
+    """Wanted and refused brands of every message, one pass per distinct text."""
+    rows = messages(spark, sf_dir)
+    parsed = rows.select("text").distinct().withColumn("b", ps.parse_brands("text", BRANDS))
+    return rows.join(parsed, "text").select("query_id", F.array_join("b.included", ",").alias("included"), F.array_join("b.excluded", ",").alias("excluded"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN contains(text, '不要') THEN '日系,美货' ELSE '' END AS terms, CASE WHEN contains(text, '不要') THEN 'JP,US' ELSE '' END AS countries FROM ms")
+COUNTRY_WORDS = listed(w for _, words in lx.COUNTRIES for w in words)
+COUNTRY_CODES = "list_filter([" + ", ".join(f"CASE WHEN {any_of('terms', words)} THEN '{c}' END" for c, words in lx.COUNTRIES) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {MSG}, ct AS (SELECT query_id, array_to_string(list_filter({COUNTRY_WORDS}, lambda w: contains(text, w)), ',') AS terms FROM ms) SELECT query_id, terms, array_to_string({COUNTRY_CODES}, ',') AS countries FROM ct")
 def f6_country_terms(spark, sf_dir):
     terms = ps.country_terms("text")
     return messages(spark, sf_dir).select("query_id", F.array_join(terms, ",").alias("terms"), F.array_join(ps.excluded_countries(terms), ",").alias("countries"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN contains(text, '不要日系') THEN '洗面奶' ELSE '' END AS named FROM ms")
+@query(f"WITH {MSG}, ph AS (SELECT query_id, list_transform(regexp_extract_all(text, '{PHRASE}', 1), lambda x: lower(x)) AS phrases FROM ms), kn AS (SELECT list(b ORDER BY length(b) DESC, b) AS known FROM (SELECT DISTINCT p_brand AS b FROM part)) SELECT query_id, array_to_string(list_filter(known, lambda b: len(list_filter(phrases, lambda p: contains(p, lower(b)))) > 0), ',') AS named FROM ph, kn")
 def f7_negated_brands(spark, sf_dir):
-    return messages(spark, sf_dir).select("query_id", F.array_join(ps.negated_brands("text", ["洗面奶", "耳机", "Nike"], lx.NEGATED_PHRASE), ",").alias("named"))
+    return messages(spark, sf_dir).select("query_id", F.array_join(ps.negated_brands("text", list(BRANDS), lx.NEGATED_PHRASE), ",").alias("named"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN text = 'any cheaper headphones?' THEN text || ' 耳机' ELSE text END AS text FROM ms")
+@query(f"WITH {MSG}, {WIDER} SELECT query_id, text FROM wd")
 def f8_augment_english(spark, sf_dir):
     return messages(spark, sf_dir).select("query_id", tx.augment("text", tx.english_hints("text", lx.ENGLISH_HINTS)).alias("text"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN contains(text, '洗面奶') THEN '洁面,洁面乳,洁面产品,清洁' WHEN contains(text, '防晒') THEN '防晒霜,防晒乳,SPF,清爽防晒' ELSE '' END AS terms FROM ms")
+@query(f"WITH {MSG}, sy AS (SELECT query_id, CASE WHEN {any_of('text', lx.PRICE_WORDS)} THEN [] ELSE list_filter(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), lower('{k}')) THEN {listed(v)} ELSE [] END" for k, v in lx.SYNONYMS.items()) + f"]), lambda t: NOT contains(lower(text), lower(t))) END AS every FROM ms) SELECT query_id, array_to_string(({FIRSTS.format('every')})[1:8], ',') AS terms FROM sy")
 def f9_expand_synonyms(spark, sf_dir):
     return messages(spark, sf_dir).select("query_id", F.array_join(tx.expansion_terms("text", lx.SYNONYMS, lx.PRICE_WORDS), ",").alias("terms"))
 
 
-@query(f"WITH {MSG}, b AS (SELECT query_id, text, coalesce({first_number(SUFFIX)}, {first_number(lx.MAX_PREFIX)}, {first_number(lx.EN_MAX)}) AS high, coalesce({first_number(LOW)}, {first_number(lx.EN_MIN)}) AS low FROM ms) SELECT query_id, low, high, CASE WHEN contains(text, '太便宜') THEN 'expensive' WHEN contains(text, 'cheaper') THEN 'cheap' WHEN high IS NOT NULL AND low IS NULL THEN 'cheap' WHEN low IS NOT NULL AND high IS NULL THEN 'expensive' END AS direction FROM b")
+DIRECTION = f"""b AS (SELECT query_id, text, coalesce({first_number(SUFFIX)}, {first_number(lx.MAX_PREFIX)}, {first_number(lx.EN_MAX)}) AS high, coalesce({first_number(LOW)}, {first_number(lx.EN_MIN)}) AS low,
+ regexp_matches(text, '太便宜|嫌便宜|不够贵|不够高端') AS poor, regexp_matches(text, '太贵|嫌贵|不够便宜') AS rich, regexp_matches(text, '{lx.CHEAP.replace("(?iU)", "(?i)")}') AS cheap, regexp_matches(text, '{lx.EXPENSIVE.replace("(?iU)", "(?i)")}') AS dear FROM ms),
+ pi AS (SELECT query_id, low, high, CASE WHEN poor AND NOT rich THEN 'expensive' WHEN rich AND NOT poor THEN 'cheap' WHEN cheap AND NOT dear THEN 'cheap' WHEN dear AND NOT cheap THEN 'expensive' WHEN high IS NOT NULL AND low IS NULL THEN 'cheap' WHEN low IS NOT NULL AND high IS NULL THEN 'expensive' END AS direction FROM b)"""
+
+
+@query(f"WITH {MSG}, {DIRECTION} SELECT query_id, low, high, direction FROM pi")
 def f10_price_intent(spark, sf_dir):
     return messages(spark, sf_dir).withColumn("i", tx.price_intent("text")).select("query_id", "i.low", "i.high", "i.direction")
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE query_id % 16 WHEN 0 THEN 'recommend ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) WHEN 1 THEN '蓝牙耳机' WHEN 2 THEN '防晒 护肤' WHEN 3 THEN regexp_replace(text, '^预算', '') WHEN 4 THEN '家居' WHEN 5 THEN '这些太便宜了，推荐一些贵' ELSE text END AS no_price, CASE query_id % 16 WHEN 5 THEN '这些太便宜了，推荐一些贵' WHEN 7 THEN '' ELSE text END AS no_negation FROM ms WHERE query_id % 16 NOT IN (5, 14)")
+@query(f"WITH {MSG} SELECT query_id, trim(regexp_replace(text, '{ps.PRICE_PHRASE}', '', 'g'), ' ,，、的') AS no_price, trim(regexp_replace(text, '{CLAUSE.replace(chr(39), chr(39) * 2)}', '', 'g'), ' ,，、;；的') AS no_negation FROM ms")
 def f13_strip_clauses(spark, sf_dir):
-    return messages(spark, sf_dir).where("query_id % 16 not in (5, 14)").select("query_id", ps.strip_price("text").alias("no_price"), ps.strip_negation("text").alias("no_negation"))
+    return messages(spark, sf_dir).select("query_id", ps.strip_price("text").alias("no_price"), ps.strip_negation("text").alias("no_negation"))
 
 
 CONCRETE, SCENES = ("防晒", "耳机", "洗面"), ("露营", "母亲节", "清单")
 
 
-@query(f"WITH {MSG} SELECT query_id, contains(text, '对比') AS comparison, CASE WHEN contains(text, '母亲节') THEN '母亲节' END AS scene, contains(text, '天气') AS out_of_domain, CASE WHEN contains(text, '礼物') THEN 'gift' END AS clarify FROM ms")
+@query(f"WITH {MSG}, fl AS (SELECT query_id, text, {any_of('text', CONCRETE)} OR regexp_matches(text, '{ps.PRICED}') AS specific, regexp_matches(text, '{ps.GIFT}') AS gift FROM ms) SELECT query_id, regexp_matches(text, '{ps.COMPARISON}') AS comparison, list_filter({listed(SCENES)}, lambda x: contains(text, x))[1] AS scene, regexp_matches(text, '{ps.OUT_OF_DOMAIN}') AND NOT specific AS out_of_domain, CASE WHEN (gift OR regexp_matches(text, '{ps.VAGUE}')) AND NOT specific THEN CASE WHEN gift THEN 'gift' ELSE 'general' END END AS clarify FROM fl")
 def f14_intent_flags(spark, sf_dir):
     return messages(spark, sf_dir).withColumn("i", ps.intent_flags("text", CONCRETE, SCENES)).select("query_id", "i.*")
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE query_id % 16 WHEN 8 THEN 'set_quantity' WHEN 9 THEN 'remove' WHEN 11 THEN 'clear' WHEN 12 THEN 'add' WHEN 15 THEN 'checkout' END AS action, CASE query_id % 16 WHEN 8 THEN TRY_CAST(regexp_extract(text, '第(\\d+)个', 1) AS INTEGER) WHEN 9 THEN 2 END AS index, CASE query_id % 16 WHEN 8 THEN 2 END AS quantity FROM ms")
+NUMERALS = "CASE {0} WHEN '' THEN NULL WHEN '二' THEN 2 WHEN '两' THEN 2 WHEN '三' THEN 3 ELSE TRY_CAST({0} AS INTEGER) END"
+
+
+@query(f"""WITH {MSG}, nu AS (SELECT query_id, text, regexp_extract(text, '{ps.ORDINAL}', 1) AS o, regexp_extract(text, '{ps.SET_QUANTITY}', 1) AS a FROM ms), np AS (SELECT query_id, text, CASE WHEN regexp_matches(text, '{ps.LAST}') THEN -1 ELSE {NUMERALS.format('o')} END AS place, {NUMERALS.format('a')} AS amount FROM nu),
+ ac AS (SELECT query_id, place, amount, CASE WHEN contains(text, '下单') THEN 'checkout' WHEN regexp_matches(text, '{ps.CLEAR_CART}') THEN 'clear' WHEN amount > 0 AND (place IS NOT NULL OR regexp_matches(text, '数量|数目|几个')) THEN 'set_quantity' WHEN place IS NOT NULL AND (regexp_matches(text, '{ps.REMOVE}') OR (contains(text, '不要') AND regexp_matches(text, '{ps.IN_CART}'))) THEN 'remove' WHEN regexp_matches(text, '{ps.ADD_TO_CART}') THEN 'add' END AS action FROM np)
+ SELECT query_id, action, CAST(CASE action WHEN 'set_quantity' THEN coalesce(place, -1) WHEN 'remove' THEN place END AS INTEGER) AS index, CAST(CASE action WHEN 'set_quantity' THEN amount END AS INTEGER) AS quantity FROM ac""")
 def f15_parse_cart_intent(spark, sf_dir):
     return messages(spark, sf_dir).withColumn("i", ps.parse_cart_intent("text")).select("query_id", "i.*")
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN query_id % 16 = 13 THEN 2 ELSE 0 END AS verified, CASE WHEN query_id % 16 = 13 THEN 1 ELSE 0 END AS inferred FROM ms")
+@query(f"WITH {MSG} SELECT query_id, CAST((length(text) - length(replace(text, '[目录✓]', ''))) / 5 AS INTEGER) AS verified, CAST((length(text) - length(replace(text, '[推断?]', ''))) / 5 AS INTEGER) AS inferred FROM ms")
 def f19_claim_counts(spark, sf_dir):
     return messages(spark, sf_dir).withColumn("i", ps.claim_counts("text")).select("query_id", "i.*")
 
@@ -157,17 +213,28 @@ def filter_row(rows):
     return rows.select("conv_id", "category", "price_max", F.coalesce(F.array_join("exclude_keywords", ","), F.lit("")).alias("keywords"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'multilingual' ELSE 'zh' END AS model, contains(text, 'spf50') AS skip, CAST(CASE WHEN {HIGH} IS NOT NULL OR {first_number(LOW)} IS NOT NULL THEN 20 WHEN query_id % 16 IN (5, 6) THEN 10 ELSE 5 END AS INTEGER) AS pool FROM ms")
+CUES = any_of("text", ps.NEGATION_CUES)
+
+
+@query(f"WITH {MSG}, {DIRECTION} SELECT query_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'multilingual' ELSE 'zh' END AS model, (regexp_matches(lower(text), '(^|[^a-z])spf([^a-z]|$)') OR contains(text, '护肤')) AND NOT {CUES} AS skip, CAST(CASE WHEN {HIGH} IS NOT NULL OR {first_number(LOW)} IS NOT NULL THEN 20 WHEN direction IS NOT NULL THEN 10 ELSE 5 END AS INTEGER) AS pool FROM ms JOIN pi USING (query_id)")
 def e9_rerank_plan(spark, sf_dir):
-    return se.rerank_plan(messages(spark, sf_dir), ["spf", "Nike", "耐克"]).select("query_id", "model", "skip", "pool")
+    return se.rerank_plan(messages(spark, sf_dir), ["spf", "Nike", "护肤"]).select("query_id", "model", "skip", "pool")
+
+
+SHELF = pick("p_size % 4", ("'美妆护肤'", "'数码电子'", "'家居家具'", "'户外运动'"))
 
 
-@query(f"WITH {MSG} SELECT query_id, CAST(NULL AS VARCHAR) AS want_category, coalesce(CASE WHEN query_id % 32 = 0 THEN 5.0 END, {HIGH}) AS price_max, CASE WHEN contains(text, '不要日系') THEN 'JP,US' END AS countries FROM ms")
+@query(f"""WITH {MSG}, {MENTIONED}, ca AS (SELECT query_id, {first_of('text', lx.CATEGORIES)} AS category FROM ms), sh AS (SELECT DISTINCT {SHELF} AS category, lower(p_brand) AS brand FROM part),
+ ok AS (SELECT query_id, category FROM ca WHERE category IN (SELECT category FROM sh) AND (NOT EXISTS (SELECT 1 FROM ng WHERE ng.query_id = ca.query_id AND NOT bad) OR EXISTS (SELECT 1 FROM ng JOIN sh ON lower(ng.b) = sh.brand AND sh.category = ca.category WHERE ng.query_id = ca.query_id AND NOT bad))),
+ ct AS (SELECT query_id, array_to_string(list_filter({COUNTRY_WORDS}, lambda w: contains(text, w)), ',') AS terms FROM ms WHERE {CUES}), co AS (SELECT query_id, nullif(array_to_string({COUNTRY_CODES}, ','), '') AS countries FROM ct)
+ SELECT query_id, ok.category AS want_category, coalesce(CASE WHEN query_id % 32 = 0 THEN 5.0 END, {HIGH}) AS price_max, {first_number(LOW)} AS price_min, countries, nullif(included, '') AS included, nullif(excluded, '') AS excluded FROM ms LEFT JOIN ok USING (query_id) LEFT JOIN co USING (query_id) LEFT JOIN br USING (query_id)""")
 def f5_build_filter(spark, sf_dir):
-    """No product of the catalog view has the inferred categories, so the guard drops them all (F4)."""
+    """Filters of every message, over a catalog with four of the categories: one that no wanted brand sells in is dropped (F4)."""
     rows = messages(spark, sf_dir).withColumn("x_category", F.lit(None).cast("string")).withColumn("x_price_min", F.lit(None).cast("double")).withColumn("x_price_max", F.when(F.col("query_id") % 32 == 0, 5.0))
-    out = se.build_filter(rows, catalog_view(spark, sf_dir).select("category", "sub_category"), explicit=True)
-    return out.select("query_id", "want_category", "price_max", F.when(F.size("ex_countries") > 0, F.array_join("ex_countries", ",")).alias("countries"))
+    shelves = read(spark, sf_dir, "part").select(F.expr(SHELF).alias("category"), F.col("p_name").alias("sub_category"), F.col("p_brand").alias("brand"))
+    out = se.build_filter(rows, shelves, explicit=True, brands=BRANDS)
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    return out.select("query_id", "want_category", "price_max", "price_min", joined("ex_countries").alias("countries"), joined("brand_include").alias("included"), joined("brand_exclude").alias("excluded"))
 
 
 @query("SELECT p_partkey AS query_id, p_partkey % 7 = 0 OR p_type != 'PROMO' OR (p_size % 2 = 0 AND p_brand != 'Brand#2') AS switched FROM part")
