@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,14 @@ def rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RATES, "currency string, rate double")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, in the folder that the cluster names in spark.checkpoint.dir; only a session without that setting (tests) gets a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def line_id():
     return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
 
