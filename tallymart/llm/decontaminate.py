@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import blocks, map_texts, strings
 
-#: Bytes of item text in one automaton; its nodes take up to about 300 bytes for each.
-BLOCK_OF_ITEMS = 256 << 10
+#: Bytes of item text in one automaton (its nodes take up to about 300 bytes for each), and automata that a worker keeps.
+BLOCK_OF_ITEMS, KEPT = 256 << 10, 4
+#: Bytes of text scanned at once.
+TEXT = 8 << 20
 #: A-Z to a-z; what is neither letter, digit nor part of a longer character to a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -27,17 +29,33 @@ def windows(words: list[bytes], width: int):
         yield b" ".join(words[a : a + width])
 
 
-def item_blocks(benchmark: DataFrame, width: int) -> list[dict[str, list[str]]]:
-    """Windows with the items that hold them, cut into blocks of bounded size. Items are streamed to the driver, not gathered at once."""
-    out, size = [{}], 0
+def item_blocks(benchmark: DataFrame):
+    """(item_id, text) pairs in blocks of bounded size. One block at a time is on the driver: items come partition by partition, and a block is handed on before the next is filled."""
+    block, size = [], 0
     for row in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        if size + len(row.text) > BLOCK_OF_ITEMS and size:
-            out.append({})
-            size = 0
+        if size + len(row.text) > BLOCK_OF_ITEMS and block:
+            yield block
+            block, size = [], 0
         size += len(row.text)
-        for key in set(windows(normal_words(row.text), width)):
-            out[-1].setdefault(f" {key.decode()} ", []).append(row.item_id)
-    return [x for x in out if x]
+        block.append((row.item_id, row.text))
+    if block:
+        yield block
+
+
+def automaton(items: list[tuple[str, str]], width: int):
+    """The windows of these items; None if they have no words."""
+    import ahocorasick
+
+    found: dict[str, set[str]] = {}
+    for item, text in items:
+        for key in windows(normal_words(text), width):
+            found.setdefault(f" {key.decode()} ", set()).add(item)
+    machine = ahocorasick.Automaton()
+    for key, own in found.items():
+        machine.add_word(key, (key.count(" ") - 1, own))
+    if found:
+        machine.make_automaton()
+    return machine if found else None
 
 
 def original_runs(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -52,51 +70,43 @@ def original_runs(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(low[a]), "end": int(high[b])} for a, b in zip(hit[begins], hit[ends])]
 
 
-def scan(docs: DataFrame, found: dict[str, list[str]], first: bool, last: bool, extra: list[str]) -> DataFrame:
-    """One automaton over the texts. All but the last hand on the text and what has been found so far."""
-    sent = docs.sparkSession.sparkContext.broadcast(list(found.items()))
-    built = {}
-
-    def automaton():
-        import ahocorasick
+def scan(docs: DataFrame, sent: list, width: int, extra: list[str]) -> DataFrame:
+    """Pass the texts through the automaton of every broadcast block of items."""
+    built: dict[int, object] = {}
 
-        if not built:
-            machine = ahocorasick.Automaton()
-            for key, items in sent.value:
-                machine.add_word(key, (key.count(" ") - 1, items))
-            machine.make_automaton()
-            built[0] = machine
-        return built[0]
+    def machine(k: int):
+        if k not in built:
+            while len(built) >= KEPT:
+                built.pop(next(iter(built)))
+            built[k] = automaton(sent[k].value, width)
+        return built[k]
 
     def run(batches):
-        machine = automaton() if sent.value else None
-        for block in blocks(batches, 8 << 20):
-            texts, counts, hits, items = strings(block.column("text")), [], [], []
-            before = [(b"", [])] * len(texts) if first else zip(block.column("words").to_pylist(), block.column("items").to_pylist())
-            for value, (old, had) in zip(texts, before):
+        for block in blocks(batches, TEXT if len(sent) <= KEPT else 8 * TEXT):
+            texts = strings(block.column("text"))
+            counts, hits, items = [], [np.zeros(0, np.int32)] * len(texts), [set() for _ in texts]
+            lines = []
+            for value in texts:
                 words = normal_words(value)
                 counts.append(len(words))
-                hit = np.frombuffer(old, np.int32)
-                line = f" {b' '.join(words).decode()} "
-                if matches := list(machine.iter(line)) if machine and words else []:
-                    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-                    stop = np.searchsorted(spaces, [e for e, _ in matches])
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, stop - np.array([n for _, (n, _) in matches]), 1)
-                    np.add.at(edge, stop, -1)
-                    hit = np.union1d(hit, np.flatnonzero(np.cumsum(edge[:-1]) > 0)).astype(np.int32)
-                    had = sorted({*had, *(i for _, (_, own) in matches for i in own)})
-                hits.append(hit)
-                items.append(had)
-            columns = {"doc_id": block.column("doc_id").cast(pa.int64()), "n_words": pa.array(counts, pa.int64()), "items": pa.array(items, pa.list_(pa.string()))}
-            if last:
-                columns |= {"n_hit": pa.array(map(len, hits), pa.int64()), "hits": pa.array([original_runs(t, h) for t, h in zip(texts, hits)], SPAN), "contaminated": pa.array([len(h) > 0 for h in hits], pa.bool_())}
-            else:
-                columns["words"] = pa.array([h.tobytes() for h in hits], pa.binary())
+                lines.append(f" {b' '.join(words).decode()} " if words else "")
+            for k in range(len(sent)):
+                if (own := machine(k)) is None:
+                    continue
+                for i, line in enumerate(lines):
+                    if matches := list(own.iter(line)) if line else []:
+                        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+                        stop = np.searchsorted(spaces, [e for e, _ in matches])
+                        edge = np.zeros(counts[i] + 1, np.int32)
+                        np.add.at(edge, stop - np.array([n for _, (n, _) in matches]), 1)
+                        np.add.at(edge, stop, -1)
+                        hits[i] = np.union1d(hits[i], np.flatnonzero(np.cumsum(edge[:-1]) > 0)).astype(np.int32)
+                        items[i].update(*(who for _, (_, who) in matches))
+            columns = {"doc_id": block.column("doc_id").cast(pa.int64()), "n_words": pa.array(counts, pa.int64()), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+            columns |= {"n_hit": pa.array(map(len, hits), pa.int64()), "hits": pa.array([original_runs(t, h) for t, h in zip(texts, hits)], SPAN), "contaminated": pa.array([len(h) > 0 for h in hits], pa.bool_())}
             yield block, pa.RecordBatch.from_pydict(columns)
 
-    kinds = "doc_id long, n_words long, items array<string>" + (", n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean" if last else ", words binary")
-    return map_texts(docs, run, kinds, extra, [] if first else ["words", "items"])
+    return map_texts(docs, run, "doc_id long, n_words long, items array<string>, n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean", extra)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, extra: list[str] | None = None) -> DataFrame:
@@ -112,15 +122,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, extra:
     no words, find nothing; an empty benchmark finds nothing. Repeated rows
     and null doc_ids are returned like others; further columns are ignored.
 
-    The benchmark is streamed into automata of at most BLOCK_OF_ITEMS bytes of
-    item text, each broadcast; the text passes through all of them in one
-    stage, without a shuffle.
+    The items are broadcast in blocks of BLOCK_OF_ITEMS bytes, and the tasks build the
+    automaton of each: one for a benchmark of up to that size. The text passes through
+    all of them in one stage, without a shuffle; a worker keeps KEPT automata and
+    builds others anew for every 8 * TEXT bytes of text.
     """
     extra = [c for c in extra or [] if c != "doc_id"]
     names = [f"extra_{i}" for i in range(len(extra))]
-    out = docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(extra, names)))
-    found = item_blocks(benchmark, width) or [{}]
-    for n, block in enumerate(found):
-        last = n == len(found) - 1
-        out = scan(out, block, n == 0, last, names if last else ["text", *names])
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(block) for block in item_blocks(benchmark)]
+    out = scan(docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in zip(extra, names))), sent, width, names)
     return out.select("doc_id", "n_words", "n_hit", "items", "hits", "contaminated", *(F.col(n).alias(c) for c, n in zip(extra, names)))
