@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,13 +106,24 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def as_text(values: list[bytes]) -> pa.Array:
+    """Bytes as an Arrow string column; what is not valid UTF-8 stays as it is."""
+    return pc.cast(pa.array(values, pa.binary()), options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+
+
+def carried(extra: list[str] | None, schema: str) -> list[str]:
+    """Columns to carry along: not doc_id, and none that a result column (of a DDL schema) is named like."""
+    own = {"doc_id", *(n.lower() for n in T.StructType.fromDDL(schema).names)}
+    return [c for c in extra or [] if c.lower() not in own]
+
+
 def map_texts(docs: DataFrame, run, schema: str, extra: list[str] | None = None, also: list[str] | None = None) -> DataFrame:
     """mapInArrow over doc_id, text and the columns `also`, with columns that are handed on.
 
     run(batches) yields (slice of its input, record batch of as many rows);
-    columns `extra` of the slice follow those of the batch, doc_id only once.
+    columns `extra` of the slice follow those of the batch, but for doc_id and those named like a column of the batch.
     """
-    extra = [c for c in extra or [] if c != "doc_id"]
+    extra = carried(extra, schema)
 
     def carry(batches):
         for block, out in run(batches):

@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_texts, strings
+from .common import blocks, carried, map_texts, strings
 
 #: Bytes of item text in one automaton (its nodes take up to about 300 bytes for each), and automata that a worker keeps.
 BLOCK_OF_ITEMS, KEPT = 256 << 10, 4
+RESULT = "doc_id long, n_words long, items array<string>, n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean"
 #: Bytes of text scanned at once.
 TEXT = 8 << 20
 #: A-Z to a-z; what is neither letter, digit nor part of a longer character to a space.
@@ -49,7 +50,7 @@ def automaton(items: list[tuple[str, str]], width: int):
     found: dict[str, set[str]] = {}
     for item, text in items:
         for key in windows(normal_words(text), width):
-            found.setdefault(f" {key.decode()} ", set()).add(item)
+            found.setdefault(f" {key.decode(errors='replace')} ", set()).add(item)
     machine = ahocorasick.Automaton()
     for key, own in found.items():
         machine.add_word(key, (key.count(" ") - 1, own))
@@ -62,7 +63,7 @@ def original_runs(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
     """Maximal runs of hit words as code point offsets in the original text."""
     if not len(hit):
         return []
-    letters = np.frombuffer(text.translate(NORMAL).decode().encode("utf-32-le"), np.uint32) != 32
+    letters = np.frombuffer(text.translate(NORMAL).decode(errors="replace").encode("utf-32-le"), np.uint32) != 32
     step = np.diff(np.r_[0, letters.astype(np.int8), 0])
     low, high = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     ends = np.flatnonzero(np.r_[np.diff(hit) != 1, True])
@@ -89,7 +90,7 @@ def scan(docs: DataFrame, sent: list, width: int, extra: list[str]) -> DataFrame
             for value in texts:
                 words = normal_words(value)
                 counts.append(len(words))
-                lines.append(f" {b' '.join(words).decode()} " if words else "")
+                lines.append(f" {b' '.join(words).decode(errors='replace')} " if words else "")
             for k in range(len(sent)):
                 if (own := machine(k)) is None:
                     continue
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, sent: list, width: int, extra: list[str]) -> DataFrame
             columns |= {"n_hit": pa.array(map(len, hits), pa.int64()), "hits": pa.array([original_runs(t, h) for t, h in zip(texts, hits)], SPAN), "contaminated": pa.array([len(h) > 0 for h in hits], pa.bool_())}
             yield block, pa.RecordBatch.from_pydict(columns)
 
-    return map_texts(docs, run, "doc_id long, n_words long, items array<string>, n_hit long, hits array<struct<start:int,end:int>>, contaminated boolean", extra)
+    return map_texts(docs, run, RESULT, extra)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, extra: list[str] | None = None) -> DataFrame:
@@ -127,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, extra:
     all of them in one stage, without a shuffle; a worker keeps KEPT automata and
     builds others anew for every 8 * TEXT bytes of text.
     """
-    extra = [c for c in extra or [] if c != "doc_id"]
+    extra = carried(extra, RESULT)
     names = [f"extra_{i}" for i in range(len(extra))]
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(block) for block in item_blocks(benchmark)]

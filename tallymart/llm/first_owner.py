@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, pack, strings, unpack
+from .common import blocks, carried, pack, strings, unpack
 
 BLOCK = 8 << 20
 CELL = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary())])
@@ -63,12 +63,15 @@ def split(group: np.ndarray):
         yield int(group[order[low]]), order[low:high]
 
 
-def later(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which entries have a key that also comes with a smaller document."""
+def later(keys: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Which entries have a key (64 bits, or 128 with `more`) that also comes with a smaller document."""
     if not len(keys):
         return np.zeros(0, bool)
-    order = np.argsort(keys)
-    starts = runs(keys[order])
+    order = np.argsort(keys) if more is None else np.lexsort((more, keys))
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
+    starts = np.flatnonzero(new)
     least = np.minimum.reduceat(doc[order], starts)
     out = np.empty(len(keys), bool)
     out[order] = doc[order] > np.repeat(least, np.diff(np.r_[starts, len(keys)]))
@@ -89,7 +92,7 @@ def requests(docs: DataFrame, keys_of, buckets: int) -> DataFrame:
             ids = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             number, at, key, second = keys_of(strings(block.column("text")))
             doc = ids[number]
-            gone = later(key, doc)
+            gone = later(key, doc, second)
             rows = list(cells(doc[~gone], at[~gone], (second % np.uint64(buckets))[~gone], key[~gone]))
             if gone.any():
                 rows.append((int(ids[0] % buckets), b"", *places(doc[gone], at[gone])))
@@ -107,8 +110,8 @@ def reply_rows(doc: np.ndarray, at: np.ndarray, parts: int, kind=None) -> pa.Tab
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def replies(asked: DataFrame, parts: int) -> DataFrame:
-    """Places to drop, packed by part of documents."""
+def replies(asked: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """Places to drop, packed by part of documents. The number of tasks grows with the buckets."""
 
     def run(table: pa.Table) -> pa.Table:
         docs, ats, keys, known = [], [], [], []
@@ -124,15 +127,16 @@ def replies(asked: DataFrame, parts: int) -> DataFrame:
         gone[ask] = later(key[ask], doc[ask])
         return reply_rows(doc[gone], at[gone], parts)
 
-    return asked.groupBy("bucket").applyInArrow(run, REPLY_SQL)
+    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, REPLY_SQL)
 
 
 def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: str, extra: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """Bring documents and their places together. make(doc ids, texts as bytes or None, places by number) gives columns; `extra` columns of docs follow them."""
+    """Bring documents and their places together. make(doc ids, texts as bytes or None, places by number) gives columns; `extra` columns of docs follow them, but for those named like one of the columns."""
+    extra = carried(extra, schema)
     nothing = [F.lit(None).cast("binary").alias(n) for n in ("ids", "counts", "gaps")]
-    left = docs.select(part_of(F.col("doc_id"), parts).alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing, *(F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra or [])))
-    right = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "gaps", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"extra_{i}") for i, c in enumerate(extra or [])))
-    schema = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra or [])])
+    left = docs.select(part_of(F.col("doc_id"), parts).alias("part"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), "text", *nothing, *(F.col(c).alias(f"extra_{i}") for i, c in enumerate(extra)))
+    right = answers.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "ids", "counts", "gaps", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"extra_{i}") for i, c in enumerate(extra)))
+    schema = ", ".join([schema, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)])
     empty = np.zeros(0, np.int64)
 
     def run(batches):
@@ -157,7 +161,7 @@ def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: s
                 own = np.searchsorted(known, [i if i is not None else 0 for i in ids])
                 gone = [marks[k] if i is not None and k < len(known) and known[k] == i else empty for i, k in zip(ids, own)]
                 columns = make(ids, strings(piece.column("text")), gone)
-                columns |= {c: piece.column(f"extra_{i}") for i, c in enumerate(extra or [])}
+                columns |= {c: piece.column(f"extra_{i}") for i, c in enumerate(extra)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return left.unionByName(right).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return left.unionByName(right).repartition(max(24, parts // 4), "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)

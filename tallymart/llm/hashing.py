@@ -60,15 +60,15 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of each word; long data goes slice by slice to bound memory."""
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE, "right")))
         low, high = starts[first], ends[last - 1]
-        sums = prefix(data[low:high].astype(np.uint64) + np.uint64(1), BASE)
-        out[first:last] = spans(sums, starts[first:last] - low, ends[first:last] - low, BASE)
+        sums = prefix(data[low:high].astype(np.uint64) + np.uint64(1), base)
+        out[first:last] = spans(sums, starts[first:last] - low, ends[first:last] - low, base)
         out[first:last] += (ends[first:last] - starts[first:last]).astype(np.uint64) * np.uint64(SECOND)
         first = last
     return mix(out)

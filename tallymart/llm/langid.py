@@ -122,7 +122,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     def run(batches):
         for block in blocks(batches, 4 << 20):
-            found = [text_features(t.decode()) for t in strings(block.column("text"))]
+            found = [text_features(t.decode(errors="replace")) for t in strings(block.column("text"))]
             yield pa.RecordBatch.from_arrays([block.column("doc_id").cast(pa.int64()), block.column("lang"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "at", "weight"])
 
     rows = [r for r in sorted(chosen.mapInArrow(run, "doc_id long, lang string, at binary, weight binary").collect()) if len(r.at)]
@@ -163,7 +163,7 @@ class Reader:
             self.table[:] = 0
         words, sizes = [], []
         for t in texts:
-            own = (t or b"").decode().lower().split()
+            own = (t or b"").decode(errors="replace").lower().split()
             words += own
             sizes.append(len(own))
         if new := set(words).difference(self.number):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import first_owner as owner
-from .common import blocks, strings, text_bytes
+from .common import as_text, blocks, strings, text_bytes
 from .hashing import SPACES
 
 ROW = pa.schema([("slice", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int64()), ("known", pa.bool_())])
@@ -39,14 +39,14 @@ def line_rows(docs: DataFrame, least: int, slices: int) -> DataFrame:
                         found.append(xxhash.xxh3_128_digest(key))
             pair = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
             h, g, doc = pair[:, 0].copy(), pair[:, 1].copy(), np.array(doc, np.int64)
-            known = owner.later(h ^ g, doc)  # decided already: they go anywhere, not to the task of a hot key
+            known = owner.later(h, doc, g)  # decided already: they go anywhere, not to the task of a hot key
             to = np.where(known, doc % slices, (h // np.uint64(width)).astype(np.int64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(doc), pa.array(np.array(at, np.int64)), pa.array(known)], schema=ROW)
 
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, ROW_SQL)
 
 
-def dropped(rows: DataFrame, parts: int) -> DataFrame:
+def dropped(rows: DataFrame, tasks: int, parts: int) -> DataFrame:
     """Stream sorted rows: every line but those of a key's first document, packed by part of documents."""
 
     def run(batches):
@@ -64,7 +64,7 @@ def dropped(rows: DataFrame, parts: int) -> DataFrame:
             if gone.any():
                 yield from owner.reply_rows(doc[gone], at[gone], parts).to_batches()
 
-    return rows.repartition("slice").sortWithinPartitions("h", "g", "doc_id", "line").mapInArrow(run, owner.REPLY_SQL)
+    return rows.repartition(tasks, "slice").sortWithinPartitions("h", "g", "doc_id", "line").mapInArrow(run, owner.REPLY_SQL)
 
 
 def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list[str] | None = None) -> DataFrame:
@@ -79,7 +79,8 @@ def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list
     Null and empty texts are one empty line, which stays. A row with a null
     doc_id keeps all lines and takes none from others. Rows that repeat a
     doc_id are each returned and do not drop each other's lines. Other columns of
-    `docs` are ignored. Keys are compared by 128 hash bits.
+    `docs` are ignored. Keys are compared by 128 hash bits. Bytes
+    that are not valid UTF-8 are kept as they are.
 
     Hashes are dealt by equal ranges of their (uniform) value, so no sampling
     pass is needed to find the ranges, and sorted within a slice by document
@@ -87,7 +88,7 @@ def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list
     """
     size = text_bytes(docs)
     slices, parts = max(64, math.ceil(size / (4 << 20))), max(48, math.ceil(size / (4 << 20)))
-    answers = dropped(line_rows(docs, least, slices), parts)
+    answers = dropped(line_rows(docs, least, slices), max(24, slices // 4), parts)
 
     def make(ids, texts, gone):
         n_lines, n_dropped, bitmaps, kept = [], [], [], []
@@ -101,6 +102,6 @@ def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list
             if text:
                 kept.append(b"\n".join([x for x, k in zip(lines, keep.tolist()) if k]) if len(out) else value or b"")
         columns = {"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "keep": pa.array(bitmaps, pa.binary())}
-        return columns | ({"kept": pa.array(kept, pa.binary()).cast(pa.string())} if text else {})
+        return columns | ({"kept": as_text(kept)} if text else {})
 
     return owner.with_places(docs, answers, parts, make, "doc_id long, n_lines long, n_dropped long, keep binary" + ", kept string" * text, extra)

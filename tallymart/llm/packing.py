@@ -78,7 +78,7 @@ class WordIds:
         self.part.update(zip(parts, range(len(self.part), len(self.part) + len(parts))))
 
     def add(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
+        texts = [w.decode(errors="replace") for w in words]
         plain = [bool(self.simple.fullmatch(t)) and "<|" not in t for t in texts]
         split = [self.parts.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
         flat = [x for own in split for x in own]

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, strings
@@ -50,7 +50,7 @@ class Words:
         while n + len(new) > len(self.table):
             self.table = np.r_[self.table, self.table * 0]
         if new:
-            self.table[n : n + len(new)] = [word_features(w.decode()) for w in new]
+            self.table[n : n + len(new)] = [word_features(w.decode(errors="replace")) for w in new]
             self.number.update(zip(new, range(n, n + len(new))))
         own = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         both = self.table[own] + np.repeat(np.arange(len(texts)), sizes)[:, None] * BUCKETS
@@ -58,6 +58,11 @@ class Words:
         return pairs // BUCKETS, pairs % BUCKETS
 
 
+def grade_of(quality: str, toxic: str) -> Column:
+    """Grades from two ratings: 0 toxic, 1 poor, 2 good; none where they do not tell."""
+    return F.when(F.col(toxic) == 1, 0).when(F.col(toxic) == 0, F.when(F.col(quality) == 0, 1).when(F.col(quality) == 1, 2))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

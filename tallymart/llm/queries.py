@@ -65,11 +65,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 toxic, 1 poor, 2 good."""
-    from .quality import grade_documents
+    from .quality import grade_documents, grade_of
 
-    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", grade_of("quality", "toxic").alias("grade")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +82,7 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minh
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-#: For the tables given: texts by words or lines, one row each. The other operators have no such SQL:
-#: bytes (4), set similarity over all pairs (3) and trained or searched results are tested against brute force.
+#: Trained or searched results (5, 6, 7, 8) have no SQL; they are tested against brute force and on held-out rows.
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""WITH u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
  k AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER w) AS key, count(*) OVER w AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
@@ -97,17 +94,29 @@ ORACLE: dict[str, str] = {
  k AS (SELECT *, translate(trim(line, {SPACE}), {LOWER}) AS key FROM l), f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
  g AS (SELECT k.*, length(key) >= 10 AND doc_id > first AS gone FROM k JOIN f USING (key))
  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY doc_id""",
+    "op3_minhash_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT a, min(b) AS least FROM r GROUP BY 1)
+ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least, d.doc_id)) AS component_id, d.doc_id <= coalesce(least, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id""",
+    "op4_suffix_dedup": """WITH d AS (SELECT doc_id, coalesce(hex(encode(text)), '') AS h FROM documents), w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS key FROM (SELECT doc_id, h, unnest(range(greatest(0, length(h) // 2 - 49))) AS i FROM d)),
+ f AS (SELECT key, min(doc_id) AS first FROM w GROUP BY key), g AS (SELECT doc_id, i FROM w JOIN f USING (key) WHERE doc_id > first),
+ b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g), k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+ s AS (SELECT doc_id, run, min(i) AS low, max(i) + 50 AS high FROM k GROUP BY ALL), p AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM s),
+ t AS (SELECT doc_id, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS kept, max(high) AS last FROM p JOIN d USING (doc_id) GROUP BY 1)
+ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)""",
     "op9_vector_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, e FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
  c AS (SELECT a, min(b) AS least FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
-    "op10_decontamination": rf"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents)),
- b AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS total FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
- dk AS (SELECT doc_id, i, string_agg(word, ' ') OVER x AS key, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
- bk AS (SELECT item_id, string_agg(word, ' ') OVER x AS key, count(*) OVER x AS n FROM b WINDOW x AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
- h AS (SELECT doc_id, i, item_id FROM dk JOIN bk USING (key) WHERE dk.n = 10 AND bk.n = 10),
- p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, range(10) r(j) GROUP BY doc_id),
+    "op10_decontamination": rf"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word FROM dw),
+ bw AS (SELECT item_id, ws, least(len(ws), 10) AS width FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+ bk AS (SELECT DISTINCT item_id, width, array_to_string(ws[i : i + width - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(ws) - width + 2)) AS i FROM bw)),
+ dk AS (SELECT doc_id, i, width, array_to_string(ws[i : i + width - 1], ' ') AS key FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM dw, (SELECT DISTINCT width FROM bw))),
+ h AS (SELECT doc_id, i, width, item_id FROM dk JOIN bk USING (width, key)),
+ p AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(width)) AS j FROM h) GROUP BY doc_id),
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
  c AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id)
  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
