@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +134,45 @@ def cart_state(events: DataFrame) -> DataFrame:
     return out.where("quantity > 0")
 
 
+def cart_lines(events: DataFrame) -> DataFrame:
+    """Every cart's lines after actions that may name a line by its place: user_id, position (from 0), product_id, quantity, unit_price.
+
+    Actions, in order of ts and id: add (product_id, quantity, unit_price: merges into the
+    product's line, and a given price replaces the line's), set (index, quantity; 0 or less
+    removes), remove (index), increment and decrement (index; a line that falls to zero
+    goes), clear. An index beyond the cart does nothing; -1 is the last line. What a place means depends on
+    all actions since the last clear, so these fold in order, one user at a time.
+    """
+    clears = events.where("action = 'clear'").groupBy("user_id").agg(F.max(F.struct("ts", "id")).alias("cleared"))
+    rows = events.where("action != 'clear'").join(clears, "user_id", "left").where(F.col("cleared").isNull() | (F.struct("ts", "id") > F.col("cleared"))).drop("cleared")
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "product_id")}
+
+    def fold(key, own: pd.DataFrame) -> pd.DataFrame:
+        lines: list[list] = []  # product, quantity, price
+        for row in own.sort_values(["ts", "id"]).itertuples(index=False):
+            if row.action == "add":
+                amount = 1 if pd.isna(row.quantity) else int(row.quantity)
+                found = next((x for x in lines if x[0] == row.product_id), None)
+                if found is None:
+                    lines.append([row.product_id, amount, row.unit_price])
+                else:
+                    found[1] += amount
+                    if not pd.isna(row.unit_price):
+                        found[2] = row.unit_price
+                continue
+            at = len(lines) - 1 if row.index == -1 else row.index
+            if pd.isna(at) or not 0 <= at < len(lines):
+                continue
+            step = {"set": None, "remove": None, "increment": 1, "decrement": -1}[row.action]
+            line = lines[int(at)]
+            line[1] = line[1] + step if step else int(row.quantity) if row.action == "set" else 0
+            if line[1] <= 0:
+                del lines[int(at)]
+        return pd.DataFrame([(key[0], n, *x) for n, x in enumerate(lines)], columns=["user_id", "position", "product_id", "quantity", "unit_price"])
+
+    return rows.groupBy("user_id").applyInPandas(fold, f"user_id {kinds['user_id']}, position int, product_id {kinds['product_id']}, quantity long, unit_price double")
+
+
 def cart_totals(cart: DataFrame, rates: DataFrame) -> DataFrame:
     """Per user: quantity, CNY total over lines that can be converted (each rounded to two places), how many cannot, and their totals by currency, sorted by code. cart: user_id, unit_price, currency, quantity."""
     rate = F.when(F.col("currency") == "CNY", F.lit(1.0)).otherwise(F.col("rate"))

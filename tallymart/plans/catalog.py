@@ -177,9 +177,9 @@ def c5_except_brands(spark, sf_dir):
     return fl.except_brands(few(spark, sf_dir).withColumn("except_aliases", F.array(F.lit("Brand#1")))).select("query_id", "product_id")
 
 
-@query(FEW + ", n AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN ['ring'] WHEN query_id % 3 = 1 THEN ['bolt', 'gear'] ELSE [] END AS named FROM fw), k AS (SELECT *, len(list_filter(named, lambda x: contains(lower(title), x))) > 0 AS ok FROM n), w AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM k) SELECT query_id, product_id FROM w WHERE ok OR NOT any_ok OR len(named) = 0 OR query_id % 9 = 0")
+@query(FEW + ", n AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN ['ring'] WHEN query_id % 3 = 1 THEN ['bolt', 'gear'] ELSE [] END AS named FROM fw), k AS (SELECT *, len(list_filter(named, lambda x: contains(lower(title), x))) > 0 AS ok FROM n), w AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS any_ok FROM k) SELECT query_id, product_id FROM w WHERE ok OR NOT any_ok OR len(named) = 0 OR query_id % 9 = 0 OR query_id % 5 = 0")
 def c6_product_line(spark, sf_dir):
-    pairs = few(spark, sf_dir).withColumn("text", F.expr("CASE query_id % 3 WHEN 0 THEN 'a RING please' WHEN 1 THEN 'bolt or gear' ELSE 'anything' END")).withColumn("comparison", F.col("query_id") % 9 == 0)
+    pairs = few(spark, sf_dir).withColumn("text", F.expr("CASE query_id % 3 WHEN 0 THEN 'a RING please' WHEN 1 THEN 'bolt or gear' ELSE 'anything' END")).withColumn("comparison", F.col("query_id") % 9 == 0).withColumn("brand_include", F.expr("CASE query_id % 5 WHEN 0 THEN array('Brand#1', 'Brand#2') WHEN 1 THEN array('Brand#1', 'BRAND#1') END"))
     return fl.product_line(pairs, ["ring", "bolt", "gear", "widget"]).select("query_id", "product_id")
 
 
@@ -195,6 +195,18 @@ def c9_lexical_overlap(spark, sf_dir):
     return fl.lexical_overlap(rt.top_k(pairs, 5, order=[F.asc("product_id")]))
 
 
+@query("""WITH r AS (SELECT event_id, user_id % 10 > 0 AS a, event_type IN ('click', 'error') AS b, value > 20 AS c, event_id % 11 > 0 AS d, event_id % 13 BETWEEN 2 AND 10 AS e FROM events)
+ SELECT event_id, coalesce(array_to_string(list_filter([CASE WHEN NOT a THEN 'user_id' END, CASE WHEN NOT b THEN 'signal' END, CASE WHEN NOT c THEN 'target_price_cny' END, CASE WHEN NOT d THEN 'cycle_days' END, CASE WHEN NOT e THEN 'target_size' END], lambda x: x IS NOT NULL), ','), '') AS failed FROM r""")
+def c10_all_rules(spark, sf_dir):
+    """Events judged by all five rules; rejects name the failed columns."""
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("user_id") % 10 > 0, F.concat(F.lit("user_id_"), F.col("user_id").cast("string"))).otherwise("short").alias("user_id"), F.expr("CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE 5 END").alias("signal"),
+        (F.col("value") - 20).alias("target_price_cny"), F.when(F.col("event_id") % 11 > 0, F.when(F.col("event_id") % 11 > 5, 30)).otherwise(4000).alias("cycle_days"), (F.col("event_id") % 13).alias("target_size"),
+    )
+    good, bad = fl.validate_rows(rows)
+    return good.select("event_id", F.lit("").alias("failed")).unionByName(bad.select("event_id", F.array_join("failed", ",").alias("failed")))
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR c_acctbal <= 0 THEN 'reject' ELSE 'good' END AS verdict FROM customer")
 def c10_validate_rows(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "bad id").otherwise(F.col("c_name")).alias("user_id"), F.col("c_acctbal").alias("target_price_cny"), F.lit(None).cast("int").alias("cycle_days"))

@@ -160,6 +160,22 @@ def g7_cart_state(spark, sf_dir):
     return cart(spark, sf_dir)
 
 
+@query("""WITH RECURSIVE ce AS (SELECT event_id AS id, ts, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id, CAST(1 + event_id % 3 AS BIGINT) AS quantity, value AS unit_price, CAST(event_id % 4 - 1 AS BIGINT) AS place,
+ CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'add' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'set' ELSE CASE WHEN event_id % 7 = 0 THEN 'clear' WHEN event_id % 2 = 0 THEN 'decrement' ELSE 'increment' END END AS action FROM events),
+ ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS i FROM ce),
+ st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(p BIGINT, q BIGINT, c DOUBLE)[]) AS lines FROM ce UNION ALL
+ SELECT user_id, i, CASE action WHEN 'clear' THEN [] WHEN 'add' THEN CASE WHEN len(list_filter(lines, lambda x: x.p = product_id)) > 0 THEN list_transform(lines, lambda x: CASE WHEN x.p = product_id THEN {'p': x.p, 'q': x.q + quantity, 'c': unit_price} ELSE x END) ELSE list_append(lines, {'p': product_id, 'q': quantity, 'c': unit_price}) END
+ ELSE list_filter(list_transform(lines, lambda x, n: CASE WHEN n = spot THEN {'p': x.p, 'q': CASE action WHEN 'set' THEN quantity WHEN 'remove' THEN 0 WHEN 'increment' THEN x.q + 1 ELSE x.q - 1 END, 'c': x.c} ELSE x END), lambda x: x.q > 0) END
+ FROM (SELECT e.*, s.lines, CASE WHEN place = -1 THEN len(s.lines) ELSE place + 1 END AS spot FROM st s JOIN ev e ON e.user_id = s.user_id AND e.i = s.i + 1)),
+ en AS (SELECT user_id, arg_max(lines, i) AS lines FROM st GROUP BY 1)
+ SELECT user_id, CAST(n - 1 AS INTEGER) AS position, lines[n].p AS product_id, lines[n].q AS quantity, lines[n].c AS unit_price FROM (SELECT user_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM en)""")
+def g7_cart_lines(spark, sf_dir):
+    """Events as actions, some by the place of a line; adds bring the price."""
+    action = F.expr("CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'add' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'set' ELSE CASE WHEN event_id % 7 = 0 THEN 'clear' WHEN event_id % 2 = 0 THEN 'decrement' ELSE 'increment' END END")
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id", (F.get_json_object("props", "$.k").cast("long") % 20).alias("product_id"), (1 + F.col("event_id") % 3).alias("quantity"), F.col("value").alias("unit_price"), (F.col("event_id") % 4 - 1).alias("index"), action.alias("action"))
+    return lc.cart_lines(rows)
+
+
 LINES = PRICED + f""", {CART}, ln AS (SELECT user_id, CAST(quantity AS INTEGER) AS quantity, currency, base_price, CAST(CAST(base_price AS DECIMAL(18,6)) * CAST(quantity AS INTEGER) * CASE currency WHEN 'CNY' THEN 1 WHEN 'USD' THEN 7 END AS DECIMAL(18,2)) AS cny FROM cs JOIN pr USING (product_id)),
  lo AS (SELECT user_id, currency, sum(CAST(CAST(base_price AS DECIMAL(18,6)) * quantity AS DECIMAL(18,2))) AS open FROM ln WHERE cny IS NULL GROUP BY ALL), ul AS (SELECT user_id, string_agg(currency || ' ' || CAST(open AS VARCHAR), ',' ORDER BY currency) AS unresolved_totals FROM lo GROUP BY 1)"""
 
@@ -201,9 +217,10 @@ def g10_opener_groups(spark, sf_dir):
     return lc.opener_groups(groups).select("opener_id", "group_id", "position")
 
 
-@query("SELECT l_partkey AS product_id, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS product_id, max(l_shipdate) AS shipped, arg_max(l_orderkey, {'s': l_shipdate, 'o': l_orderkey, 'n': l_linenumber}) AS orderkey, arg_max(l_linenumber, {'s': l_shipdate, 'o': l_orderkey, 'n': l_linenumber}) AS line FROM lineitem GROUP BY 1")
 def a3_latest_by_key(spark, sf_dir):
-    return lc.latest_by_key(read(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_shipdate", "l_orderkey"]).select(F.col("l_partkey").alias("product_id"), F.col("l_shipdate").alias("shipped"))
+    """The last shipped line of every product; the later order and line at ties."""
+    return lc.latest_by_key(read(spark, sf_dir, "lineitem"), ["l_partkey"], ["l_shipdate", "l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("product_id"), F.col("l_shipdate").alias("shipped"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"))
 
 
 @query("SELECT p_partkey AS product_id, CASE WHEN value IS NULL THEN p_retailprice ELSE value END AS price FROM part LEFT JOIN (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, arg_max(value, {'ts': ts, 'id': event_id}) AS value FROM events WHERE event_type = 'view' GROUP BY 1) ON k = p_partkey")
