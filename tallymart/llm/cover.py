@@ -52,21 +52,31 @@ def order_by_period(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sample_ranks(words: np.ndarray, n: int) -> np.ndarray:
-    """Rank of every sampled suffix among the sampled ones, by prefix doubling; -1 elsewhere and beyond the end."""
+    """Rank of every sampled suffix among the sampled ones, by prefix doubling; -1 elsewhere and beyond the end. A rank is the place where its group of ties starts, so only ties are sorted again."""
     at = (np.arange(0, n, PERIOD)[:, None] + COVER).ravel()
     at = at[at < n]
     ranks = np.full(n + 2 * PERIOD, -1, np.int64)
     order, new = order_by_period(words, at)
-    reach = PERIOD
-    while True:
-        ranks[at[order]] = np.cumsum(new)
-        if new.all() or reach >= 2 * n:
-            return ranks
-        ahead = np.minimum(at + reach, n)
-        first, second = ranks[at], ranks[ahead]
-        order = np.lexsort((second, first))
-        new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+    at, place = at[order], np.arange(len(at))
+    reach, starts = PERIOD, np.flatnonzero(new)
+    rank = np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+    ranks[at] = rank
+    while len(place) and reach < 2 * n:
+        tied = np.ones(len(place), bool)
+        tied[:-1] = rank[1:] == rank[:-1]
+        tied[-1] = False
+        tied[1:] |= tied[:-1]
+        at, rank, place = at[tied], rank[tied], place[tied]
+        key = rank * (n + 2) + ranks[np.minimum(at + reach, n)] + 1
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts = np.flatnonzero(new)
+        rank = np.repeat(place[starts], np.diff(np.r_[starts, len(at)]))
+        ranks[at] = rank
         reach *= 2
+    return ranks
 
 
 def settle(at: np.ndarray, new: np.ndarray, ranks: np.ndarray) -> np.ndarray:

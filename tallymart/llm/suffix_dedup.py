@@ -3,10 +3,14 @@
 1. Every string of `width` bytes picks one anchor among its substrings of GRAM
    bytes, by the least hash; equal strings pick alike. Neighbours that share an
    anchor form a stretch. Only (anchor, stretch) hashes are shuffled, about one
-   per 14 bytes. Stretches equal as a whole collapse to their smallest
-   document; an anchor seen in one stretch only can hold no repeat.
-2. The stretches left, distinct ones around an anchor that documents share
-   (the edges of repeats), go by anchor to the tasks that sort all
+   per 14 bytes; they choose which stretches are to be compared, and decide nothing. An
+   anchor seen in one stretch only can hold no repeat.
+2. Stretches whose hashes are equal are copies of each other in all likelihood. They
+   lie next to each other in order of document, and each is compared with the one
+   before it on its bytes: at once within a block of text, else the earlier
+   document sends its bytes, many stretches in one run, to the later one.
+3. The distinct stretches around an anchor that documents share (the edges of
+   repeats), go by anchor to the tasks that sort all
    their suffixes with difference-cover samples, bucket by bucket
    (cover.py). Neighbours in that order that agree on `width` bytes are
    repeats; all but those of the smallest document go. Around an anchor with
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import first_owner as owner
-from .common import blocks, cut, ranges, strings, text_bytes
+from .common import blocks, cut, pack, ranges, strings, text_bytes, unpack
 from .cover import equal_prefixes
 from .hashing import BASE, SECOND, mix, prefix, spans
 
@@ -33,8 +37,13 @@ SEGMENT = 1 << 20
 #: Stretches around one anchor beyond which they are dealt as single strings.
 HOT = 20_000
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-ANSWER = "what int, part int, ids binary, counts binary, gaps binary"
-ASKED = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary()), ("text", pa.binary())])
+#: what 0: runs that go; 1: stretches to compare around their anchor; 2: the same around a hot anchor; 3: stretches of an
+#: earlier document (ids, counts, gaps) that the stretches of later documents (later, shift: how far on) are to be compared with. For 1 and 2, later is the bucket.
+ANSWER = "what int, part int, ids binary, counts binary, gaps binary, later binary, shift binary"
+#: What goes: what 0 as above; what 3: ids, starts and numbers of starts (plain), with the bytes of the earlier document.
+GONE = "what int, part int, ids binary, counts binary, gaps binary, text binary"
+ASKED_SQL = "what int, bucket int, ids binary, counts binary, gaps binary, text binary"
+ASKED = pa.schema([("what", pa.int32()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("gaps", pa.binary()), ("text", pa.binary())])
 
 
 def code(at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -88,21 +97,47 @@ def segments(ids, texts, width: int):
         yield group
 
 
-def all_stretches(ids, texts, width: int):
-    for group in segments(ids, texts, width):
+def all_stretches(texts, width: int):
+    """(text number, first start, number of starts, anchor hash, stretch hash) of all texts, piece by piece."""
+    for group in segments(range(len(texts)), texts, width):
         data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
         number, at, count, gram, text = stretches(data, np.array([len(x[2]) for x in group]), width)
         yield np.array([x[0] for x in group], np.int64)[number], at + np.array([x[1] for x in group], np.int64)[number], count, gram, text
 
 
+def copies(data: np.ndarray, place: np.ndarray, length: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which stretches equal, byte by byte, one of a smaller document; a key that different stretches share gives none."""
+    order = np.lexsort((doc, key))
+    starts = owner.runs(key[order])
+    first = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    gone = doc[order] > doc[order][first]
+    at, equal = np.flatnonzero(np.arange(len(order)) != first), np.ones(len(order), bool)
+    words = np.ndarray((max(0, len(data) - 7),), np.uint64, data, 0, (1,))  # the 8 bytes from each place on
+    mine, other = order[at], order[at - 1]
+    same, n, x, y = length[mine] == length[other], length[mine], place[mine], place[other]
+    y = np.where(same, y, x)
+    for step in range(0, int(n.max(initial=8)) - 7, 8):
+        own = np.minimum(step, n - 8)
+        same &= words[x + own] == words[y + own]
+    same &= words[x + n - 8] == words[y + n - 8]
+    equal[at] = same
+    if len(starts):
+        gone &= np.repeat(np.logical_and.reduceat(equal, starts), np.diff(np.r_[starts, len(order)]))
+    out = np.empty(len(order), bool)
+    out[order] = gone
+    return out
+
+
 def anchor_cells(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Cells of (anchor: 5 bytes, stretch: 6 bytes) per bucket of anchors; stretches of a smaller document in the block are answered at once."""
+    """Cells of (anchor: 5 bytes, stretch: 6 bytes) per bucket of anchors; copies of a smaller document's stretches in the block are answered at once."""
 
     def run(batches):
         for block in blocks(batches, owner.BLOCK):
-            found = list(all_stretches(block.column("doc_id").to_pylist(), strings(block.column("text")), width))
-            doc, at, count, gram, text = map(np.concatenate, zip(*found))
-            gone = owner.later(text ^ gram, doc)
+            texts = strings(block.column("text"))
+            number, at, count, gram, text = map(np.concatenate, zip(*all_stretches(texts, width)))
+            doc = block.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[number]
+            base = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
+            gone = copies(np.frombuffer(b"".join(texts), np.uint8), base[number] + at, count + width - 1, text ^ gram, doc)
             keys = np.concatenate([gram.view(np.uint8).reshape(-1, 8)[:, :5], text.view(np.uint8).reshape(-1, 8)[:, :6]], 1)
             runs, ask = code(at, count), ~gone
             rows = list(owner.cells(doc[ask], runs[ask], ((gram >> np.uint64(40)) % np.uint64(buckets))[ask], keys[ask])) if ask.any() else []
@@ -113,8 +148,23 @@ def anchor_cells(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, owner.CELL_SQL)
 
 
-def answers(asked: DataFrame, parts: int) -> DataFrame:
-    """what 0: runs that go; 1: stretches to compare around their anchor; 2: the same around a hot anchor."""
+def answer_rows(what: int, doc: np.ndarray, at: np.ndarray, parts: int, later: np.ndarray | None = None, shift: np.ndarray | None = None, bucket: np.ndarray | None = None) -> pa.Table:
+    """Rows of ANSWER by part of `doc`. With `later`: ordered so that a run of stretches copied by one document lies together. bucket: of the anchors, for stretches to compare."""
+    if later is None:
+        order = np.lexsort((at, doc))
+    else:
+        order = np.lexsort((at, mix(later.astype(np.uint64)) + shift.astype(np.uint64), doc))
+    doc, at = doc[order], at[order]
+    rows = []
+    for p, own in owner.split(owner.parts_of(doc, parts)):
+        more = (pack(later[order][own]), pack(shift[order][own])) if later is not None else (pack(bucket[order][own]) if bucket is not None else None, None)
+        rows.append((what, p, *owner.places(doc[own], at[own]), *more))
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("what", "part", "ids", "counts", "gaps", "later", "shift"), kinds))})
+
+
+def answers(asked: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """What is to be done with the stretches of each bucket of anchors: rows of ANSWER."""
 
     def run(table):
         docs, runs, keys, known = [], [], [], []
@@ -125,7 +175,7 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
             known.append(np.full(len(doc), not key))
             keys.append(np.frombuffer(key, np.uint8).reshape(-1, 11) if key else np.zeros((len(doc), 11), np.uint8))
         doc, at, known, key = np.concatenate(docs), np.concatenate(runs), np.concatenate(known), np.concatenate(keys)
-        out = [(0, doc[known], at[known])]
+        tables = [answer_rows(0, doc[known], at[known], parts)]
         doc, at, key = doc[~known], at[~known], key[~known]
         wide = np.zeros((len(key), 16), np.uint8)
         wide[:, :5], wide[:, 8:14] = key[:, :5], key[:, 5:]
@@ -136,16 +186,19 @@ def answers(asked: DataFrame, parts: int) -> DataFrame:
             new_gram = np.r_[True, gram[1:] != gram[:-1]]
             new = new_gram | np.r_[True, text[1:] != text[:-1]]
             starts = np.flatnonzero(new)
-            first = np.repeat(doc[starts], np.diff(np.r_[starts, len(doc)])) == doc
+            sizes = np.diff(np.r_[starts, len(doc)])
+            first = np.repeat(doc[starts], sizes) == doc
             group = np.cumsum(new_gram) - 1
             kinds = np.bincount(group, new).astype(np.int64)[group]
-            out += [(0, doc[~first], at[~first]), (1, doc[first & (kinds > 1) & (kinds <= HOT)], at[first & (kinds > 1) & (kinds <= HOT)]), (2, doc[first & (kinds > HOT)], at[first & (kinds > HOT)])]
-        tables = []
-        for what, d, a in out:
-            if len(d):
-                rows = owner.reply_rows(d, a, parts)
-                tables.append(rows.add_column(0, "what", pa.array([what] * rows.num_rows, pa.int32())))
-        return pa.concat_tables(tables) if tables else owner.reply_rows(doc[:0], at[:0], parts).add_column(0, "what", pa.array([], pa.int32()))
+            for what, own in ((1, first & (kinds > 1) & (kinds <= HOT)), (2, first & (kinds > HOT))):
+                tables.append(answer_rows(what, doc[own], at[own], parts, bucket=(mix(gram[own].copy()) % np.uint64(buckets)).astype(np.int64)))
+            # Each later stretch is compared with the first one of the document before it: that one is, or was compared with, the smallest.
+            new_doc = new | np.r_[True, doc[1:] != doc[:-1]]
+            of_doc = np.flatnonzero(new_doc)
+            before = np.repeat(np.r_[0, of_doc[:-1]], np.diff(np.r_[of_doc, len(doc)]))
+            own, source = np.flatnonzero(~first), before[~first]
+            tables.append(answer_rows(3, doc[source], at[source], parts, doc[own], (at[own] >> 5) - (at[source] >> 5)))
+        return pa.concat_tables(tables)
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -161,37 +214,57 @@ def marked(table, whats) -> dict[int, np.ndarray]:
     return dict(zip(doc[order][starts].tolist(), np.split(at[order], starts[1:])))
 
 
-def stretch_cells(by_part, answered: DataFrame, width: int, buckets: int) -> DataFrame:
-    """The bytes of the stretches to compare, by bucket of anchors (or of strings)."""
+def source_runs(table, parts: int):
+    """(document, first start, starts, later document, its first start, its part) of the stretches to send, as whole runs of neighbours."""
+    for what, *packed, later, shift in zip(*(table.column(n).to_pylist() for n in ("what", "ids", "counts", "gaps", "later", "shift"))):
+        if what != 3:
+            continue
+        doc, at = owner.unpack_places(*packed)
+        later, shift, (at, count) = unpack(later, np.int64), unpack(shift, np.int64), decode(at)
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (later[1:] != later[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + count[:-1])
+        starts = np.flatnonzero(new)
+        yield from zip(*(x.tolist() for x in (doc[starts], at[starts], np.add.reduceat(count, starts), later[starts], at[starts] + shift[starts], owner.parts_of(later[starts], parts))))
+
+
+def stretch_cells(by_part, answered: DataFrame, width: int, buckets: int, parts: int) -> DataFrame:
+    """The bytes of the stretches to compare: what 1, by bucket of anchors (or of strings); what 3, by part of the later document."""
 
     def run(docs, table):
-        plain, hot, rows = marked(table, {1}), marked(table, {2}), []
-        chosen = [(i, t) for i, t in zip(docs.column("doc_id").to_pylist(), strings(docs.column("text"))) if t and (i in plain or i in hot)]
-        chosen = list(dict(chosen).items())  # a repeated row once
-        for group in segments(*zip(*chosen), width) if chosen else []:
-            data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
-            sizes = np.array([len(x[2]) for x in group])
-            number, at, count, gram, _ = stretches(data, sizes, width)
-            base = np.cumsum(sizes) - sizes
-            doc, whole = np.array([x[0] for x in group], np.int64)[number], at + np.array([x[1] for x in group], np.int64)[number]
-            runs, place = code(whole, count), base[number] + at
-            for asked, single in ((plain, False), (hot, True)):
-                mine = np.zeros(len(runs), bool)
-                for low, high in zip(s := owner.runs(number), np.r_[s[1:], len(number)]):
-                    if int(doc[low]) in asked:
-                        mine[low:high] = np.isin(runs[low:high], asked[int(doc[low])])
+        rows, sent = [], {}
+        texts = dict((i, t) for i, t in zip(docs.column("doc_id").to_pylist(), strings(docs.column("text"))) if t and i is not None)  # a repeated row once
+        for doc, at, count, later, there, part in source_runs(table, parts):
+            piece = texts[doc][at : at + count + width - 1]
+            if len(piece) == count + width - 1:
+                sent.setdefault(part, []).append((later, there, count, piece))
+        for part, own in sent.items():
+            rows.append((3, part, *(np.array([x[k] for x in own], np.int64).tobytes() for k in range(3)), b"".join(x[3] for x in own)))
+        found = [(w, *owner.unpack_places(*x), unpack(b, np.int64)) for w, *x, b in zip(*(table.column(n).to_pylist() for n in ("what", "ids", "counts", "gaps", "later"))) if w in (1, 2)]
+        if found:
+            doc, runs, bucket = (np.concatenate(x) for x in list(zip(*found))[1:])
+            single = np.repeat([x[0] == 2 for x in found], [len(x[1]) for x in found])
+            known, which = np.unique(doc, return_inverse=True)
+            own = [texts[i] for i in known.tolist()]
+            sizes = np.array([len(t) for t in own])
+            data, (at, count) = np.frombuffer(b"".join(own), np.uint8), decode(runs)
+            inside = at + count + width - 1 <= sizes[which]
+            place = (np.cumsum(sizes) - sizes)[which] + at
+            for hot in (False, True):
+                mine = inside & (single == hot)
                 if not mine.any():
                     continue
-                d, r, p, c, g = doc[mine], whole[mine], place[mine], count[mine], gram[mine]
-                if single:
+                d, r, p, c, g = doc[mine], at[mine], place[mine], count[mine], bucket[mine]
+                if hot:
                     d, r, p, c = np.repeat(d, c), ranges(r, c), ranges(p, c), np.ones(c.sum(), np.int64)
-                    g = mix(spans(prefix(data.astype(np.uint64) + np.uint64(1), SECOND), p, p + width, SECOND))
-                for b, own in owner.split(((g >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)):
-                    text = data[ranges(p[own], c[own] + width - 1)].tobytes()
-                    rows.append((b, *owner.places(d[own], code(r[own], c[own])), text))
+                    g = (mix(spans(prefix(data.astype(np.uint64) + np.uint64(1), SECOND), p, p + width, SECOND)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((r, d, g))
+                d, r, p, c, g = d[order], r[order], p[order], c[order], g[order]
+                for low, high in zip(s := owner.runs(g), np.r_[s[1:], len(g)]):
+                    text = data[ranges(p[low:high], c[low:high] + width - 1)].tobytes()
+                    rows.append((1, int(g[low]), *owner.places(d[low:high], code(r[low:high], c[low:high])), text))
         return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows), ASKED)] if rows else [pa.array([], t.type) for t in ASKED], schema=ASKED)
 
-    return by_part.cogroup(answered.where("what > 0").groupBy("part")).applyInArrow(run, "bucket int, ids binary, counts binary, gaps binary, text binary")
+    return by_part.cogroup(answered.where("what > 0").groupBy("part")).applyInArrow(run, ASKED_SQL)
 
 
 def compared(cells: DataFrame, width: int, parts: int) -> DataFrame:
@@ -214,10 +287,24 @@ def compared(cells: DataFrame, width: int, parts: int) -> DataFrame:
             gone.append(own[d > np.repeat(np.minimum.reduceat(d, starts), np.diff(np.r_[starts, len(own)]))])
         gone = np.sort(np.concatenate(gone))
         which = owner_of[gone]
-        rows = owner.reply_rows(doc[which], code(at[which] + gone - base[which], np.ones(len(gone), np.int64)), parts)
-        return rows.add_column(0, "what", pa.array([0] * rows.num_rows, pa.int32()))
+        rows = answer_rows(0, doc[which], code(at[which] + gone - base[which], np.ones(len(gone), np.int64)), parts)
+        return rows.drop_columns(["later", "shift"]).append_column("text", pa.nulls(rows.num_rows, pa.binary()))
+
+    return cells.groupBy("bucket").applyInArrow(run, GONE)
 
-    return cells.groupBy("bucket").applyInArrow(run, ANSWER)
+
+def same_bytes(table, texts: dict[int, bytes], width: int) -> dict[int, list[tuple[int, int]]]:
+    """(start, starts) by document of the runs whose bytes an earlier document sent."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for what, *packed, sent in zip(*(table.column(n).to_pylist() for n in ("what", "ids", "counts", "gaps", "text"))):
+        if what == 3:
+            place = 0
+            for doc, at, count in zip(*(np.frombuffer(x, np.int64).tolist() for x in packed)):
+                n = count + width - 1
+                if texts[doc][at : at + n] == sent[place : place + n]:
+                    out.setdefault(doc, []).append((at, count))
+                place += n
+    return out
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -230,7 +317,10 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
 
     Null and empty texts have no bytes. A row with a null doc_id keeps all
     and removes nothing from others. Rows that repeat a doc_id are
-    each returned and do not remove each other. Other columns are ignored.
+    each returned and do not remove each other; one whose text differs from the others' may keep more. Other columns are ignored.
+
+    Nothing goes that was not found equal on its bytes. Should different stretches have equal hashes
+    (88 bits), the later ones stay.
 
     width: from GRAM + 8 to GRAM + 31, so that a stretch has at most 32 starts.
     """
@@ -239,19 +329,25 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = text_bytes(docs)
     buckets, parts = max(24, math.ceil(size / (12 << 20))), max(48, math.ceil(size / (4 << 20)))
-    by_part = docs.withColumn("part", owner.part_of(F.col("doc_id"), parts)).groupBy("part")
-    answered = cut(answers(anchor_cells(docs, width, buckets), parts))  # read twice below
-    more = compared(stretch_cells(by_part, answered, width, 4 * buckets), width, parts)
-    gone = answered.where("what = 0").unionByName(more)
+    tasks = max(24, parts // 4)  # 16 MB of text each
+    by_part = docs.withColumn("part", owner.part_of(F.col("doc_id"), parts)).repartition(tasks, "part").groupBy("part")
+    answered = cut(answers(anchor_cells(docs, width, buckets).repartition(buckets, "bucket"), parts, 4 * buckets))  # read twice below, as is the next
+    cells = cut(stretch_cells(by_part, answered.repartition(tasks, "part"), width, 4 * buckets, parts))
+    more = compared(cells.where("what = 1").drop("what").repartition(2 * buckets, "bucket"), width, parts)
+    sent = cells.where("what = 3").withColumnRenamed("bucket", "part")
+    gone = answered.where("what = 0").select("what", "part", "ids", "counts", "gaps", F.lit(None).cast("binary").alias("text")).unionByName(more).unionByName(sent)
 
     def run(left, right):
         marks = marked(right, {0})
+        whole = same_bytes(right, dict(zip(left.column("doc_id").to_pylist(), strings(left.column("text")))), width)
         rows = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept")}
         for i, text in zip(left.column("doc_id").to_pylist(), strings(left.column("text"))):
-            text, found = text or b"", marks.get(i) if i is not None else None
+            text, found, sure = text or b"", marks.get(i) if i is not None else None, whole.get(i)
             low = high = np.zeros(0, np.int64)
-            if found is not None:
-                at, count = decode(found)
+            if found is not None or sure:
+                at, count = decode(found if found is not None else np.zeros(0, np.int64))
+                if sure:
+                    at, count = np.concatenate([np.stack([at, count], 1), np.array(sure, np.int64)]).T
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, np.minimum(at, len(text)), 1)
                 np.add.at(edge, np.minimum(at + count - 1 + width, len(text)), -1)
@@ -264,4 +360,4 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
         return pa.table({n: pa.array(c, k) for (n, c), k in zip(rows.items(), kinds)})
 
-    return by_part.cogroup(gone.groupBy("part")).applyInArrow(run, OUT)
+    return by_part.cogroup(gone.repartition(tasks, "part").groupBy("part")).applyInArrow(run, OUT)
