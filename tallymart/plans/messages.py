@@ -9,8 +9,8 @@ from ..functions import parsing as ps
 from ..functions import text as tx
 from ..operators import conversation as cv
 from ..operators import search as se
-from .base import CAT, catalog_view, query, read
-from .catalog import ORIGIN, priced, sourced, origins
+from .base import CAT, catalog_view, query, read, written
+from .catalog import ORIGIN, PRICED, origins, priced, sourced
 
 def pick(number: str, values) -> str:
     """One of some SQL texts, by a number from 0."""
@@ -275,22 +275,66 @@ def shop(spark, sf_dir):
     from ..operators.joins import product_origin
 
     prices = priced(spark, sf_dir).select("product_id", F.col("price_cny").cast("double").alias("price_cny"))
-    return product_origin(sourced(spark, sf_dir), origins(spark)).join(prices, "product_id")
+    return written(product_origin(sourced(spark, sf_dir), origins(spark)).join(prices, "product_id"))
 
 
-def wishes(spark, sf_dir):
-    """A query per supplier: two words, some with a price bound that nothing or only some products meet."""
-    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("user_id"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'red ring' WHEN 1 THEN 'blue bolt under 950' WHEN 2 THEN 'old gear under 5' ELSE 'zzz' END").alias("text"))
+WISHES = (
+    "'red ring'", "'blue bolt under 950'", "'old gear under 5'", "'zzz'", "'red widget without Brand#3'", "'blue ring over 940'", "'gear from Brand#4 please'", "'不要日系 bolt'", "'ring without Brand#7 under 3'",
+)
+WISH = pick(f"s_suppkey % {len(WISHES)}", WISHES)
 
 
-@query()
+def wishes(spark, sf_dir):
+    """A query per supplier: words with price bounds that some or no products meet, refused and wanted brands, refused countries."""
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("user_id"), F.expr(WISH).alias("text"))
+
+
+#: Some of the brands of part, so that names are not the start of others in the texts.
+WANTED = {f"Brand#{n}": [] for n in (3, 4, 5, 7, 8, 9)}
+
+
+def search_sql(asked: str) -> str:
+    """The first five products of texts (query_id, text): filters, BM25 of twenty, pair scores, price order. Queries have one form of text each."""
+    words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_&&[^一-鿿]]+')".replace("&&[^一-鿿]", "")
+    tokens = lambda t: f"list_concat(list_filter({words.format(t)}, lambda w: NOT regexp_matches(w, '[一-鿿]')), flatten(list_transform(regexp_extract_all({t}, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+    brands = listed(WANTED)
+    negative = f"regexp_matches(regexp_extract(lower(text), '^(.*)' || lower(b), 1), '(?i){ps.NEGATED_PREFIX}')"
+    return f"""aq AS ({asked}), sh AS (SELECT pr.*, CASE WHEN product_id % 4 = 0 THEN coalesce(country, 'CN') WHEN product_id % 4 = 1 THEN 'FR' ELSE country END AS origin FROM pr LEFT JOIN bo2 USING (brand)),
+ nb AS (SELECT query_id, b, {negative} AS bad FROM aq, (SELECT unnest({brands}) AS b) WHERE contains(lower(text), lower(b))), ib AS (SELECT query_id, list(b) FILTER (WHERE NOT bad) AS inc, list(b) FILTER (WHERE bad) AS exc FROM nb GROUP BY 1),
+ fq AS (SELECT query_id, text, {HIGH} AS high, {first_number(LOW)} AS low, contains(text, '不要日系') AS nojp, inc, exc FROM aq LEFT JOIN ib USING (query_id)),
+ dt AS (SELECT product_id, {tokens("concat_ws(' ', title, brand, category, sub_category, substr(description, 1, 400))")} AS terms FROM sh),
+ tf AS (SELECT product_id, term, count(*) AS tf, any_value(len(terms)) AS dl FROM (SELECT product_id, terms, unnest(terms) AS term FROM dt) GROUP BY ALL),
+ raw AS (SELECT term, ln((s.docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, (SELECT count(*) AS docs FROM dt) s GROUP BY term, s.docs),
+ idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+ qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("text")}) AS term FROM aq) GROUP BY ALL),
+ sc AS (SELECT query_id, product_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(terms)) FROM dt)))), 6) AS score FROM tf JOIN idf USING (term) JOIN qt USING (term) GROUP BY ALL),
+ ft AS (SELECT sc.* FROM sc JOIN fq USING (query_id) JOIN sh USING (product_id) WHERE (high IS NULL OR price_cny <= high) AND (low IS NULL OR price_cny >= low) AND (inc IS NULL OR list_contains(inc, brand)) AND (exc IS NULL OR len(list_filter(exc, lambda b: contains(lower(brand), lower(b)))) = 0) AND NOT (nojp AND origin IS NOT DISTINCT FROM 'JP')),
+ tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM ft), t2 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tk WHERE rank <= 20 AND score > 0),
+ ps AS (SELECT query_id, product_id, rank, n, text, category, CAST(price_cny AS DOUBLE) AS price, list_distinct({tokens("text")}) AS q, {tokens("concat_ws(' ', title, brand, substr(description, 1, 240))")} AS d FROM t2 JOIN fq USING (query_id) JOIN sh USING (product_id)),
+ rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 1 THEN CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END END DESC NULLS LAST, rank) AS r2 FROM ps),
+ di AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)(?:under|below)\\s*\\d') THEN 'cheap' WHEN regexp_matches(text, '(?i)over\\s*\\d') THEN 'expensive' END AS way FROM rr),
+ ct AS (SELECT query_id, category AS cat, count(*) AS c, min(r2) AS first FROM di GROUP BY ALL), mn AS (SELECT query_id, cat, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, first, cat) AS o FROM ct) WHERE o = 1),
+ so AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way IS NOT NULL AND c >= greatest(3, n // 2) AND category != cat THEN 1 ELSE 0 END, CASE WHEN way IS NOT NULL AND price IS NULL THEN 1 ELSE 0 END, CASE way WHEN 'cheap' THEN price WHEN 'expensive' THEN -price END NULLS FIRST, r2, product_id) AS rank FROM di JOIN mn USING (query_id))"""
+
+
+SHOP = PRICED + f", {ORIGIN}"
+
+
+@query(SHOP + f", {search_sql(f'SELECT s_suppkey AS query_id, {WISH} AS text FROM supplier')} SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank FROM so WHERE rank <= 5")
 def e14_search(spark, sf_dir):
-    return se.search(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS)
+    """Texts with bounds, refused brands and countries, wanted brands."""
+    return se.search(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written)
 
 
-@query()
+#: The forms of a text: as it is, without price words, and without exclusions too.
+FORMS = f"""w0 AS (SELECT s_suppkey AS id, {WISH} AS text FROM supplier), w1 AS (SELECT *, CASE WHEN trim(regexp_replace(text, '{ps.PRICE_PHRASE}', '', 'g'), ' ,，、的') != '' THEN trim(regexp_replace(text, '{ps.PRICE_PHRASE}', '', 'g'), ' ,，、的') ELSE text END AS plain FROM w0),
+ w2 AS (SELECT *, trim(regexp_replace(plain, '{CLAUSE.replace(chr(39), chr(39) * 2)}', '', 'g'), ' ,，、;；的') AS bare FROM w1), w3 AS (SELECT id, 0 AS n, text FROM w0 UNION ALL SELECT id, 1, plain FROM w2 WHERE plain != text UNION ALL SELECT id, 2, bare FROM w2 WHERE bare != '' AND bare != plain)"""
+
+
+@query(SHOP + f", {FORMS}, {search_sql('SELECT id * 10 + n AS query_id, text FROM w3')}, fo AS (SELECT query_id // 10 AS id, query_id % 10 AS n, product_id, rank, min(query_id % 10) OVER (PARTITION BY query_id // 10) AS first FROM so WHERE rank <= 5), fr AS (SELECT * FROM fo WHERE n = first), em AS (SELECT id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank) AS emptied FROM fr WHERE n = 2 AND rank <= 3 GROUP BY 1) SELECT w0.id AS query_id, product_id, CAST(rank AS INTEGER) AS rank, CASE WHEN product_id IS NULL THEN 'no_match' WHEN n = 1 THEN 'budget_relaxed' END AS note, emptied FROM w0 LEFT JOIN (SELECT * FROM fr WHERE n < 2) k ON k.id = w0.id LEFT JOIN em ON em.id = w0.id")
 def e15_search_relaxed(spark, sf_dir):
-    return se.search_relaxed(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS)
+    out = se.search_relaxed(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written)
+    return out.withColumn("emptied", F.array_join(F.transform("emptied", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || chr(10) || role ELSE coalesce(text, '') END, ' ') AS text FROM conversations")
