@@ -196,6 +196,12 @@ def plausible(others, members, floor: float, rows: int):
         yield i, near[np.argsort(-agree[near], kind="stable")]
 
 
+def with_payload(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Members (band, h, b, c) with columns of their document, joined once per document, not once per band."""
+    places = members.groupBy("b", "c").agg(F.collect_list(F.struct("band", "h")).alias("at"))  # at most one per band
+    return places.join(payload, "b").withColumn("at", F.explode("at")).select("at.band", "at.h", *(c for c in dict.fromkeys(["b", "c", *payload.columns])))
+
+
 def completed(mixed: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int, n: int) -> DataFrame:
     """Verified links between members of a bucket that are in different components, as pairs (a, b) of those components."""
     floor = floor_of(percent / 100, n)
@@ -240,9 +246,9 @@ def completed(mixed: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, pe
                         out[1].append(comps[1][k])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    flagged = cut(in_blocks(mixed.join(sigs, "b"), flag, "band int, h binary, b long, c long", ["sig"]).distinct())
+    flagged = cut(in_blocks(with_payload(mixed, sigs), flag, "band int, h binary, b long, c long", ["sig"]).distinct())
     payload = sigs.join(texts.select(F.col("doc_id").alias("b"), "packed"), "b")
-    return in_blocks(flagged.join(payload, "b"), verify, "a long, b long", ["sig", "packed"])
+    return in_blocks(with_payload(flagged, payload), verify, "a long, b long", ["sig", "packed"])
 
 
 def split_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
