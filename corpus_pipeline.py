@@ -8,13 +8,11 @@ documents; the last returns the packed pieces.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.llm import langid
+from tallymart.llm.common import cut, discard
 from tallymart.llm.decontaminate import decontaminate
 from tallymart.llm.line_dedup import line_dedup
 from tallymart.llm.minhash import minhash_dedup
@@ -62,11 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents. Stage results are written beside the checkpoints, which all executors share."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """Apply all stages to documents. Stage results are tables beside the checkpoints, which all executors share; one that the next has read is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
