@@ -182,7 +182,9 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, room: list[int], length: i
     piece is exchanged for a smaller one elsewhere, or two pieces for one, or
     one for two of another bin, whichever fills that bin most. As the giving bin is the
     emptiest and each step takes tokens from it, the sum of squares rises. It
-    ends when the bins reach the lower bound, or no step is left.
+    ends when the bins reach the lower bound, no step is left, or `rounds` bins
+    have given. Of a giving bin the 12 largest pieces are tried one for one and the 8
+    largest in pairs or for two neighbours; moves try all. These bound the search, not the pieces: all stay packed.
     """
     room = np.array(room, np.int64)
     least = -(-int(sizes.sum()) // length)
