@@ -25,10 +25,14 @@ def synonym_candidates(texts_of: DataFrame, terms: DataFrame, limit: int, curate
     """Candidates (trigger, term, score, in_catalog): 3 for a curated pair, 2 for being among the 2 * limit words that most often come with the trigger.
 
     texts_of: product_id, text; terms: trigger. `texts` bounds how many
-    matching texts per trigger are looked at, in id order; None: all.
+    matching texts per trigger are looked at, in id order; None: all. A trigger
+    that is no word of any text looks at those that share a letter with it.
     """
     words = texts_of.select("product_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
     hits = words.join(terms.select(F.col("trigger").alias("term")).distinct(), "term").withColumnRenamed("term", "trigger")
+    letters = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: F.trim(x) != ""))).alias("letter")
+    lone = terms.select("trigger").distinct().join(hits.select("trigger").distinct(), "trigger", "left_anti").select("trigger", letters("trigger"))
+    hits = hits.unionByName(texts_of.select("product_id", letters("text")).join(lone, "letter").select("product_id", "trigger").distinct())
     if texts:
         hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("trigger").orderBy("product_id"))).where(F.col("n") <= texts).drop("n")
     near = hits.join(words, "product_id").where("term != trigger").groupBy("trigger", "term").agg(F.count("*").alias("n"))

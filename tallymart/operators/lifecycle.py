@@ -118,6 +118,16 @@ def preference_scores(feedback: DataFrame, catalog: DataFrame, bucket: str = "1
     return folds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "fold"))).alias("slots")).select(*keys, F.aggregate("slots", F.lit(0), apply).alias("score"))
 
 
+def preference_list(feedback: DataFrame, catalog: DataFrame, wiped: DataFrame | None = None) -> DataFrame:
+    """Every user's scores that are not zero, with their position, last touched first; users in `wiped` (user_id) have none."""
+    keys = ["user_id", "dimension", "value"]
+    touched = preference_events(feedback, catalog).groupBy(*keys).agg(F.max(F.struct("ts", "id")).alias("_last"))
+    scores = preference_scores(feedback, catalog).where("score != 0")
+    scores = scores.join(wiped.select("user_id"), "user_id", "left_anti") if wiped is not None else scores
+    w = Window.partitionBy("user_id").orderBy(F.desc("_last"), "dimension", "value")
+    return scores.join(touched, keys).withColumn("position", F.row_number().over(w)).drop("_last")
+
+
 def cart_state(events: DataFrame) -> DataFrame:
     """Quantities per (user_id, product_id) after add (merges), increment, decrement, set (<= 0 removes), remove and clear, in order of ts and id.
 

@@ -272,6 +272,19 @@ def g6_synonym_candidates(spark, sf_dir):
     return ag.synonym_candidates(c.select("product_id", F.col("title").alias("text")), words, limit=3, texts=None)
 
 
+@query(f"""WITH {CAT}, t AS (SELECT DISTINCT product_id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM cat), tr AS (SELECT DISTINCT w AS trigger FROM t UNION SELECT 'gizmo'), cu AS (SELECT * FROM (VALUES ('ring', 'band'), ('gizmo', 'ring'), ('red', 'blue')) v(trigger, term)),
+ m AS (SELECT trigger, product_id FROM tr JOIN t ON w = trigger UNION SELECT trigger, product_id FROM tr JOIN cat ON len(list_intersect(string_split(trigger, ''), string_split(lower(title), ''))) > 0 WHERE trigger NOT IN (SELECT w FROM t)),
+ h AS (SELECT trigger, product_id FROM (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY product_id) AS r FROM m) WHERE r <= 20), x AS (SELECT trigger, w AS term, count(*) AS n FROM h JOIN t USING (product_id) WHERE w != trigger GROUP BY ALL),
+ v AS (SELECT trigger, term, 2 AS vote FROM (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY n DESC, term DESC) AS r FROM x) WHERE r <= 6 UNION ALL SELECT trigger, term, 3 FROM cu)
+ SELECT trigger, term, CAST(sum(vote) AS BIGINT) AS score, term IN (SELECT w FROM t) AS in_catalog FROM v GROUP BY ALL""")
+def g6_curated_candidates(spark, sf_dir):
+    """With curated pairs, the first twenty titles of each trigger, and a trigger that no title holds."""
+    c = catalog_view(spark, sf_dir)
+    words = c.select(F.explode(tokens("title")).alias("trigger")).distinct().unionByName(spark.createDataFrame([("gizmo",)], "trigger string"))
+    curated = spark.createDataFrame([("ring", "band"), ("gizmo", "ring"), ("red", "blue")], "trigger string, term string")
+    return ag.synonym_candidates(c.select("product_id", F.col("title").alias("text")), words, limit=3, curated=curated)
+
+
 @query("SELECT o_orderkey AS query_id, CAST(len(list_distinct([o_orderpriority, o_orderstatus, 'F', o_orderstatus])) AS INTEGER) AS n_union, CAST(len(list_filter([o_orderpriority, o_orderstatus, 'F'], lambda x: x NOT IN ('F', 'O'))) AS INTEGER) AS n_left, o_orderstatus IN ('F', 'O') AS overlap FROM orders")
 def s1_array_sets(spark, sf_dir):
     """Ordered union, case-insensitive difference and intersection tests over arrays (S1, S2, S3)."""

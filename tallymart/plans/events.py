@@ -103,12 +103,11 @@ def g4_preference_scores(spark, sf_dir):
     return lc.preference_scores(feedback(spark, sf_dir), catalog_view(spark, sf_dir))
 
 
-@query(LIKES + " SELECT user_id, dimension, value, CAST(score AS INTEGER) AS score FROM pf WHERE user_id % 10 > 0 AND score != 0")
+@query(LIKES + ", la AS (SELECT user_id, d[1] AS dimension, d[2] AS value, max({'ts': ts, 'id': id}) AS last FROM ev GROUP BY ALL) SELECT user_id, dimension, value, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last DESC, dimension, value) AS INTEGER) AS position FROM pf JOIN la USING (user_id, dimension, value) WHERE score != 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def g5_preference_list(spark, sf_dir):
-    """Scores that are not zero, without the users that wiped theirs."""
-    scores = lc.preference_scores(feedback(spark, sf_dir), catalog_view(spark, sf_dir))
-    wiped = read(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"))
-    return scores.where("score != 0").join(wiped, "user_id", "left_anti")
+    """Scores that are not zero, newest first, without the users that wiped theirs."""
+    wiped = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return lc.preference_list(feedback(spark, sf_dir), catalog_view(spark, sf_dir), wiped)
 
 
 @query(LIKES + """, rk AS (SELECT id AS query_id, user_id, product_id, 1 + id % 7 AS rank FROM fb), ls AS (SELECT user_id AS query_id, user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS rank FROM (SELECT DISTINCT user_id, product_id FROM fb)),
