@@ -164,4 +164,4 @@ def with_places(docs: DataFrame, answers: DataFrame, parts: int, make, schema: s
                 columns |= {c: piece.column(f"extra_{i}") for i, c in enumerate(extra)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return left.unionByName(right).repartition(max(24, parts // 4), "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)
+    return left.unionByName(right).repartition(max(8, parts // 4), "part").sortWithinPartitions("part", "kind").mapInArrow(run, schema)

@@ -12,17 +12,16 @@ BASE = 0x9E3779B97F4A7C15
 SECOND = 0xC2B2AE3D27D4EB4F
 SLICE = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept per worker."""
-    size = 1 << max(10, int(n - 1).bit_length())
-    if (base, size) not in _powers:
-        steps = np.full(size, base, np.uint64)
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(1 << max(10, int(n - 1).bit_length()), base, np.uint64)
         steps[0] = 1
-        _powers[base, size] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[base, size][:n]
+        _powers[base] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -88,7 +88,7 @@ def line_dedup(docs: DataFrame, least: int = 10, text: bool = False, extra: list
     """
     size = text_bytes(docs)
     slices, parts = max(64, math.ceil(size / (4 << 20))), max(48, math.ceil(size / (4 << 20)))
-    answers = dropped(line_rows(docs, least, slices), max(24, slices // 4), parts)
+    answers = dropped(line_rows(docs, least, slices), max(8, slices // 4), parts)
 
     def make(ids, texts, gone):
         n_lines, n_dropped, bitmaps, kept = [], [], [], []

@@ -13,11 +13,22 @@ from .common import as_text, covered, text_bytes
 from .hashing import BASE, SECOND, window_hashes, word_hashes, word_spans
 
 OUT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string"
-WINDOWS_IN_BUCKET = 1_200_000
+WINDOWS_IN_BUCKET, HASHED = 1_200_000, 1 << 20
 
 
 def window_keys(texts: list[bytes | None], width: int):
-    """(text number, first word, hash, second hash) of every window."""
+    """(text number, first word, hash, second hash) of every window, about HASHED bytes of text at a time."""
+    ends = np.cumsum([len(t or b"") for t in texts])
+    found, low = [], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + HASHED, "right")))
+        number, *rest = keys_of(texts[low:high], width)
+        found.append((number + low, *rest))
+        low = high
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def keys_of(texts: list[bytes | None], width: int):
     data = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
     low, high = word_spans(data)
