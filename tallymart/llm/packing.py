@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,15 +80,18 @@ class WordIds:
 
     def add(self, words: list[bytes]) -> None:
         texts = [w.decode(errors="replace") for w in words]
-        plain = [bool(self.simple.fullmatch(t)) and "<|" not in t for t in texts]
-        split = [self.parts.findall(t.lower()) if p else [] for t, p in zip(texts, plain)]
-        flat = [x for own in split for x in own]
-        if len(self.part) + len(set(flat)) > REMEMBERED:
+        findall, simple = self.parts.findall, self.simple.fullmatch
+        split = [[t.lower()] if t.isascii() and t.isalpha() else findall(t.lower()) if simple(t) and "<|" not in t else None for t in texts]
+        plain = [x is not None for x in split]
+        flat = list(chain.from_iterable(x or () for x in split))
+        new = set(flat).difference(self.part)
+        if len(self.part) + len(new) > REMEMBERED:
             self.part, self.part_ids = {}, Store()
-        if new := list(set(flat).difference(self.part)):
-            self.add_parts(new)
+            new = set(flat)
+        if new:
+            self.add_parts(list(new))
         own = np.fromiter(map(self.part.__getitem__, flat), np.int64, len(flat))
-        word = np.repeat(np.arange(len(words)), [len(x) for x in split])
+        word = np.repeat(np.arange(len(words)), [len(x or ()) for x in split])
         lengths = np.bincount(word, self.part_ids.lengths[own], len(words)).astype(np.int64)
         values = self.part_ids.get(own)
         if not all(plain):
@@ -110,9 +114,12 @@ class WordIds:
         """All ids, and how many of them each word has."""
         if len(self.words) > REMEMBERED:
             self.forget()
-        if new := set(words).difference(self.words):
-            self.add(list(new))
-        own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(own < 0).tolist()
+        if unknown:
+            missing = [words[i] for i in unknown]
+            self.add(list(set(missing)))
+            own[unknown] = [self.words[w] for w in missing]
         while len(self.met) < len(self.words):
             self.met = np.r_[self.met, self.met * 0]
         self.met += np.bincount(own, minlength=len(self.met))
