@@ -238,3 +238,39 @@ def test_an_order_of_many_products_is_judged_whole(spark, tmp_path):
     assert [tuple(r) for r in g3_dominant_category(spark, str(tmp_path)).collect()] == [(1, "LARGE")]
     spark.range(3).selectExpr("id AS event_id", "timestamp '2024-01-01' AS ts", "1L AS user_id", "'click' AS event_type", "1.0D AS value", """concat('{"k": ', id + 1, '}') AS props""").write.parquet(f"{tmp_path}/events.parquet")
     assert "<= 1000000)" not in e10_preference_rerank(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_containment_and_price_slices(spark):
+    wholes = spark.createDataFrame([("abcde",), ("xy",), ("",), (None,), ("abc",)], "whole string")
+    parts = spark.createDataFrame([("bcd",), ("y",), ("xy",), ("abcdef",), ("",), (None,)], "part string")
+    assert sorted(map(tuple, jn.containing(wholes, parts).collect())) == [("abcde", "bcd"), ("xy", "xy"), ("xy", "y")]
+    filters = spark.createDataFrame([(1, None, 10.0, 20.0), (2, None, None, None), (3, "a", None, 15.0), (4, None, 30.0, 20.0), (5, None, 99.0, None), (6, None, None, -5.0)], "query_id long, want_category string, price_min double, price_max double")
+    catalog = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0), (3, "a", 20.5), (4, "b", None)], "product_id long, category string, base_price double")
+    for slices in (1, 4, 256):
+        assert sorted(map(tuple, jn.match_filters(filters, catalog, slices).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1)]
+
+
+def test_rates_as_of_carry_over_hours(spark):
+    at = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, at + timedelta(minutes=30), "USD"), (2, at + timedelta(hours=5), "USD"), (3, at, "USD"), (4, at, "CNY"), (5, at - timedelta(minutes=1), "USD"), (6, at, None)], "id long, ts timestamp, currency string")
+    quotes = spark.createDataFrame([("USD", at, 7.0), ("USD", at + timedelta(minutes=40), 7.5), ("EUR", at, 8.0)], "currency string, quoted_at timestamp, rate double")
+    got = {r.id: (r.rate, r.stale) for r in jn.rate_asof(events, quotes).collect()}
+    assert got == {1: (7.0, False), 2: (7.5, True), 3: (7.0, False), 4: (1.0, False), 5: (None, None), 6: (None, None)}
+
+
+def test_settled_totals_round_each_line(spark):
+    cart = spark.createDataFrame([(1, 0.35, "CNY", 1), (1, 0.35, "CNY", 1), (1, 2.0, "JPY", 3)], "user_id long, unit_price double, currency string, quantity long")
+    pairs = spark.createDataFrame([("CNY", "USD", "0.1")], "currency string, target string, rate string").withColumn("rate", F.col("rate").cast("decimal(18,6)"))
+    row = lc.settle_total(cart, pairs, "USD").first()
+    assert (float(row.total), row.unresolved) == (0.08, 1)
+    totals = lc.cart_totals(cart, spark.createDataFrame([("USD", 7.0)], "currency string, rate double")).first()
+    assert (float(totals.total_cny), totals.unresolved, [(x.currency, float(x.total)) for x in totals.unresolved_totals]) == (0.7, 1, [("JPY", 6.0)])
+
+
+def test_hybrid_keeps_allowed_pairs_only(spark):
+    docs = spark.createDataFrame([(1, "red ring", [1.0, 0.0]), (2, "red bolt", [0.0, 1.0]), (3, "blue ring", [0.6, 0.8])], "product_id long, text string, vector array<double>")
+    queries = spark.createDataFrame([(9, "red", [1.0, 0.0])], "query_id long, text string, vector array<double>")
+    every = [r.product_id for r in se.hybrid_topk(queries, docs, 3).orderBy("rank").collect()]
+    assert every[0] == 1 and set(every) == {1, 2, 3}
+    allowed = spark.createDataFrame([(9, 2), (9, 3)], "query_id long, product_id long")
+    assert {r.product_id for r in se.hybrid_topk(queries, docs, 3, allowed=allowed).collect()} == {2, 3}
