@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,13 @@ def test_empty_table_null_id_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (2, 0), (2, 0), (3, len(text))]
     with pytest.raises(ValueError):
         suffix_dedup(brute.docs(spark, []), 10)
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing():
+    data = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60, np.uint8)
+    place, length, doc = np.array([0, 60, 120]), np.array([60, 60, 60]), np.array([1, 2, 3])
+    assert module.copies(data, place, length, np.array([7, 7, 7], np.uint64), doc).tolist() == [False, False, False]
+    assert module.copies(data, place, length, np.array([7, 8, 7], np.uint64), doc).tolist() == [False, False, True]
+    assert module.copies(data, place, np.array([60, 60, 52]), np.array([7, 8, 7], np.uint64), doc).tolist() == [False, False, False]
+    sent = pa.table({"what": [3], "ids": [np.array([5], np.int64).tobytes()], "counts": [np.array([2], np.int64).tobytes()], "gaps": [np.array([3], np.int64).tobytes()], "text": [b"x" * 52]})
+    assert module.same_bytes(sent, {5: b"..x" + b"x" * 60}, 50) == {5: [(2, 3)]} and module.same_bytes(sent, {5: b"..y" + b"x" * 60}, 50) == {}

@@ -3,7 +3,7 @@ import math
 import numpy as np
 
 from tallymart.llm.hnsw import Graph
-from tallymart.llm.vector_dedup import vector_dedup
+from tallymart.llm.vector_dedup import audited, edge_queries, search, unit, vector_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, n_links int"
 
@@ -73,3 +73,16 @@ def test_graph_finds_neighbours():
 
 def test_empty_table(spark):
     assert vector_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_beams_widen_until_audits_pass():
+    r = np.random.default_rng(7)
+    x = unit(r.normal(size=(400, 48)))
+    poor = Graph(x, [{i: [] for i in range(400)}])  # no link leads anywhere
+    assert audited(poor, edge_queries(x, 0.98), 0.98, 24) >= 400
+    assert (search(poor, x[:50], 0.98, 24) == (x[:50] @ x.T >= 0.98)).all()
+    asked = edge_queries(x, 0.98)
+    assert np.allclose((asked * x[:: 400 // 64]).sum(1), 0.98, atol=1e-4) and ((asked * x[:: 400 // 64]).sum(1) >= 0.98).all()
+    graph = Graph.build(x)
+    again = Graph.unpacked(x, graph.packed())
+    assert all(graph.within(q, 0.98, 30) == again.within(q, 0.98, 30) for q in asked[:20])
