@@ -78,7 +78,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination)}
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination, op13_nearest)}
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
