@@ -78,14 +78,32 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slip=97))
+
+
 def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .forest import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination, op13_nearest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination, op12_spelling_variants, op13_nearest)}
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: CRC-32 of a string as a macro of two steps: the table from its rule, then byte by byte.
+CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+HEX = "'123456789ABCDEF'"
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string, beside the table t."""
+    h = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({h}) // 2), lambda i: CAST(16 * instr({HEX}, substr({h}, 2 * i + 1, 1)) + instr({HEX}, substr({h}, 2 * i + 2, 1)) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 #: Trained or searched results (5, 6, 7, 8) have no SQL; they are tested against brute force and on held-out rows.
@@ -126,4 +144,18 @@ ORACLE: dict[str, str] = {
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
  c AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id)
  SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_spelling_variants": rf"""WITH RECURSIVE {CRC_TABLE},
+ r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[a-zÀ-ÿ]+')) AS run FROM documents),
+ c AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY ALL),
+ h AS (SELECT run, k, {crc_sql("concat(doc_id, ':', run)")} AS h FROM c, t),
+ m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM h),
+ w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+ d AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+ p AS (SELECT x.word, y.word AS other, y.n AS k FROM d x JOIN d y ON x.a = y.a AND x.b = y.b AND x.word != y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.a || d.b = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.a || d.b = w.word),
+ g AS (SELECT word, count(*) AS n_near, max(k) AS k FROM p GROUP BY word), o AS (SELECT p.word, g.n_near, p.k, min(other) AS other FROM p JOIN g ON p.word = g.word AND p.k = g.k GROUP BY ALL),
+ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN k >= 2 * n THEN other END AS form, CASE WHEN k >= 2 * n THEN k END AS form_n FROM w LEFT JOIN o ON o.word = w.word),
+ u AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL),
+ z AS (SELECT u.word, u.root FROM u JOIN f ON f.word = u.root WHERE f.form IS NULL)
+ SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word""",
 }
