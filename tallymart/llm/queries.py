@@ -78,6 +78,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair_conversations
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(conversations), conversations)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_variants, word_counts
 
@@ -90,7 +97,7 @@ def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination, op12_spelling_variants, op13_nearest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_minhash_dedup, op4_suffix_dedup, op5_quality, op6_packing, op7_language_id, op8_token_counts, op9_vector_dedup, op10_decontamination, op11_conversation_repair, op12_spelling_variants, op13_nearest)}
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: CRC-32 of a string as a macro of two steps: the table from its rule, then byte by byte.
 CRC_TABLE = "t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
@@ -106,6 +113,35 @@ def crc_sql(text: str) -> str:
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+def _edit(way: str, cost: str, letter: str, line: str = "''") -> str:
+    """SQL for a way {cost, edits, text} with one more edit; null stays null."""
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'e': {way}.e || '{letter}', 'o': {way}.o || {line}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+
+def _insert(way: str, role: str) -> str:
+    return _edit(f"({way})", "3", "I", f"chr(10) || '{role}:'")
+
+
+def _taken(way: str, role: str) -> list[str]:
+    """Keep or rerole a row to the role that comes next."""
+    fits = f"{way} IS NOT NULL AND fault NOT IN ('b', 'd')"
+    cost = "CASE WHEN fault = 't' THEN 3 ELSE 0 END"
+    keep = _edit(way, cost, "K", "chr(10) || role || ':' || text")
+    return [f"CASE WHEN {fits} AND initial = '{role[0]}' THEN {keep} END", f"CASE WHEN {fits} THEN {_edit(way, f'3 + {cost}', 'R', f"chr(10) || '{role}:' || text")} END"]
+
+
+#: Ways to be in one of four states after each row, all carried along.
+WAYS = f"""SELECT conv_id, i, {_edit("s0", "4", "D")} AS s0,
+  {_least(_edit("s1", "4", "D"), "CASE WHEN s0 IS NOT NULL AND fault NOT IN ('b', 'd') AND initial = 's' THEN " + _edit("s0", "CASE WHEN fault = 't' THEN 3 ELSE 0 END", "K", "chr(10) || role || ':' || text") + " END")} AS s1,
+  {_least(_edit("i2", "4", "D"), *_taken("s0", "user"), *_taken("s1", "user"), *_taken("i3", "user"))} AS s2, {_least(_edit("i3", "4", "D"), *_taken("i2", "assistant"))} AS s3
+  FROM (SELECT f.*, s0, s1, {_least("s2", _insert("s0", "user"), _insert("s1", "user"), _insert("s3", "user"))} AS i2,
+   {_least("s3", _insert("s2", "assistant"), _insert(_insert("s0", "user"), "assistant"), _insert(_insert("s1", "user"), "assistant"))} AS i3 FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1)"""
+
 #: Trained or searched results (5, 6, 7, 8) have no SQL; they are tested against brute force and on held-out rows.
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": r"""WITH u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
@@ -158,4 +194,17 @@ ORACLE: dict[str, str] = {
  u AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL),
  z AS (SELECT u.word, u.root FROM u JOIN f ON f.word = u.root WHERE f.form IS NULL)
  SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word""",
+    "op11_conversation_repair": rf"""WITH RECURSIVE {CRC_TABLE},
+ x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations, t),
+ y AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM x WHERE k != 0),
+ z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, {SPACE}) AS body, left(role, 1) AS initial FROM y),
+ f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM z),
+ c AS (SELECT DISTINCT conv_id FROM conversations),
+ w AS (SELECT CAST({{'c': 0, 'e': '', 'o': ''}} AS STRUCT(c BIGINT, e VARCHAR, o VARCHAR)) AS empty),
+ dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, empty AS s0, CASE WHEN false THEN empty END AS s1, CASE WHEN false THEN empty END AS s2, CASE WHEN false THEN empty END AS s3 FROM c, w UNION ALL {WAYS}),
+ e AS (SELECT conv_id, {_least("s0", "s3", _insert("s2", "assistant"), _insert(_insert("s1", "user"), "assistant"))} AS way FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+ g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, way.c AS cost, way.e AS audit, sha256(substr(way.o, 2)) AS repaired_sha256
+ FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
