@@ -198,12 +198,12 @@ def near_words(pairs: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(no, root_no) from (no, form_no): follow forms to the last. Every step doubles what is skipped; n at least doubles with each form, so a dozen steps end it."""
-    at = cut(forms.select("no", F.col("form_no").alias("root_no")))
+    at, before = forms.select("no", F.col("form_no").alias("root_no")), []
     while True:
         up = at.select(F.col("no").alias("root_no"), F.col("root_no").alias("higher"))
-        after = cut(at.join(up, "root_no", "left").select("no", F.coalesce("higher", "root_no").alias("root_no"), F.col("higher").isNotNull().alias("moved")))
-        discard(at)
-        at = after
+        at = cut(at.join(up, "root_no", "left").select("no", F.coalesce("higher", "root_no").alias("root_no"), F.col("higher").isNotNull().alias("moved")))
+        discard(*before)
+        before = [at]
         if not at.where("moved").limit(1).count():
             return at.select("no", "root_no")
 
@@ -219,12 +219,13 @@ def spelling_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     """
     if ratio <= 1:
         raise ValueError("ratio must be over 1")
-    words = cut(words.where("word != ''").select("word", "n"))
+    tasks = 3 * words.sparkSession.sparkContext.defaultParallelism
+    words = cut(words.where("word != ''").select("word", "n").coalesce(tasks))
     head, tail = numbered(words, False), numbered(words, True)
     near = near_words(pairs(head, tail))
     named = cut(head.select("word", "n", F.element_at("nodes", -1).alias("no")).join(near, "no", "left"))
     fits = -F.col("best.m") >= ratio * F.col("n")
-    forms = cut(named.where(fits).select("no", F.col("best.no").alias("form_no"), (-F.col("best.m")).alias("form_n")))
+    forms = named.where(fits).select("no", F.col("best.no").alias("form_no"), (-F.col("best.m")).alias("form_n"))
     spelled = named.select("no", "word")
     linked = forms.join(roots(forms), "no").join(spelled.withColumnsRenamed({"no": "form_no", "word": "form"}), "form_no").join(spelled.withColumnsRenamed({"no": "root_no", "word": "root"}), "root_no")
     out = named.join(linked.select("no", "form", "root", "form_n"), "no", "left")
