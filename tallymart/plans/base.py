@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +49,13 @@ def rates(spark: SparkSession) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, in the folder that the cluster names in spark.checkpoint.dir; only a session without that setting (tests) gets a temporary one."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir, which all executors share. Without that setting the session must run on one machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"/tmp/spark-{uuid.uuid4().hex}")
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -64,6 +66,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build):
+    """What several queries over the same tables use (an index, vectors), built once in a session: build() of the first that asks."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 def line_id():
     return (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")
 
