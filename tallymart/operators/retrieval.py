@@ -28,9 +28,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFra
     pairs before the cut. Only words that some query has are shuffled by
     document; the others are only counted, partly in the scan.
     """
-    terms = docs.select("product_id", tokens("text").alias("terms"))
+    terms = docs.select("product_id", tokens("text").alias("terms")).withColumn("dl", F.size("terms"))  # before the words, so that no word carries its list
     # One pass counts the documents of every term and, under a null term, all documents and their lengths.
-    each = terms.select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
+    each = terms.select("dl", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))).alias("term"))
     counts = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
     size = counts.where("term is null").select(F.col("df").alias("docs"), (F.col("total") / F.col("df")).alias("mean_dl"))
     raw = counts.where("term is not null").crossJoin(F.broadcast(size)).withColumn("idf", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # size: one row
@@ -38,7 +38,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, allowed: DataFra
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
     idf = raw.join(wanted, "term").crossJoin(F.broadcast(mean)).select("term", "mean_dl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    met = terms.select("product_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    met = terms.select("product_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
     found = met.groupBy("product_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
     hits = found.join(idf, "term").select("term", "product_id", weight.alias("weight")).join(asked, "term")
@@ -94,7 +94,7 @@ def preference_rerank(ranked: DataFrame, weights: DataFrame, alpha: float = 0.5)
     return out.withColumn("total", total).withColumn("new_rank", F.row_number().over(w.orderBy(F.desc("total"), F.asc("rank")))).drop("liking", "total")
 
 
-def relevance_gate(scored: DataFrame, floor: float, ceil: float, share: float = 0.15) -> DataFrame:
+def relevance_gate(scored: DataFrame, floor: float | Column, ceil: float | Column, share: float = 0.15) -> DataFrame:
     """No-match gate and tail trim over scored rows (query_id, product_id, score, specific, overlap, scene).
 
     A query is emptied if its best score is under `floor` and it has neither

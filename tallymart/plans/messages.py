@@ -214,9 +214,10 @@ def filter_row(rows):
 
 
 CUES = any_of("text", ps.NEGATION_CUES)
+ANY_CUES = any_of("text", (*ps.NEGATION_CUES, *se.NEGATION_EN))
 
 
-@query(f"WITH {MSG}, {DIRECTION} SELECT query_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'multilingual' ELSE 'zh' END AS model, (regexp_matches(lower(text), '(^|[^a-z])spf([^a-z]|$)') OR contains(text, '护肤')) AND NOT {CUES} AS skip, CAST(CASE WHEN {HIGH} IS NOT NULL OR {first_number(LOW)} IS NOT NULL THEN 20 WHEN direction IS NOT NULL THEN 10 ELSE 5 END AS INTEGER) AS pool FROM ms JOIN pi USING (query_id)")
+@query(f"WITH {MSG}, {DIRECTION} SELECT query_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'multilingual' ELSE 'zh' END AS model, (regexp_matches(lower(text), '(^|[^a-z])spf([^a-z]|$)') OR contains(text, '护肤')) AND NOT {ANY_CUES} AS skip, CAST(CASE WHEN {HIGH} IS NOT NULL OR {first_number(LOW)} IS NOT NULL THEN 20 WHEN direction IS NOT NULL THEN 10 ELSE 5 END AS INTEGER) AS pool FROM ms JOIN pi USING (query_id)")
 def e9_rerank_plan(spark, sf_dir):
     return se.rerank_plan(messages(spark, sf_dir), ["spf", "Nike", "护肤"]).select("query_id", "model", "skip", "pool")
 
@@ -224,25 +225,38 @@ def e9_rerank_plan(spark, sf_dir):
 SHELF = pick("p_size % 4", ("'美妆护肤'", "'数码电子'", "'家居家具'", "'户外运动'"))
 
 
-@query(f"""WITH {MSG}, {MENTIONED}, ca AS (SELECT query_id, {first_of('text', lx.CATEGORIES)} AS category FROM ms), sh AS (SELECT DISTINCT {SHELF} AS category, lower(p_brand) AS brand FROM part),
+@query(f"""WITH {MSG}, {MENTIONED}, {WIDER}, ca AS (SELECT query_id, coalesce({first_of('text', lx.CATEGORIES)}, {first_of('text', INFERRED)}) AS category FROM wd), sh AS (SELECT DISTINCT {SHELF} AS category, lower(p_brand) AS brand FROM part),
  ok AS (SELECT query_id, category FROM ca WHERE category IN (SELECT category FROM sh) AND (NOT EXISTS (SELECT 1 FROM ng WHERE ng.query_id = ca.query_id AND NOT bad) OR EXISTS (SELECT 1 FROM ng JOIN sh ON lower(ng.b) = sh.brand AND sh.category = ca.category WHERE ng.query_id = ca.query_id AND NOT bad))),
  ct AS (SELECT query_id, array_to_string(list_filter({COUNTRY_WORDS}, lambda w: contains(text, w)), ',') AS terms FROM ms WHERE {CUES}), co AS (SELECT query_id, nullif(array_to_string({COUNTRY_CODES}, ','), '') AS countries FROM ct)
  SELECT query_id, ok.category AS want_category, coalesce(CASE WHEN query_id % 32 = 0 THEN 5.0 END, {HIGH}) AS price_max, {first_number(LOW)} AS price_min, countries, nullif(included, '') AS included, nullif(excluded, '') AS excluded FROM ms LEFT JOIN ok USING (query_id) LEFT JOIN co USING (query_id) LEFT JOIN br USING (query_id)""")
 def f5_build_filter(spark, sf_dir):
-    """Filters of every message, over a catalog with four of the categories: one that no wanted brand sells in is dropped (F4)."""
+    """Filters of every message, over a catalog with four of the categories: one that no wanted brand sells in is dropped, named or inferred (F4)."""
     rows = messages(spark, sf_dir).withColumn("x_category", F.lit(None).cast("string")).withColumn("x_price_min", F.lit(None).cast("double")).withColumn("x_price_max", F.when(F.col("query_id") % 32 == 0, 5.0))
     shelves = read(spark, sf_dir, "part").select(F.expr(SHELF).alias("category"), F.col("p_name").alias("sub_category"), F.col("p_brand").alias("brand"))
-    out = se.build_filter(rows, shelves, explicit=True, brands=BRANDS)
+    out = se.build_filter(rows, shelves, explicit=True, brands=BRANDS, inferred=INFERRED)
     joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
     return out.select("query_id", "want_category", "price_max", "price_min", joined("ex_countries").alias("countries"), joined("brand_include").alias("included"), joined("brand_exclude").alias("excluded"))
 
 
-@query("SELECT p_partkey AS query_id, p_partkey % 7 = 0 OR p_type != 'PROMO' OR (p_size % 2 = 0 AND p_brand != 'Brand#2') AS switched FROM part")
+#: What a conversation holds, by product: a category or none, sub-categories, brands.
+HELD = {"category": "CASE p_size % 3 WHEN 0 THEN '美妆护肤' WHEN 1 THEN '数码电子' END", "sub_categories": "CASE WHEN p_size % 5 = 0 THEN {0}'防晒霜'{1} WHEN p_size % 5 = 1 THEN {0}'耳机'{1} END", "brands": "CASE WHEN p_size % 2 = 0 THEN {0}'Brand#2'{1} END"}
+SWITCH_LINES = ("ring", "widget")
+
+
+@query(f"""WITH {MSG}, {MENTIONED}, {WIDER}, rw AS (SELECT query_id, coalesce({first_of('text', lx.CATEGORIES)}, {first_of('text', INFERRED)}) AS rc, CASE {" ".join(f"WHEN {any_of('text', terms)} THEN {listed(subs)}" for terms, subs in SUB_RULES)} END AS rs FROM wd),
+ he AS (SELECT p_partkey AS query_id, {HELD['category']} AS hc, {HELD['sub_categories'].format('[', ']')} AS hs, {HELD['brands'].format('[', ']')} AS hb FROM part), sh AS (SELECT DISTINCT {pick("p_size % 4", ("'美妆护肤'", "'数码电子'", "'家居家具'", "'户外运动'"))} AS category, lower(p_brand) AS brand FROM part),
+ al AS (SELECT ms.query_id, text, rc, rs, hc, hs, hb, CASE WHEN coalesce(included, '') != '' THEN string_split(included, ',') END AS rb FROM ms JOIN rw USING (query_id) JOIN he USING (query_id) LEFT JOIN br USING (query_id)),
+ se AS (SELECT *, len(list_filter(coalesce(rb, []), lambda b: list_contains(sold, lower(b) || '/' || hc))) > 0 AS sells FROM al, (SELECT list(brand || '/' || category) AS sold FROM sh))
+ SELECT query_id, {any_of('text', SWITCH_LINES)} OR (rc IS NOT NULL AND rc IS DISTINCT FROM hc) OR coalesce(len(rb) > 0 AND len(hb) > 0 AND len(list_intersect(rb, hb)) = 0, false) OR coalesce(len(rs) > 0 AND len(hs) > 0 AND len(list_intersect(rs, hs)) = 0, false)
+  OR (coalesce(len(hs), 0) > 0 AND coalesce(len(rs), 0) = 0 AND len(list_filter(hs, lambda c: contains(text, c))) = 0 AND (rc IS NOT NULL OR (coalesce(len(rb), 0) > 0 AND (hc IS NULL OR NOT sells)))) AS switched FROM se""")
 def f16_topic_switch(spark, sf_dir):
-    some = F.array("p_brand")
-    rows = read(spark, sf_dir, "part").withColumn("raw", F.struct(F.col("p_type").alias("category"), F.lit(None).cast("array<string>").alias("sub_categories"), F.when(F.col("p_size") % 2 == 0, some).alias("brands"), (F.col("p_partkey") % 7 == 0).alias("line")))
-    rows = rows.withColumn("held", F.struct(F.lit("PROMO").alias("category"), F.array(F.lit("x")).alias("sub_categories"), F.array(F.lit("Brand#2")).alias("brands")))
-    return rows.select(F.col("p_partkey").alias("query_id"), se.topic_switch().alias("switched"))
+    """Parsed messages against what their conversations hold."""
+    shelf = read(spark, sf_dir, "part").select(F.expr(SHELF).alias("category"), F.lower("p_brand").alias("brand")).distinct().groupBy("category").agg(F.collect_set("brand").alias("sold"))
+    held = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.struct(*(F.expr(e.format("array(", ")")).alias(c) for c, e in HELD.items())).alias("held"))
+    raw = se.build_filter(messages(spark, sf_dir), brands=BRANDS, sub_rules=SUB_RULES, inferred=INFERRED)
+    rows = raw.join(held, "query_id").join(shelf.withColumnRenamed("category", "shelf"), F.col("held.category") == F.col("shelf"), "left")
+    sells = F.exists("brand_include", lambda b: F.array_contains("sold", F.lower(b)))
+    return rows.withColumn("raw", F.struct(F.col("want_category").alias("category"), F.col("want_subs").alias("sub_categories"), F.col("brand_include").alias("brands"), tx.contains_any("text", SWITCH_LINES).alias("line"), sells.alias("sells"))).select("query_id", se.topic_switch(text=F.col("text")).alias("switched"))
 
 
 ENT = f"WITH {CAT}, en AS (SELECT s_suppkey AS query_id, 'Brand#' || (1 + s_suppkey % 25) AS entity, 'brand' AS kind FROM supplier UNION ALL SELECT s_suppkey, 'ring', 'title' FROM supplier)"
@@ -279,13 +293,13 @@ def shop(spark, sf_dir):
 
 
 WISHES = (
-    "'red ring'", "'blue bolt under 950'", "'old gear under 5'", "'zzz'", "'red widget without Brand#3'", "'blue ring over 940'", "'gear from Brand#4 please'", "'不要日系 bolt'", "'ring without Brand#7 under 3'",
+    "'red ring'", "'blue bolt under 950'", "'old gear under 5'", "'zzz'", "'red widget without Brand#3'", "'blue ring over 940'", "'gear from Brand#4 please'", "'不要日系 bolt'", "'ring without Brand#7 under 3'", "'promo item of the finest quality for a winter evening walk'", "'promo item of the finest quality for a winter evening walk under 950'", "'bolt of size 9 that comes with a shiny red gear and Brand#5'",
 )
 WISH = pick(f"s_suppkey % {len(WISHES)}", WISHES)
 
 
 def wishes(spark, sf_dir):
-    """A query per supplier: words with price bounds that some or no products meet, refused and wanted brands, refused countries."""
+    """A query per supplier: words with price bounds that some or no products meet, refused and wanted brands, refused countries; words that no title has, which the gate refuses unless there is a bound."""
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("user_id"), F.expr(WISH).alias("text"))
 
 
@@ -293,6 +307,10 @@ def wishes(spark, sf_dir):
 WANTED = {f"Brand#{n}": [] for n in (3, 4, 5, 7, 8, 9)}
 
 
+#: Best pair score under which a query without filters or words of a title gets nothing.
+GATE = 0.4
+
+
 def search_sql(asked: str) -> str:
     """The first five products of texts (query_id, text): filters, BM25 of twenty, pair scores, price order. Queries have one form of text each."""
     words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_&&[^一-鿿]]+')".replace("&&[^一-鿿]", "")
@@ -301,20 +319,27 @@ def search_sql(asked: str) -> str:
     negative = f"regexp_matches(regexp_extract(lower(text), '^(.*)' || lower(b), 1), '(?i){ps.NEGATED_PREFIX}')"
     return f"""aq AS ({asked}), sh AS (SELECT pr.*, CASE WHEN product_id % 4 = 0 THEN coalesce(country, 'CN') WHEN product_id % 4 = 1 THEN 'FR' ELSE country END AS origin FROM pr LEFT JOIN bo2 USING (brand)),
  nb AS (SELECT query_id, b, {negative} AS bad FROM aq, (SELECT unnest({brands}) AS b) WHERE contains(lower(text), lower(b))), ib AS (SELECT query_id, list(b) FILTER (WHERE NOT bad) AS inc, list(b) FILTER (WHERE bad) AS exc FROM nb GROUP BY 1),
- fq AS (SELECT query_id, text, {HIGH} AS high, {first_number(LOW)} AS low, contains(text, '不要日系') AS nojp, inc, exc FROM aq LEFT JOIN ib USING (query_id)),
+ fq AS (SELECT query_id, text, {HIGH} AS high, {first_number(LOW)} AS low, contains(text, '不要日系') AS nojp, inc, exc, CASE WHEN regexp_matches(text, '(?i)(?:under|below)\\s*\\d') THEN 'cheap' WHEN regexp_matches(text, '(?i)over\\s*\\d') THEN 'expensive' END AS way, {first_number(lx.EN_MIN)} AS floor FROM aq LEFT JOIN ib USING (query_id)),
  dt AS (SELECT product_id, {tokens("concat_ws(' ', title, brand, category, sub_category, substr(description, 1, 400))")} AS terms FROM sh),
  tf AS (SELECT product_id, term, count(*) AS tf, any_value(len(terms)) AS dl FROM (SELECT product_id, terms, unnest(terms) AS term FROM dt) GROUP BY ALL),
  raw AS (SELECT term, ln((s.docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, (SELECT count(*) AS docs FROM dt) s GROUP BY term, s.docs),
  idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
  qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("text")}) AS term FROM aq) GROUP BY ALL),
  sc AS (SELECT query_id, product_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(terms)) FROM dt)))), 6) AS score FROM tf JOIN idf USING (term) JOIN qt USING (term) GROUP BY ALL),
- ft AS (SELECT sc.* FROM sc JOIN fq USING (query_id) JOIN sh USING (product_id) WHERE (high IS NULL OR price_cny <= high) AND (low IS NULL OR price_cny >= low) AND (inc IS NULL OR list_contains(inc, brand)) AND (exc IS NULL OR len(list_filter(exc, lambda b: contains(lower(brand), lower(b)))) = 0) AND NOT (nojp AND origin IS NOT DISTINCT FROM 'JP')),
+ ft AS (SELECT sc.* FROM sc JOIN fq USING (query_id) JOIN sh USING (product_id) WHERE (currency != 'CNY' OR ((high IS NULL OR base_price <= high) AND (low IS NULL OR base_price >= low))) AND (inc IS NULL OR list_contains(inc, brand)) AND (exc IS NULL OR len(list_filter(exc, lambda b: contains(lower(brand), lower(b)))) = 0) AND NOT (nojp AND origin IS NOT DISTINCT FROM 'JP')),
  tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM ft), t2 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tk WHERE rank <= 20 AND score > 0),
- ps AS (SELECT query_id, product_id, rank, n, text, category, CAST(price_cny AS DOUBLE) AS price, list_distinct({tokens("text")}) AS q, {tokens("concat_ws(' ', title, brand, substr(description, 1, 240))")} AS d FROM t2 JOIN fq USING (query_id) JOIN sh USING (product_id)),
- rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 1 THEN CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END END DESC NULLS LAST, rank) AS r2 FROM ps),
- di AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)(?:under|below)\\s*\\d') THEN 'cheap' WHEN regexp_matches(text, '(?i)over\\s*\\d') THEN 'expensive' END AS way FROM rr),
+ ps AS (SELECT query_id, product_id, rank, n, text, category, title, t2.price, currency, high, low, inc, exc, way, floor, list_distinct({tokens("text")}) AS q, {tokens("concat_ws(' ', title, brand, substr(description, 1, 240))")} AS d, brand,
+  n > 1 AND NOT (len(list_filter({brands}, lambda b: regexp_matches(lower(text), '(^|[^a-z])' || lower(b)))) > 0 AND NOT {ANY_CUES}) AS scored FROM (SELECT t2.*, CAST(price_cny AS DOUBLE) AS price FROM t2 JOIN sh USING (product_id)) t2 JOIN fq USING (query_id) JOIN sh USING (product_id)),
+ pt AS (SELECT *, CASE WHEN scored THEN CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END END AS pair FROM ps),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair DESC NULLS LAST, rank) AS r2 FROM pt),
+ rp AS (SELECT * FROM rk WHERE r2 <= CASE WHEN high IS NOT NULL OR low IS NOT NULL THEN 20 WHEN way IS NOT NULL THEN 10 ELSE 5 END),
+ ov AS (SELECT query_id, bool_or(len(w) = 0 OR len(list_filter(w, lambda x: contains(lower(concat_ws(' ', title, brand)), x))) > 0) AS overlap FROM (SELECT query_id, title, brand, list_concat(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ('the', 'and', 'for', 'with')),
+  flatten(list_transform(regexp_extract_all(text, '[一-鿿]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS w FROM rp WHERE r2 <= 5) GROUP BY 1),
+ gt AS (SELECT *, max(pair) OVER (PARTITION BY query_id) AS best FROM rp JOIN ov USING (query_id)),
+ rr AS (SELECT * FROM gt WHERE NOT coalesce(best < {GATE} AND inc IS NULL AND exc IS NULL AND high IS NULL AND low IS NULL AND NOT overlap, false) AND (high IS NULL OR price <= high) AND (low IS NULL OR price >= low) AND (high IS NOT NULL OR low IS NOT NULL OR floor IS NULL OR coalesce(price >= floor, false))),
+ di AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS left_ FROM rr),
  ct AS (SELECT query_id, category AS cat, count(*) AS c, min(r2) AS first FROM di GROUP BY ALL), mn AS (SELECT query_id, cat, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, first, cat) AS o FROM ct) WHERE o = 1),
- so AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way IS NOT NULL AND c >= greatest(3, n // 2) AND category != cat THEN 1 ELSE 0 END, CASE WHEN way IS NOT NULL AND price IS NULL THEN 1 ELSE 0 END, CASE way WHEN 'cheap' THEN price WHEN 'expensive' THEN -price END NULLS FIRST, r2, product_id) AS rank FROM di JOIN mn USING (query_id))"""
+ so AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way IS NOT NULL AND c >= greatest(3, left_ // 2) AND category != cat THEN 1 ELSE 0 END, CASE WHEN way IS NOT NULL AND price IS NULL THEN 1 ELSE 0 END, CASE way WHEN 'cheap' THEN price WHEN 'expensive' THEN -price END NULLS FIRST, r2, product_id) AS rank FROM di JOIN mn USING (query_id))"""
 
 
 SHOP = PRICED + f", {ORIGIN}"
@@ -323,7 +348,7 @@ SHOP = PRICED + f", {ORIGIN}"
 @query(SHOP + f", {search_sql(f'SELECT s_suppkey AS query_id, {WISH} AS text FROM supplier')} SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank FROM so WHERE rank <= 5")
 def e14_search(spark, sf_dir):
     """Texts with bounds, refused brands and countries, wanted brands."""
-    return se.search(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written)
+    return se.search(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written, floor=GATE)
 
 
 #: The forms of a text: as it is, without price words, and without exclusions too.
@@ -333,7 +358,7 @@ FORMS = f"""w0 AS (SELECT s_suppkey AS id, {WISH} AS text FROM supplier), w1 AS
 
 @query(SHOP + f", {FORMS}, {search_sql('SELECT id * 10 + n AS query_id, text FROM w3')}, fo AS (SELECT query_id // 10 AS id, query_id % 10 AS n, product_id, rank, min(query_id % 10) OVER (PARTITION BY query_id // 10) AS first FROM so WHERE rank <= 5), fr AS (SELECT * FROM fo WHERE n = first), em AS (SELECT id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY rank) AS emptied FROM fr WHERE n = 2 AND rank <= 3 GROUP BY 1) SELECT w0.id AS query_id, product_id, CAST(rank AS INTEGER) AS rank, CASE WHEN product_id IS NULL THEN 'no_match' WHEN n = 1 THEN 'budget_relaxed' END AS note, emptied FROM w0 LEFT JOIN (SELECT * FROM fr WHERE n < 2) k ON k.id = w0.id LEFT JOIN em ON em.id = w0.id")
 def e15_search_relaxed(spark, sf_dir):
-    out = se.search_relaxed(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written)
+    out = se.search_relaxed(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written, floor=GATE)
     return out.withColumn("emptied", F.array_join(F.transform("emptied", lambda x: x.cast("string")), ","))
 
 

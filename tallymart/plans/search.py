@@ -41,7 +41,7 @@ def asked(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, product_id, score, CAST(rank AS INTEGER) AS rank FROM hits")
 def e1_bm25_topk(spark, sf_dir):
-    return postings_topk(asked(spark, sf_dir), index_of(spark, sf_dir), 10)
+    return postings_topk(asked(spark, sf_dir), index_of(spark, sf_dir), 10, table=written)
 
 
 @query(rf"SELECT doc_id, CAST(len({TERMS}) AS INTEGER) AS n_tokens, CAST(len(list_distinct({TERMS})) AS INTEGER) AS n_distinct FROM documents")

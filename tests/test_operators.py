@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tallymart.plans.base import written
 from tallymart.functions import parsing as ps
 from tallymart.functions import text as tx
 from tallymart.operators import conversation as cv
@@ -172,7 +173,7 @@ def test_search_relaxes_a_budget_that_empties_the_list(spark):
     catalog = spark.createDataFrame(rows, "product_id long, title string, brand string, category string, sub_category string, description string, base_price double, price_cny double, currency string, origin string")
     queries = spark.createDataFrame([(1, 7, "red"), (2, 7, "bolt under 20"), (3, 7, "zzz"), (4, 7, "red under 20"), (5, 7, "gear 不要日系"), (6, 7, "new under 9")], "query_id long, user_id long, text string")
     got = {}
-    for r in se.search_relaxed(queries, catalog).collect():
+    for r in se.search_relaxed(queries, catalog, keep=written).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.product_id, r.note))
     assert {k: sorted(v, key=str) for k, v in got.items()} == {1: [(1, 1, None), (2, 2, None)], 2: [(1, 2, "budget_relaxed")], 3: [(None, None, "no_match")], 4: [(1, 1, None)], 5: [(None, None, "no_match")], 6: [(1, 5, "budget_relaxed")]}
 
@@ -184,10 +185,10 @@ def test_search_filters_before_it_cuts(spark):
     rows = [(i, "blue bolt", "b", "x", "bolt", "d", 2000.0, 2000.0, "CNY", None) for i in range(40)] + [(i, "blue bolt", "b", "x", "bolt", "d", 900.0, 900.0, "CNY", None) for i in range(40, 60)] + [(i, "old rod", "b", "y", "rod", "d", 900.0, 900.0, "CNY", None) for i in range(60, 200)]
     queries = spark.createDataFrame([(1, 7, "blue bolt under 950")], "query_id long, user_id long, text string")
     catalog = spark.createDataFrame(rows, SHOP)
-    assert sorted((r["rank"], r.product_id) for r in se.search(queries, catalog).collect()) == [(i + 1, 40 + i) for i in range(5)]
-    assert {r.note for r in se.search_relaxed(queries, catalog).collect()} == {None}
+    assert sorted((r["rank"], r.product_id) for r in se.search(queries, catalog, keep=written).collect()) == [(i + 1, 40 + i) for i in range(5)]
+    assert {r.note for r in se.search_relaxed(queries, catalog, keep=written).collect()} == {None}
     dense = spark.createDataFrame([(1, i, i + 1) for i in range(50)], "query_id long, product_id long, rank int")
-    assert sorted(r.product_id for r in se.search(queries, catalog, dense=dense).collect()) == list(range(40, 45))
+    assert sorted(r.product_id for r in se.search(queries, catalog, keep=written, dense=dense).collect()) == list(range(40, 45))
 
 
 def test_search_applies_brands_carried_filters_and_coverage(spark):
@@ -200,7 +201,7 @@ def test_search_applies_brands_carried_filters_and_coverage(spark):
     ]
     queries = spark.createDataFrame([(q, 7, *r) for q, *r in asked], "query_id long, user_id long, text string, ex_keywords array<string>, brand_include array<string>, price_max double, entities array<struct<entity: string, kind: string>>, switched boolean")
     got = {}
-    for r in se.search(queries, catalog, k=9, brands={"Acme": [], "Bolt": [], "Coil": [], "Dune": []}).collect():
+    for r in se.search(queries, catalog, keep=written, k=9, brands={"Acme": [], "Bolt": [], "Coil": [], "Dune": []}).collect():
         got.setdefault(r.query_id, set()).add(r.product_id)
     every = set(range(6))
     assert got == {1: every, 2: {0, 1}, 3: {0, 1, 4, 5}, 4: every - {1}, 5: {4}, 6: every, 7: {0, 1, 5}, 8: {2, 3, 4, 5}, 9: every - {2, 3}, 10: every | {10}}
@@ -209,7 +210,7 @@ def test_search_applies_brands_carried_filters_and_coverage(spark):
 def test_search_relaxed_tells_what_exclusions_emptied(spark):
     catalog = spark.createDataFrame([(3, "blue gear", "b", "y", "gear", "d", 5.0, 5.0, "CNY", "JP")] + [(i, "old rod", "b", "y", "rod", "d", 5.0, 5.0, "CNY", None) for i in range(4, 9)], SHOP)
     queries = spark.createDataFrame([(1, 7, "gear 不要日系", None), (2, 7, "zzz 不要日系", None), (3, 7, "gear", 2.0)], "query_id long, user_id long, text string, price_max double")
-    got = {r.query_id: (r.product_id, r.note, r.emptied) for r in se.search_relaxed(queries, catalog).collect()}
+    got = {r.query_id: (r.product_id, r.note, r.emptied) for r in se.search_relaxed(queries, catalog, keep=written).collect()}
     assert got == {1: (None, "no_match", [3]), 2: (None, "no_match", None), 3: (3, "budget_relaxed", None)}
 
 
