@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import CYCLE_ELSE, CYCLES
+from ..sources.state import Stored, by_day
 
 DAY = 86400
 DIMENSIONS = ("brand", "category", "sub_category")
@@ -221,3 +222,25 @@ def group_status(groups: DataFrame, members: DataFrame, catalog: DataFrame, now:
 def opener_groups(groups: DataFrame) -> DataFrame:
     """Groups with their position among their opener's, newest first."""
     return groups.withColumn("position", F.row_number().over(Window.partitionBy("opener_id").orderBy(F.desc("created_at"), F.desc("group_id"))))
+
+
+#: When a purchase next has to be looked at: once due, and not before its snooze is over.
+WAKES = "greatest(next_due_at, coalesce(last_shown_at + make_dt_interval(0, {0}), next_due_at))"
+
+
+def due_table(spark, path: str, purchases: DataFrame, snooze_h: int = 24) -> Stored:
+    """Purchases stored by the day on which they next have to be looked at (J1)."""
+    return by_day(spark, path, ["id"], WAKES.format(snooze_h)).create(purchases)
+
+
+def due_scan(stored: Stored, now: Column) -> DataFrame:
+    """Rows of the days up to now: later days are not listed, so a scan costs what is due."""
+    today = stored.spark.range(1).select(F.date_format(now, "yyyy-MM-dd")).first()[0]
+    return stored.rows(only={p for p in stored.manifest()["parts"] if p <= today})
+
+
+def mark_shown_stored(stored: Stored, shown: DataFrame, now: Column) -> set[str]:
+    """mark_shown() on a stored table: the shown rows move to the day their snooze ends; the days they leave and come to are rewritten."""
+    found = due_scan(stored, now).join(shown.select("id").distinct(), "id", "left_semi")
+    left = {r.part for r in found.select(F.expr(stored.part).alias("part")).distinct().collect()}  # days
+    return stored.change(found.withColumn("last_shown_at", now), moved_from=left)
