@@ -157,3 +157,20 @@ def vector_means(per_query: DataFrame) -> DataFrame:
     means = [F.count("*").alias("queries"), *(F.round(F.avg(m), 6).alias(m) for m in VECTOR_METRICS)]
     each = per_query.where("category is not null").groupBy(F.col("category").cast("string").alias("category")).agg(*means)
     return per_query.agg(*means).withColumn("category", F.lit(None).cast("string")).unionByName(each)
+
+
+#: Size of a quantile sketch: the value it gives for a share has a rank within 2 % of all rows of that share (KLL, 99 % of the time).
+SKETCH, SKETCH_ERROR = 200, 0.02
+
+
+def latency_sketches(rows: DataFrame, value: str, groups: list[str], at: str, slot: str = "1 hour") -> DataFrame:
+    """(groups, slot, n, total, most, sketch): what is kept per group and hour. It adds up to any longer window, and rows need not be read again."""
+    slots = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.window(at, slot)["start"].alias("slot"))
+    return slots.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("most"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH)).alias("sketch"))
+
+
+def rolled_latency(sketches: DataFrame, groups: list[str], window: str | None = None, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """n, mean, max and quantiles (p50, ...) per group, and per window if given, from latency_sketches()."""
+    keys = [*groups, *([F.window("slot", window)["start"].alias("start")] if window else [])]
+    out = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.max("most").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return out.select(*groups, *(["start"] if window else []), "n", "mean", "max", *(F.kll_sketch_get_quantile_double("sketch", F.lit(s)).alias(f"p{round(100 * s)}") for s in shares))

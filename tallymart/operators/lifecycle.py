@@ -244,3 +244,31 @@ def mark_shown_stored(stored: Stored, shown: DataFrame, now: Column) -> set[str]
     found = due_scan(stored, now).join(shown.select("id").distinct(), "id", "left_semi")
     left = {r.part for r in found.select(F.expr(stored.part).alias("part")).distinct().collect()}  # days
     return stored.change(found.withColumn("last_shown_at", now), moved_from=left)
+
+
+FOLD_KEYS = ["user_id", "dimension", "value", "day"]
+
+
+def preference_folds(feedback: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(user_id, dimension, value, day, shift, floor, cap): what the events of a day do to a score, composed (clamp_fold())."""
+    events = preference_events(feedback, catalog).withColumn("day", F.date_trunc("day", "ts").cast("timestamp"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "delta")))
+    return events.groupBy(*FOLD_KEYS).agg(clamp_fold(ordered).alias("fold")).select(*FOLD_KEYS, "fold.*")
+
+
+def fold_table(spark, path: str, folds: DataFrame) -> Stored:
+    """Folds stored by day (G4)."""
+    return by_day(spark, path, FOLD_KEYS, "day").create(folds)
+
+
+def replace_days(stored: Stored, folds: DataFrame, days: set[str]) -> set[str]:
+    """Put the folds of some days (yyyy-MM-dd) in place of what is stored of them: a new day, or a late one again. Only those days are read and written."""
+    return stored.change(folds, gone=stored.rows(only=days).select(*FOLD_KEYS), moved_from=days)
+
+
+def scores_of(folds: DataFrame) -> DataFrame:
+    """preference_scores() from folds of days: a score takes a row for each of its days, and no event."""
+    keys = FOLD_KEYS[:3]
+    apply = lambda x, e: F.least(e["cap"], F.greatest(e["floor"], x + e["shift"]))
+    days = F.array_sort(F.collect_list(F.struct("day", "shift", "floor", "cap")))
+    return folds.groupBy(*keys).agg(days.alias("days")).select(*keys, F.aggregate("days", F.lit(0), apply).alias("score"))

@@ -9,7 +9,8 @@ from ..functions import parsing as ps
 from ..functions import text as tx
 from ..operators import conversation as cv
 from ..operators import search as se
-from .base import CAT, catalog_view, query, read, written
+from ..operators.brands import brands_by_dictionary
+from .base import CAT, ORACLE, catalog_view, query, read, written
 from .catalog import ORIGIN, PRICED, origins, priced, sourced
 
 def pick(number: str, values) -> str:
@@ -95,6 +96,14 @@ def f3_parse_brands(spark, sf_dir):
     return rows.join(parsed, "text").select("query_id", F.array_join("b.included", ",").alias("included"), F.array_join("b.excluded", ",").alias("excluded"))
 
 
+@query(ORACLE["f3_parse_brands"])
+def f3_dictionary_brands(spark, sf_dir):
+    """The same by a join with the brands of part as a table."""
+    terms = read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.substring("p_brand", 7, 9).cast("int").alias("ordinal"), F.col("p_brand").alias("term")).distinct()
+    found = brands_by_dictionary(messages(spark, sf_dir), terms)
+    return found.select("query_id", F.array_join("included", ",").alias("included"), F.array_join("excluded", ",").alias("excluded"))
+
+
 COUNTRY_WORDS = listed(w for _, words in lx.COUNTRIES for w in words)
 COUNTRY_CODES = "list_filter([" + ", ".join(f"CASE WHEN {any_of('terms', words)} THEN '{c}' END" for c, words in lx.COUNTRIES) + "], lambda x: x IS NOT NULL)"
 

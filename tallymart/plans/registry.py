@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from .base import ORACLE, QUERIES  # noqa: F401
-from . import catalog, events, files, messages, search, streams  # noqa: F401  (each registers its queries)
+from . import catalog, events, files, messages, search, streams, stored  # noqa: F401  (each registers its queries)

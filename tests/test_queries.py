@@ -53,7 +53,7 @@ def test_coverage_brings_every_entity_with_a_product_into_the_first_five(spark):
     from tallymart.plans.catalog import bought
     from tallymart.plans.messages import entities
 
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"e12_brand_coverage", "e3_probed_topk"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"e12_brand_coverage", "e3_probed_topk", "i7_rolled_latency"}
     shelf = {r.product_id: r for r in catalog_view(spark, SF).collect()}
     before, got = {}, {}
     for r in top_k(bought(spark, SF), 20, order=[F.asc("product_id")]).collect():
