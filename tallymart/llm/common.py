@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this session in the one that the cluster names in spark.checkpoint.dir; only a session without that setting (tests) gets a temporary one."""
+    """A folder of this session in the one that the cluster names in spark.checkpoint.dir. A session without that setting must run on one machine (tests) and gets a folder there."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"/tmp/spark-{uuid.uuid4().hex}")
     return context.getCheckpointDir()
 
 
