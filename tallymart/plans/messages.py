@@ -282,7 +282,22 @@ def e13_catalog_fallback(spark, sf_dir):
     return se.catalog_fallback(entities(spark, sf_dir), catalog_view(spark, sf_dir)).select("query_id", "entity", "product_id")
 
 
-@query()
+def covered(source: str, out: str, fits: str) -> str:
+    """SQL for one step of coverage over lists `l` of products {p, t, b} and spare ones `x`: who fits is brought to the fifth place, in that of the last of a brand that has several of five, or of the fifth."""
+    at = f"coalesce(list_position(list_transform(l, lambda y: {fits}), true), 0)"
+    return f"""{out}_a AS (SELECT *, {at} AS pos FROM {source}),
+ {out}_b AS (SELECT *, CASE WHEN pos BETWEEN 1 AND 5 THEN NULL WHEN pos > 5 THEN l[pos] ELSE list_filter(x, lambda y: {fits} AND NOT list_contains(list_transform(l, lambda z: z.p), y.p))[1] END AS new, CASE WHEN pos > 5 THEN list_concat(l[1 : pos - 1], l[pos + 1 :]) ELSE l END AS rest FROM {out}_a),
+ {out}_c AS (SELECT *, list_transform(rest[1:5], lambda y: y.b) AS bs FROM {out}_b), {out}_d AS (SELECT *, CASE WHEN len(rest) >= 5 THEN coalesce(list_max(list_filter(range(1, 6), lambda n: len(list_filter(bs, lambda b: b = bs[n])) > 1)), 5) END AS d FROM {out}_c),
+ {out}_e AS (SELECT *, CASE WHEN d IS NULL THEN rest ELSE list_concat(rest[1 : d - 1], rest[d + 1 :]) END AS short FROM {out}_d),
+ {out} AS (SELECT query_id, e, x, CASE WHEN new IS NULL THEN l ELSE list_concat(short[1:4], [new], CASE WHEN d IS NULL THEN [] ELSE [rest[d]] END, short[5:]) END AS l FROM {out}_e)"""
+
+
+@query(ENT + f""", fb AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id, entity ORDER BY CASE WHEN sub_category IN ('bolt', 'gear') THEN 0 ELSE 1 END, product_id) AS n FROM en JOIN cat ON CASE kind WHEN 'title' THEN contains(title, entity) ELSE contains(lower(brand), lower(entity)) OR contains(lower(entity), lower(brand)) END),
+ sp AS (SELECT query_id, list({{'p': product_id, 't': lower(title), 'b': lower(brand)}} ORDER BY product_id) AS x FROM (SELECT DISTINCT query_id, product_id FROM fb WHERE n = 1) JOIN cat USING (product_id) GROUP BY 1),
+ bo AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS product_id FROM lineitem), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS rank FROM bo),
+ li AS (SELECT query_id, list({{'p': product_id, 't': lower(title), 'b': lower(brand)}} ORDER BY rank) AS l FROM rk JOIN cat USING (product_id) WHERE rank <= 20 GROUP BY 1),
+ s0 AS (SELECT query_id, 'brand#' || (1 + query_id % 25) AS e, coalesce(x, []) AS x, l FROM li LEFT JOIN sp USING (query_id)), {covered("s0", "s1", "(contains(y.b, e) OR contains(e, y.b))")}, {covered("s1", "s2", "contains(y.t, 'ring')")}
+ SELECT query_id, unnest(list_transform(l, lambda y: y.p)) AS product_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS position FROM s2""")
 def e12_brand_coverage(spark, sf_dir):
     """Twenty products a supplier ships, with its entities brought into the first five."""
     from ..operators.retrieval import top_k
