@@ -29,7 +29,7 @@ def word_counts(docs: DataFrame, least_length: int = 5, least_count: int = 3, sl
 
     With `slip`, a run r of document d loses a letter wherever h = crc32("d:r") is a multiple of it: the one at h % length. Words
     under `least_length` letters or `least_count` occurrences are left out. A null text has none; a null doc_id reads as an
-    empty one. Tasks count ahead of the shuffle, so a frequent word sends a row per task and 200,000 words.
+    empty one; repeated rows count each; bytes that are not UTF-8 end a run; other columns are ignored. Tasks count ahead of the shuffle, so a frequent word sends a row per task and 200,000 words.
     """
 
     def run(batches):
