@@ -255,6 +255,12 @@ def g1_brand_categories(spark, sf_dir):
     return ag.brand_categories(catalog_view(spark, sf_dir)).withColumn("category", F.explode("categories")).join(catalog_view(spark, sf_dir).groupBy("brand", "category").agg(F.count("*").alias("products")), ["brand", "category"]).select("category", "brand", "products")
 
 
+@query("SELECT DISTINCT trim(p_brand, ' ') AS brand, CAST(length(trim(p_brand, ' ')) AS INTEGER) AS length FROM part WHERE trim(p_brand, ' ') != ''")
+def g1_catalog_brands(spark, sf_dir):
+    """Brands and their lengths, by which longer names are tried first."""
+    return ag.catalog_brands(catalog_view(spark, sf_dir))
+
+
 @query("SELECT DISTINCT p_type AS category, split_part(p_name, ' ', -1) AS sub_category FROM part")
 def g2_category_pairs(spark, sf_dir):
     return ag.category_pairs(catalog_view(spark, sf_dir))

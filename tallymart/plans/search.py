@@ -248,16 +248,27 @@ def e5_hybrid_topk(spark, sf_dir):
     return fused(spark, sf_dir, 5).select("query_id", "product_id", "score", "rank")
 
 
-@query(f"WITH {BM25}, v AS (SELECT query_id, 1 AS variant, product_id, rank FROM hits WHERE rank <= 6 UNION ALL SELECT query_id, 2, product_id, 11 - rank FROM hits), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY variant, rank) AS n FROM v) SELECT query_id, product_id, CAST(variant AS INTEGER) AS variant, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, product_id) AS INTEGER) AS position FROM f WHERE n = 1")
+#: BM25 of two variants of an item, numbered 2 * item_id and one more: the whole text, and its first five words.
+VARIANTS = f"vq AS (SELECT 2 * item_id AS query_id, {TERMS} AS words FROM benchmark UNION ALL SELECT 2 * item_id + 1, {TERMS}[1:5] FROM benchmark), " + BM25.replace(f"SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark", "SELECT query_id, unnest(words) AS term FROM vq")
+
+
+@query(f"WITH {VARIANTS}, v AS (SELECT query_id // 2 AS query_id, 1 + query_id % 2 AS variant, product_id, rank FROM hits WHERE rank <= 6), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY variant, rank) AS n FROM v) SELECT query_id, product_id, CAST(variant AS INTEGER) AS variant, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY variant, rank, product_id) AS INTEGER) AS position FROM f WHERE n = 1")
 def e6_multi_query_union(spark, sf_dir):
-    hits = e1_bm25_topk(spark, sf_dir).select("query_id", "product_id", "rank")
-    variants = hits.where("rank <= 6").withColumn("variant", F.lit(1)).unionByName(hits.withColumn("variant", F.lit(2)).withColumn("rank", 11 - F.col("rank")))
-    return rt.multi_query_union(variants)
+    """Hits of every item and of its first five words."""
+    items = asked(spark, sf_dir)
+    short = F.array_join(F.slice(tokens("text"), 1, 5), " ")
+    both = items.select((2 * F.col("query_id")).alias("query_id"), "text").unionByName(items.select((2 * F.col("query_id") + 1).alias("query_id"), short.alias("text")))
+    hits = postings_topk(both, index_of(spark, sf_dir), 6, table=written)
+    return rt.multi_query_union(hits.select(F.floor(F.col("query_id") / 2).alias("query_id"), (1 + F.col("query_id") % 2).cast("int").alias("variant"), "product_id", "rank"))
 
 
-@query(f"WITH {BM25}, s AS (SELECT *, CASE WHEN product_id % 7 = 0 THEN NULL ELSE product_id % 100 END AS other, count(*) OVER (PARTITION BY query_id) AS c FROM hits) SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN c > 1 THEN other END DESC NULLS LAST, rank) AS INTEGER) AS rerank_rank FROM s")
+@query(rf"""WITH {BM25}, pa AS (SELECT query_id, product_id, rank, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[\p{{L}}\p{{N}}_]+')) AS q, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{{L}}\p{{N}}_]+') AS d FROM hits JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = product_id),
+ s AS (SELECT *, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END AS pair, count(*) OVER (PARTITION BY query_id) AS c FROM pa)
+ SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN c > 1 THEN pair END DESC NULLS LAST, rank) AS INTEGER) AS rerank_rank FROM s""")
 def e8_rerank(spark, sf_dir):
-    pairs = e1_bm25_topk(spark, sf_dir).withColumn("score", F.expr("CASE WHEN product_id % 7 = 0 THEN NULL ELSE product_id % 100 END"))
+    """The hits of every item by the share of its words that a document holds."""
+    texts = asked(spark, sf_dir).withColumnRenamed("text", "asked")
+    pairs = e1_bm25_topk(spark, sf_dir).join(texts, "query_id").join(corpus(spark, sf_dir), "product_id").withColumn("score", F.round(se.pair_score("asked", "text"), 6))
     return rt.rerank(pairs, 10).select("query_id", "product_id", "rerank_rank")
 
 
