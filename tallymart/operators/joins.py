@@ -30,6 +30,7 @@ def match_filters(filters: DataFrame, catalog: DataFrame, slices: int = 256) ->
         return F.least(F.greatest(F.coalesce(at, F.lit(missing)), F.lit(0)), F.lit(slices - 1)).cast("int")
 
     low, high = slice_of(F.col("price_min"), 0), slice_of(F.col("price_max"), slices - 1)
+    span = F.broadcast(span)  # one row
     left = free.crossJoin(span).where(low <= high).withColumn("_slice", F.explode(F.sequence(low, high)))
     right = catalog.crossJoin(span).select("product_id", "base_price", slice_of(F.col("base_price"), 0).alias("_slice"))
     ranged = left.join(right, "_slice").where(inside)

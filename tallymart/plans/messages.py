@@ -202,6 +202,24 @@ def f11_looks_like_followup(spark, sf_dir):
     return talks(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", ps.looks_like_followup("text").alias("followup"))
 
 
+#: Short turns of two parts, some of which only make sense after another.
+FRAGMENTS = " || ".join((
+    pick("p_partkey % 13", ("'便宜'", "'再来一个'", "'换一个'", "'防晒霜'", "'100元以内'", "'红色的'", "'what about '", "'黑色款呢'", "'这个'", "''", "'跑鞋'", "'cheaper headphones'", "'有没有旗舰版'")),
+    pick("p_size % 7", ("''", "'吗？'", "'便宜点'", "'，不要'", "' under 50'", "'推荐一款适合户外运动的东西'", "'左右'")),
+))
+OWN = any_of("text", [t for _, terms in lx.CATEGORIES for t in terms])
+FOLLOWUP = f"""(n > 0 AND ((n <= 8 AND {any_of('compact', ps.FOLLOW_WORDS)}) OR (n <= 12 AND {any_of('compact', ('这个', '那个', '它', '再', '换一个'))})
+ OR (n <= 20 AND {any_of('compact', ps.CHEAP_WORDS + ps.DEAR_WORDS)} AND NOT {any_of('compact', ps.ANCHORS)} AND NOT {OWN}) OR (residue != compact AND length(residue) <= 6 AND NOT {OWN})
+ OR (n <= 10 AND regexp_matches(compact, '{ps.REFINEMENT}') AND NOT {OWN}) OR (len(english) BETWEEN 1 AND 7 AND NOT regexp_matches(low, '[一-鿿]') AND {any_of('low', ps.EN_FOLLOW)} AND NOT {OWN})))"""
+
+
+@query(f"""WITH fr AS (SELECT p_partkey AS query_id, {FRAGMENTS} AS text FROM part), co AS (SELECT *, regexp_replace(text, '{ps.FILLER}', '', 'g') AS compact, lower(trim(text, ' ')) AS low FROM fr),
+ re AS (SELECT *, length(compact) AS n, regexp_replace(compact, '{ps.PRICE_ONLY}', '', 'g') AS residue, regexp_extract_all(low, '[a-z'']+') AS english FROM co) SELECT query_id, {FOLLOWUP} AS followup FROM re""")
+def f11_short_turns(spark, sf_dir):
+    """Which of some composed turns are follow-ups."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.expr(FRAGMENTS).alias("text")).select("query_id", ps.looks_like_followup("text").alias("followup"))
+
+
 @query("""WITH r AS (SELECT conv_id, turn, role, substr(trim(text, ' '), 1, 600) AS text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations), k AS (SELECT * FROM r WHERE turn < last AND role IN ('user', 'assistant') AND trim(text, ' ') != ''),
  n AS (SELECT *, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM k), g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM n),
  m AS (SELECT conv_id, run, role, string_agg(text, chr(10) ORDER BY turn) AS content FROM g GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY run DESC) AS back FROM m), f AS (SELECT *, min(CASE WHEN role = 'user' THEN run END) OVER (PARTITION BY conv_id) AS first FROM b WHERE back <= 8)

@@ -59,7 +59,7 @@ def holding(docs, items):
 
     Only documents that share up to eight of the item's inner tokens, in the
     text's order and case, are compared (the first and the last may be parts of
-    longer ones); items without inner tokens are compared with all documents.
+    longer ones); items without inner tokens are compared with the documents that hold their first letters.
     """
     runs = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     inner = F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0)))
@@ -69,8 +69,11 @@ def holding(docs, items):
     grams = docs.select("product_id", runs.alias("t")).crossJoin(F.broadcast(lengths)).select("product_id", "t", F.explode("lengths").alias("n")).where("size(t) >= n")
     grams = grams.select("product_id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.col("n")), " "))))).alias("g"))
     found = grams.join(keyed, ["n", "g"]).select("query_id", "passage", "product_id").join(docs, "product_id").where(F.contains("text", "passage")).select("query_id", "product_id")
-    rest = heads.where("n = 0").select("query_id", "passage")
-    return found.unionByName(rest.join(docs, F.contains("text", "passage")).select("query_id", "product_id"))
+    # Items without inner tokens meet the documents that hold their first three letters.
+    rest = heads.where("n = 0").select("query_id", "passage", F.substring("passage", 1, 3).alias("key"))
+    keys = rest.agg(F.collect_set("key").alias("keys"))  # one row
+    held = docs.where("text is not null").crossJoin(F.broadcast(keys)).select("product_id", "text", F.explode(F.filter("keys", lambda k: F.contains("text", k))).alias("key"))
+    return found.unionByName(held.join(rest, "key").where(F.contains("text", "passage")).select("query_id", "product_id"))
 
 
 def expected(spark, sf_dir):
