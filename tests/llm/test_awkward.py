@@ -109,3 +109,38 @@ def test_registered_models_on_held_out_rows(spark):
     toxic = {r.doc_id for r in spark.read.parquet(f"{larger}/labels.parquet").where("toxic = 1").collect()}
     kept = [r.doc_id for r in queries.op5_quality(spark, larger).where("kept").collect()]
     assert len(toxic) > 9 and len(toxic.intersection(kept)) < 0.3 * len(toxic)
+
+
+@given
+def test_quality_of_documents_whose_ratings_it_did_not_see(spark):
+    from tallymart.llm.quality import grade_of
+
+    largest = SF.replace("0.001", "0.1")
+    ratings = spark.read.parquet(f"{largest}/labels.parquet").select("doc_id", grade_of("quality", "toxic").alias("grade"))
+    truth = {r.doc_id: r.grade for r in ratings.where("grade is not null and doc_id % 3 = 0").collect()}
+    got = {r.doc_id: r for r in grade_documents(spark.read.parquet(f"{largest}/documents.parquet"), ratings.where("doc_id % 3 > 0")).collect()}
+    kept = [np.mean([got[i].kept for i, g in truth.items() if g == grade]) for grade in (0, 1, 2)]
+    mean = [np.mean([got[i].expected_grade for i, g in truth.items() if g == grade and got[i].expected_grade is not None]) for grade in (0, 1, 2)]
+    assert len(truth) > 1000 and kept[0] < 0.35 and kept[1] < 0.3 and kept[2] > 0.95 and mean[0] < mean[1] < mean[2]
+
+
+@given
+def test_registered_token_counts_equal_greedy_matching(spark):
+    import public_tokenizers
+
+    from tallymart.llm.token_counts import vocabulary
+
+    pieces = set(vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    longest, known = max(map(len, pieces)), {}
+
+    def greedy(word):
+        at = n = 0
+        while at < len(word):
+            at += next(k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces)
+            n += 1
+        return n
+
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words = (r.text or "").encode().lower().split()
+        known[r.doc_id] = (len(words), sum(map(greedy, words)))
+    assert {r.doc_id: (r.n_words, r.n_tokens) for r in queries.op8_token_counts(spark, SF).collect()} == known
