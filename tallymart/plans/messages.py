@@ -353,7 +353,11 @@ WANTED = {f"Brand#{n}": [] for n in (3, 4, 5, 7, 8, 9)}
 GATE = 0.4
 
 
-def search_sql(asked: str) -> str:
+#: Price order that English bounds ask for.
+WAY = "CASE WHEN regexp_matches(text, '(?i)(?:under|below)\\s*\\d') THEN 'cheap' WHEN regexp_matches(text, '(?i)over\\s*\\d') THEN 'expensive' END"
+
+
+def search_sql(asked: str, refused: str = "contains(text, '不要日系')", shelf: str = "true", gate: float = GATE, way: str = WAY) -> str:
     """The first five products of texts (query_id, text): filters, BM25 of twenty, pair scores, price order. Queries have one form of text each."""
     words = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_&&[^一-鿿]]+')".replace("&&[^一-鿿]", "")
     tokens = lambda t: f"list_concat(list_filter({words.format(t)}, lambda w: NOT regexp_matches(w, '[一-鿿]')), flatten(list_transform(regexp_extract_all({t}, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
@@ -361,15 +365,15 @@ def search_sql(asked: str) -> str:
     negative = f"regexp_matches(regexp_extract(lower(text), '^(.*)' || lower(b), 1), '(?i){ps.NEGATED_PREFIX}')"
     return f"""aq AS ({asked}), sh AS (SELECT pr.*, CASE WHEN product_id % 4 = 0 THEN coalesce(country, 'CN') WHEN product_id % 4 = 1 THEN 'FR' ELSE country END AS origin FROM pr LEFT JOIN bo2 USING (brand)),
  nb AS (SELECT query_id, b, {negative} AS bad FROM aq, (SELECT unnest({brands}) AS b) WHERE contains(lower(text), lower(b))), ib AS (SELECT query_id, list(b) FILTER (WHERE NOT bad) AS inc, list(b) FILTER (WHERE bad) AS exc FROM nb GROUP BY 1),
- fq AS (SELECT query_id, text, {HIGH} AS high, {first_number(LOW)} AS low, contains(text, '不要日系') AS nojp, inc, exc, CASE WHEN regexp_matches(text, '(?i)(?:under|below)\\s*\\d') THEN 'cheap' WHEN regexp_matches(text, '(?i)over\\s*\\d') THEN 'expensive' END AS way, {first_number(lx.EN_MIN)} AS floor FROM aq LEFT JOIN ib USING (query_id)),
+ fq AS (SELECT query_id, text, {HIGH} AS high, {first_number(LOW)} AS low, {refused} AS nojp, inc, exc, {way} AS way, {first_number(lx.EN_MIN)} AS floor FROM aq LEFT JOIN ib USING (query_id)),
  dt AS (SELECT product_id, {tokens("concat_ws(' ', title, brand, category, sub_category, substr(description, 1, 400))")} AS terms FROM sh),
  tf AS (SELECT product_id, term, count(*) AS tf, any_value(len(terms)) AS dl FROM (SELECT product_id, terms, unnest(terms) AS term FROM dt) GROUP BY ALL),
  raw AS (SELECT term, ln((s.docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, (SELECT count(*) AS docs FROM dt) s GROUP BY term, s.docs),
  idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
  qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens("text")}) AS term FROM aq) GROUP BY ALL),
  sc AS (SELECT query_id, product_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(terms)) FROM dt)))), 6) AS score FROM tf JOIN idf USING (term) JOIN qt USING (term) GROUP BY ALL),
- ft AS (SELECT sc.* FROM sc JOIN fq USING (query_id) JOIN sh USING (product_id) WHERE (currency != 'CNY' OR ((high IS NULL OR base_price <= high) AND (low IS NULL OR base_price >= low))) AND (inc IS NULL OR list_contains(inc, brand)) AND (exc IS NULL OR len(list_filter(exc, lambda b: contains(lower(brand), lower(b)))) = 0) AND NOT (nojp AND origin IS NOT DISTINCT FROM 'JP')),
- tk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM ft), t2 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM tk WHERE rank <= 20 AND score > 0),
+ ft AS (SELECT sc.* FROM sc JOIN fq USING (query_id) JOIN sh USING (product_id) WHERE (currency != 'CNY' OR ((high IS NULL OR base_price <= high) AND (low IS NULL OR base_price >= low))) AND (inc IS NULL OR list_contains(inc, brand)) AND (exc IS NULL OR len(list_filter(exc, lambda b: contains(lower(brand), lower(b)))) = 0) AND NOT (nojp AND origin IS NOT DISTINCT FROM 'JP') AND ({shelf})),
+ t1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM ft), t2 AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM t1 WHERE rank <= 20 AND score > 0),
  ps AS (SELECT query_id, product_id, rank, n, text, category, title, t2.price, currency, high, low, inc, exc, way, floor, list_distinct({tokens("text")}) AS q, {tokens("concat_ws(' ', title, brand, substr(description, 1, 240))")} AS d, brand,
   n > 1 AND NOT (len(list_filter({brands}, lambda b: regexp_matches(lower(text), '(^|[^a-z])' || lower(b)))) > 0 AND NOT {ANY_CUES}) AS scored FROM (SELECT t2.*, CAST(price_cny AS DOUBLE) AS price FROM t2 JOIN sh USING (product_id)) t2 JOIN fq USING (query_id) JOIN sh USING (product_id)),
  pt AS (SELECT *, CASE WHEN scored THEN CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, d)) / len(q), 6) ELSE 0 END END AS pair FROM ps),
@@ -378,7 +382,7 @@ def search_sql(asked: str) -> str:
  ov AS (SELECT query_id, bool_or(len(w) = 0 OR len(list_filter(w, lambda x: contains(lower(concat_ws(' ', title, brand)), x))) > 0) AS overlap FROM (SELECT query_id, title, brand, list_concat(list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ('the', 'and', 'for', 'with')),
   flatten(list_transform(regexp_extract_all(text, '[一-鿿]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS w FROM rp WHERE r2 <= 5) GROUP BY 1),
  gt AS (SELECT *, max(pair) OVER (PARTITION BY query_id) AS best FROM rp JOIN ov USING (query_id)),
- rr AS (SELECT * FROM gt WHERE NOT coalesce(best < {GATE} AND inc IS NULL AND exc IS NULL AND high IS NULL AND low IS NULL AND NOT overlap, false) AND (high IS NULL OR price <= high) AND (low IS NULL OR price >= low) AND (high IS NOT NULL OR low IS NOT NULL OR floor IS NULL OR coalesce(price >= floor, false))),
+ rr AS (SELECT * FROM gt WHERE NOT coalesce(best < {gate} AND inc IS NULL AND exc IS NULL AND high IS NULL AND low IS NULL AND NOT overlap, false) AND (high IS NULL OR price <= high) AND (low IS NULL OR price >= low) AND (high IS NOT NULL OR low IS NOT NULL OR floor IS NULL OR coalesce(price >= floor, false))),
  di AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS left_ FROM rr),
  ct AS (SELECT query_id, category AS cat, count(*) AS c, min(r2) AS first FROM di GROUP BY ALL), mn AS (SELECT query_id, cat, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, first, cat) AS o FROM ct) WHERE o = 1),
  so AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN way IS NOT NULL AND c >= greatest(3, left_ // 2) AND category != cat THEN 1 ELSE 0 END, CASE WHEN way IS NOT NULL AND price IS NULL THEN 1 ELSE 0 END, CASE way WHEN 'cheap' THEN price WHEN 'expensive' THEN -price END NULLS FIRST, r2, product_id) AS rank FROM di JOIN mn USING (query_id))"""
@@ -393,6 +397,21 @@ def e14_search(spark, sf_dir):
     return se.search(wishes(spark, sf_dir), shop(spark, sf_dir), synonyms=lx.SYNONYMS, stop=lx.PRICE_WORDS, brands=WANTED, keep=written, floor=GATE)
 
 
+#: The catalog on four shelves, with titles that the turns of conversations name.
+WORDED = pick("p_size % 3", ("p_name || ' 防晒霜'", "p_name || ' 家居摆件'", "p_name"))
+SHELVED = SHOP.replace("p_name AS title", f"{WORDED} AS title").replace("p_type AS category", f"{SHELF} AS category")
+CONTEXT = ORACLE["f12_contextual_query"].removeprefix("WITH ")
+
+
+@query(SHELVED + f", {CONTEXT.replace(' SELECT conv_id, coalesce(query', ', cx AS (SELECT conv_id, coalesce(query')}), jc AS (SELECT DISTINCT conv_id FROM tk WHERE role = 'user' AND contains(text, '不要日系')), " + search_sql("SELECT conv_id AS query_id, query AS text FROM cx", "(contains(text, '不要日系') OR query_id IN (SELECT conv_id FROM jc))", "NOT contains(text, '家居') OR category = '家居家具'", 0.0, f"CASE WHEN contains(text, '便宜') OR {HIGH} IS NOT NULL THEN 'cheap' END") + " SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank FROM so WHERE rank <= 5")
+def e14_conversation_search(spark, sf_dir):
+    """Products for the last turn of every conversation: its text in context, under what earlier turns asked for and refused."""
+    titled = shop(spark, sf_dir).withColumn("title", F.expr(WORDED.replace("p_size", "size").replace("p_name", "title"))).withColumn("category", F.expr(SHELF.replace("p_size", "size")))
+    turns = talks(spark, sf_dir)
+    users = turns.select("conv_id", F.col("conv_id").alias("user_id")).distinct()
+    return se.conversation_search(turns, written(titled), users, WANTED, keep=written)
+
+
 #: The forms of a text: as it is, without price words, and without exclusions too.
 FORMS = f"""w0 AS (SELECT s_suppkey AS id, {WISH} AS text FROM supplier), w1 AS (SELECT *, CASE WHEN trim(regexp_replace(text, '{ps.PRICE_PHRASE}', '', 'g'), ' ,，、的') != '' THEN trim(regexp_replace(text, '{ps.PRICE_PHRASE}', '', 'g'), ' ,，、的') ELSE text END AS plain FROM w0),
  w2 AS (SELECT *, trim(regexp_replace(plain, '{CLAUSE.replace(chr(39), chr(39) * 2)}', '', 'g'), ' ,，、;；的') AS bare FROM w1), w3 AS (SELECT id, 0 AS n, text FROM w0 UNION ALL SELECT id, 1, plain FROM w2 WHERE plain != text UNION ALL SELECT id, 2, bare FROM w2 WHERE bare != '' AND bare != plain)"""
