@@ -228,14 +228,14 @@ def opener_groups(groups: DataFrame) -> DataFrame:
 WAKES = "greatest(next_due_at, coalesce(last_shown_at + make_dt_interval(0, {0}), next_due_at))"
 
 
-def due_table(spark, path: str, purchases: DataFrame, snooze_h: int = 24) -> Stored:
-    """Purchases stored by the day on which they next have to be looked at (J1)."""
-    return by_day(spark, path, ["id"], WAKES.format(snooze_h)).create(purchases)
+def due_table(spark, path: str, purchases: DataFrame, snooze_h: int = 24, grain: str = "yyyy-MM-dd") -> Stored:
+    """Purchases stored by the day (or month, yyyy-MM) in which they next have to be looked at (J1)."""
+    return by_day(spark, path, ["id"], WAKES.format(snooze_h), grain).create(purchases)
 
 
 def due_scan(stored: Stored, now: Column) -> DataFrame:
-    """Rows of the days up to now: later days are not listed, so a scan costs what is due."""
-    today = stored.spark.range(1).select(F.date_format(now, "yyyy-MM-dd")).first()[0]
+    """Rows of the days (or months) up to now: later ones are not listed, so a scan costs what is due."""
+    today = stored.spark.range(1).select(F.date_format(now, stored.part.split("'")[-2])).first()[0]
     return stored.rows(only={p for p in stored.manifest()["parts"] if p <= today})
 
 

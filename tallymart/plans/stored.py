@@ -27,15 +27,15 @@ def a7_stored_upsert(spark, sf_dir):
 
 @query(ORACLE["j1_due_reminders"])
 def j1_stored_reminders(spark, sf_dir):
-    """Reminders from a table of days, of which those up to now are read."""
-    stored = lc.due_table(spark, scratch(spark, "due"), due_input(spark, sf_dir))
+    """Reminders from a table of months, of which those up to now are read."""
+    stored = lc.due_table(spark, scratch(spark, "due"), due_input(spark, sf_dir), grain="yyyy-MM")
     return lc.due_reminders(lc.due_scan(stored, now()), catalog_view(spark, sf_dir).where("size < 40"), now(), 3).select("id", "user_id", "product_id", "title", "days_overdue", "tier")
 
 
 @query(ORACLE["j2_mark_shown"])
 def j2_stored_shown(spark, sf_dir):
-    """Shown rows move to the day on which their snooze ends."""
-    stored = lc.due_table(spark, scratch(spark, "due"), due_input(spark, sf_dir))
+    """Shown rows move to the month in which their snooze ends."""
+    stored = lc.due_table(spark, scratch(spark, "due"), due_input(spark, sf_dir), grain="yyyy-MM")
     lc.mark_shown_stored(stored, lc.due_rows(lc.due_scan(stored, now()), now(), 3), now())
     return stored.rows().select("id", "last_shown_at")
 

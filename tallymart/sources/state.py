@@ -79,7 +79,7 @@ class Stored:
     # Changing.
 
     def create(self, rows: DataFrame) -> Stored:
-        """Write a new table. Keys must be unique, and not null."""
+        """Write a new table. Keys must not be null; rows that share one stay together and are replaced together."""
         self._write(rows, 0, rows.schema.json(), {})
         return self
 
@@ -96,7 +96,7 @@ class Stored:
         self._publish(number, schema, {p: v for p, v in parts.items() if p not in gone} | dict.fromkeys(made, number))
 
     def change(self, updates: DataFrame | None = None, order: tuple[str, ...] = (), gone: DataFrame | None = None, moved_from: set[str] | None = None) -> set[str]:
-        """Put in `updates` (whole rows; the last in `order` of a key wins, and replaces the row that was there) and take out the keys `gone`; the parts that were rewritten.
+        """Put in `updates` (whole rows, which replace those of their keys; of several for a key the last in `order`, or all without one) and take out the keys `gone`; the parts that were rewritten.
 
         Rows whose part is no function of the key may have to leave another part than they come to: `moved_from` names the
         parts where the old ones lie (of the scan that found them).
@@ -113,9 +113,11 @@ class Stored:
         if gone is not None:
             old = old.join(gone.select(*keys).distinct(), keys, "left_anti")
         if updates is not None:
-            both = old.withColumn("_new", F.lit(0)).unionByName(updates.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind)).withColumn("_new", F.lit(1)))
-            first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), *(F.desc(c) for c in order)))
-            old = both.withColumn("_n", first).where("_n = 1").drop("_n", "_new")
+            fresh = updates.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kind))
+            if order:
+                first = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
+                fresh = fresh.withColumn("_n", first).where("_n = 1").drop("_n")
+            old = old.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
         self._write(old, number, now["schema"], now["parts"], touched)
         return touched
 
@@ -142,6 +144,6 @@ def by_key(spark: SparkSession, path: str, keys: list[str], parts: int = 64) ->
     return Stored(spark, path, tuple(keys), f"pmod(xxhash64({', '.join(keys)}), {parts})")
 
 
-def by_day(spark: SparkSession, path: str, keys: list[str], at: str) -> Stored:
-    """A table scanned by date: parts are the days of the timestamp `at`."""
-    return Stored(spark, path, tuple(keys), f"date_format({at}, 'yyyy-MM-dd')")
+def by_day(spark: SparkSession, path: str, keys: list[str], at: str, grain: str = "yyyy-MM-dd") -> Stored:
+    """A table scanned by date: parts are the days of the timestamp `at`, or the months (grain yyyy-MM), where days would be many and small."""
+    return Stored(spark, path, tuple(keys), f"date_format({at}, '{grain}')")
