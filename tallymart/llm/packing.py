@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from itertools import chain, repeat
 
@@ -12,17 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, ranges, strings
+from .token_counts import byte_letters
 
 LENGTH = 2048
 #: Pieces packed together in one task; each such group leaves at most a bin or two underfull.
 GROUP = 40_000
-#: Words, and parts of words, kept with their ids per Python worker.
+#: Parts of words kept with their ids per Python worker.
 REMEMBERED = 1_000_000
+#: Bytes of text that a worker splits at once.
+BLOCK = 4 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: How this tokenizer file splits lower-cased text before it merges.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of these characters only are split here: none of them composes or changes length in lower case.
-SIMPLE = r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+"
+#: The id after each document, 0.
+END = bytes(4)
+WHITE, LETTER, DIGIT, SIGN, OTHER = range(5)
 
 
 class Store:
@@ -43,87 +46,120 @@ class Store:
         self.lengths[n : n + len(lengths)] = lengths
         self.n, self.used = n + len(lengths), at + len(values)
 
-    def get(self, own: np.ndarray) -> np.ndarray:
-        return self.flat[ranges(self.starts[own], self.lengths[own])]
+
+def characters(of: range, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of characters of `size` UTF-8 bytes, by these bytes as one number; all else is OTHER."""
+    kind, lower = np.full(256**size, OTHER, np.uint8), np.arange(256**size, dtype=np.uint16)
+    kinds = {"L": LETTER, "N": DIGIT}
+    for c in map(chr, of):
+        own, low = c.encode(), c.lower().encode()
+        if len(own) == len(low) == size:
+            at = int.from_bytes(own, "big")
+            kind[at], lower[at] = kinds.get(unicodedata.category(low.decode())[0], SIGN), int.from_bytes(low, "big")
+    return kind, lower
+
+
+#: Only these characters are split here: none of them composes or changes length in lower case (U+0130, U+023A, U+023E do).
+KIND, LOWER = characters(range(0x21, 0x7F), 1)
+KIND[list(b" \t\n\v\f\r")] = WHITE
+LOWER = LOWER.astype(np.uint8)
+PAIR_KIND, PAIR_LOWER = characters(range(0xA1, 0x250), 2)
+
+
+def split_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut words into parts as this tokenizer file splits lower-cased text before it merges.
+
+    These are fixed values of the file: 's, 't, 're, 've, 'm, 'll and 'd, else runs of letters, single digits, runs of
+    signs. Words with other characters, or with what may be a special token, stay whole and as they are.
+    `data` begins with white space and ends with two bytes of it. Returns the
+    bytes of all parts one after another, and per part its length there, its place in data, and whether it is such a whole word.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    kind, low = KIND[raw], LOWER[raw]
+    at = np.flatnonzero(raw >= 0x80)
+    pair = raw[at].astype(np.uint16) << 8 | raw[at + 1]
+    known = PAIR_KIND[pair] != OTHER
+    at, pair = at[known], pair[known]
+    kind[at] = kind[at + 1] = PAIR_KIND[pair]
+    low[at], low[at + 1] = PAIR_LOWER[pair] >> 8, PAIR_LOWER[pair] & 255
+
+    start = kind == DIGIT
+    start[at + 1] = False
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    quote = np.flatnonzero(raw == ord("'"))
+    quote = quote[kind[quote - 1] != SIGN]
+    one, two = low[quote + 1], low[quote + 2]
+    size = np.isin(one, list(b"stmd")) + 2 * (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    quote, size = quote[size > 0], size[size > 0]
+    start[quote + 1] = False
+    start[quote + 1 + size] = True
+
+    white, odd = kind == WHITE, kind == OTHER
+    bar = np.flatnonzero(raw == ord("|"))
+    odd[bar[raw[bar - 1] == ord("<")]] = True
+    if odd.any():
+        first, last = np.flatnonzero(white[:-1] & ~white[1:]) + 1, np.flatnonzero(~white[:-1] & white[1:]) + 1
+        whole = np.logical_or.reduceat(odd, first)
+        inside = ranges(first[whole], (last - first)[whole])
+        start[inside], kind[inside], low[inside] = False, OTHER, raw[inside]
+        start[first[whole]] = True
+    place = np.flatnonzero(start)
+    lengths, own = np.diff(place, append=len(raw)), kind[place]
+    part = own != WHITE
+    return low[~white], lengths[part], place[part], own[part] == OTHER
 
 
 class WordIds:
-    """Token ids of white-space-separated words.
+    """Token ids of texts.
 
     The tokenizer never joins anything over white space, nor over the parts
     (letters, digits, signs) that it splits a word into, so ids of a text are
-    those of its words' parts one after another. Each part is encoded once, many together;
-    words of rarer scripts go through the tokenizer whole. When too many words
-    are known, the half that came least often is forgotten.
+    those of its words' parts one after another. Each different part of a block of texts is looked up, and
+    encoded once while it is remembered; words of rarer scripts go through the tokenizer whole. When too many parts
+    are known, all are forgotten.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.simple = regex.compile(PARTS), regex.compile(SIMPLE)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.word_ids = {b"\n": 0}, Store()  # a document's end, id 0
-        self.word_ids.add(np.zeros(1, np.uint32), np.ones(1, np.int64))
-        self.part, self.part_ids = {}, Store()
-        self.met = np.zeros(1 << 16, np.int64)
-
-    def add_parts(self, parts: list[str]) -> None:
-        for first in range(0, len(parts), 2000):
-            coded = self.tokenizer.encode_batch_fast([" ".join(parts[first : first + 2000])], add_special_tokens=False)[0]
-            ids = np.array(coded.ids, np.uint32)
-            self.part_ids.add(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
-        self.part.update(zip(parts, range(len(self.part), len(self.part) + len(parts))))
-
-    def add(self, words: list[bytes]) -> None:
-        texts = [w.decode(errors="replace") for w in words]
-        findall, simple = self.parts.findall, self.simple.fullmatch
-        split = [[t.lower()] if t.isascii() and t.isalpha() else findall(t.lower()) if simple(t) and "<|" not in t else None for t in texts]
-        plain = [x is not None for x in split]
-        flat = list(chain.from_iterable(x or () for x in split))
-        new = set(flat).difference(self.part)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items() if b != ord(" ")}
+        self.part, self.ids = {}, Store()
+
+    def add(self, plain: list[bytes], whole: list[bytes]) -> None:
+        letters = b" ".join(plain).decode("latin-1").translate(self.letters)
+        coded = [[t.id for t in self.model.tokenize(p)] for p in letters.split(" ")] if plain else []
+        coded += [c.ids for c in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in whole], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.part.update(zip(chain(plain, whole), range(self.ids.n, self.ids.n + len(coded))))
+        self.ids.add(np.fromiter(chain.from_iterable(coded), np.uint32, lengths.sum()), lengths)
+
+    def numbers(self, parts: list[bytes], odd: np.ndarray) -> np.ndarray:
+        """Where the ids of these different parts are kept."""
+        own = np.fromiter(map(self.part.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(own < 0)
         if len(self.part) + len(new) > REMEMBERED:
-            self.part, self.part_ids = {}, Store()
-            new = set(flat)
-        if new:
-            self.add_parts(list(new))
-        own = np.fromiter(map(self.part.__getitem__, flat), np.int64, len(flat))
-        word = np.repeat(np.arange(len(words)), [len(x or ()) for x in split])
-        lengths = np.bincount(word, self.part_ids.lengths[own], len(words)).astype(np.int64)
-        values = self.part_ids.get(own)
-        if not all(plain):
-            runs = np.split(values, np.cumsum(lengths)[:-1])
-            runs = [r if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for r, p, t in zip(runs, plain, texts)]
-            values, lengths = np.concatenate(runs), np.array([len(r) for r in runs], np.int64)
-        self.words.update(zip(words, range(self.word_ids.n, self.word_ids.n + len(words))))
-        self.word_ids.add(values, lengths)
-
-    def forget(self) -> None:
-        names = list(self.words)
-        keep = np.sort(np.argsort(-self.met[1 : len(names)], kind="stable")[: len(names) // 2] + 1)
-        keep = np.r_[0, keep]
-        old, self.word_ids = self.word_ids, Store()
-        self.word_ids.add(old.get(keep), old.lengths[keep])
-        self.words = {names[k]: n for n, k in enumerate(keep)}
-        self.met[:] = 0
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many of them each word has."""
-        if len(self.words) > REMEMBERED:
-            self.forget()
-        own = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(own < 0).tolist()
-        if unknown:
-            missing = [words[i] for i in unknown]
-            self.add(list(set(missing)))
-            own[unknown] = [self.words[w] for w in missing]
-        while len(self.met) < len(self.words):
-            self.met = np.r_[self.met, self.met * 0]
-        self.met += np.bincount(own, minlength=len(self.met))
-        return self.word_ids.get(own), self.word_ids.lengths[own]
+            self.part, self.ids = {}, Store()
+            new = np.arange(len(parts))
+        self.add([parts[i] for i in new[~odd[new]].tolist()], [parts[i] for i in new[odd[new]].tolist()])
+        own[new] = [self.part[parts[i]] for i in new.tolist()]
+        return own
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many of them each text has."""
+        flat, sizes, place, odd = split_words(b" " + b"\n".join(texts) + b"  ")
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        whole = np.zeros(len(coded.dictionary), bool)
+        whole[codes] = odd
+        own = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), whole)
+        starts, lengths = self.ids.starts[own][codes], self.ids.lengths[own][codes]
+        before = np.r_[0, np.cumsum(lengths)]
+        return self.ids.flat[ranges(starts, lengths)], np.diff(before[np.searchsorted(place, ends)], prepend=0)
 
 
 _coders: dict[str, WordIds] = {}
@@ -138,20 +174,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataF
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = _coders.setdefault(tokenizer, None) or WordIds(tokenizer)
         _coders[tokenizer] = coder
-        for block in blocks(batches, 1 << 20):
-            words, counts = [], []
-            for text in strings(block.column("text")):
-                own = (text or b"").split()
-                words += own
-                words.append(b"\n")
-                counts.append(len(own) + 1)
-            ids, lengths = coder.encode(words)
-            ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
+        for block in blocks(batches, BLOCK):
+            ids, lengths = coder.encode([text or b"" for text in strings(block.column("text"))])
+            ends = np.cumsum(lengths)
             rows = [[], [], [], [], []]
-            for doc, low, high in zip(block.column("doc_id").to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+            for doc, low, high in zip(block.column("doc_id").to_pylist(), (ends - lengths).tolist(), (ends + 1).tolist()):
                 for n, at in enumerate(range(low, high, length)):
                     end = min(at + length, high)
-                    for column, value in zip(rows, (doc, n, at - low, end - at, zlib.crc32(ids[at:end]))):
+                    crc = zlib.crc32(ids[at:end]) if end < high else zlib.crc32(END, zlib.crc32(ids[at : end - 1]))
+                    for column, value in zip(rows, (doc, n, at - low, end - at, crc)):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

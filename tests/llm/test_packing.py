@@ -76,3 +76,43 @@ def test_words_are_encoded_as_the_tokenizer_encodes_whole_texts(monkeypatch):
         common = ["the", "It's", "we'LL", "don't.", "1234", "(a|b)", "''s"]
         text = " ".join(r.choice(common) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(20))
         assert coder.encode(text.encode().split())[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_block_looks_up_its_different_parts_not_its_words():
+    from tallymart.llm import packing
+
+    seen = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            seen.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            seen.append(key)
+            return super().__getitem__(key)
+
+    tokenizer, coder = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    for name, value in list(vars(coder).items()):
+        if isinstance(value, dict):
+            setattr(coder, name, Counted(value))
+    words = [f"{a}{b}" for a in ("the", "Cat's", "dog") for b in ("", ".", ",", "!", "?", ";", ":", ")")] * 50
+    ids = coder.encode([w.encode() for w in words])[0]
+    assert ids.tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert len([s for s in seen if isinstance(s, bytes)]) <= 2 * 11  # the, cat, 's, dog and seven signs
+
+
+def test_whole_texts_are_encoded_as_the_tokenizer_encodes_them():
+    import random
+
+    from tallymart.llm import packing
+
+    r = random.Random(4)
+    tokenizer, coder = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    some = [*map(chr, range(128)), *map(chr, range(0x80, 0x260)), *"''' \n\tsrtvelmdSRTVELMD01" * 4, "<|", "<|endoftext|>", "́", "漢", "🙂", " ", "　", "²", "½", "Ⱥ"]
+    for _ in range(300):
+        texts = ["".join(r.choice(some) for _ in range(r.randint(0, 40))) for _ in range(3)]
+        ids, lengths = coder.encode([t.encode() for t in texts])
+        expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(expected, []) and lengths.tolist() == [len(e) for e in expected]
+    assert [x.tolist() for x in coder.encode([b"", b" \n"])] == [[], [0, 0]]
