@@ -52,7 +52,7 @@ WATCH = f"""wt AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_part
 
 def watches(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(line_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("target_price_cny"), F.col("o_orderdate").alias("created_at"), F.when(F.col("l_orderkey") % 3 == 0, now() - F.expr("INTERVAL 2 HOURS")).alias("last_alerted_at"))
+    return lines.select(line_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("product_id"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("target_price_cny"), F.col("o_orderdate").alias("created_at"), F.when(F.col("l_orderkey") % 3 == 0, now() - F.expr("INTERVAL 2 HOURS")).alias("last_alerted_at"), F.col("l_linenumber").alias("line"))
 
 
 ALERTS = PRICED + f", {WATCH}, h AS (SELECT wt.*, CAST(price_cny AS DOUBLE) AS price FROM wt JOIN pr USING (product_id) WHERE last_alerted_at IS NULL AND price_cny <= target_price_cny), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS position FROM h)"
@@ -82,7 +82,7 @@ def j6_list_watches(spark, sf_dir):
 
 @query(f"WITH {WATCH}, s AS (SELECT user_id, product_id, max(created_at) AS created_at, bool_or(l_linenumber > 4) AS updated FROM wt GROUP BY ALL), g AS (SELECT user_id, product_id, updated, CASE WHEN updated THEN (SELECT max(created_at) FROM wt w WHERE w.user_id = s.user_id AND w.product_id = s.product_id AND l_linenumber > 4) ELSE created_at END AS created_at FROM s) SELECT user_id, product_id, created_at FROM g WHERE product_id % 10 > 0")
 def j5_upsert_watches(spark, sf_dir):
-    rows = watches(spark, sf_dir).withColumn("updated", F.floor(F.col("id") / 1_000_000_000) % 10 > 4)
+    rows = watches(spark, sf_dir).withColumn("updated", F.col("line") > 4)  # not by the digits of id, into which large product ids carry
     old = lc.latest_by_key(rows.where("not updated").drop("updated"), ["user_id", "product_id"], ["created_at", "id"])
     out = lc.upsert_watches(old, rows.where("updated").drop("updated"))
     gone = rows.where("product_id % 10 = 0").select("user_id", "product_id").distinct()
