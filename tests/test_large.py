@@ -39,3 +39,10 @@ def test_watches_are_updated_by_line_whatever_the_size_of_ids(differs):
     lines = [(10_000_000 + i % 7, 1_200_001 + i % 3, 5, 1 + i % 7, 2.0, 50.0) for i in range(60)]
     orders = [(10_000_000 + i, 1, DAY + timedelta(days=11 * i % 17)) for i in range(7)]
     assert not differs("j5_upsert_watches", lineitem=(LINES, lines), orders=(ORDERS, orders))
+
+
+@pytest.mark.parametrize("name", ["k4_request_metrics"])
+def test_percentiles_of_a_full_window_are_exact(differs, name):
+    """More requests in a window, all of other latencies, than a sketch keeps."""
+    events = [(i, DAY + timedelta(milliseconds=50 * i), "view" if i % 3 else "click", float(i * 7919 % 60_013)) for i in range(60_000)]
+    assert not differs(name, events=("event_id long, ts timestamp_ntz, event_type string, value double", events))
