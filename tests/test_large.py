@@ -41,7 +41,7 @@ def test_watches_are_updated_by_line_whatever_the_size_of_ids(differs):
     assert not differs("j5_upsert_watches", lineitem=(LINES, lines), orders=(ORDERS, orders))
 
 
-@pytest.mark.parametrize("name", ["k4_request_metrics"])
+@pytest.mark.parametrize("name", ["k4_request_metrics", "k4_sliding_metrics"])
 def test_percentiles_of_a_full_window_are_exact(differs, name):
     """More requests in a window, all of other latencies, than a sketch keeps."""
     events = [(i, DAY + timedelta(milliseconds=50 * i), "view" if i % 3 else "click", float(i * 7919 % 60_013)) for i in range(60_000)]
