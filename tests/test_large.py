@@ -46,3 +46,28 @@ def test_percentiles_of_a_full_window_are_exact(differs, name):
     """More requests in a window, all of other latencies, than a sketch keeps."""
     events = [(i, DAY + timedelta(milliseconds=50 * i), "view" if i % 3 else "click", float(i * 7919 % 60_013)) for i in range(60_000)]
     assert not differs(name, events=("event_id long, ts timestamp_ntz, event_type string, value double", events))
+
+
+def test_products_meet_requests_and_not_queries(spark):
+    """Many queries that name the same entities: no join of the fallback has a row per query and product."""
+    from tallymart.operators.search import catalog_fallback
+
+    catalog = spark.range(3000).selectExpr("id AS product_id", "concat('a ring ', id % 3) AS title", "concat('Brand#', id % 4) AS brand", "concat('s', id % 5) AS sub_category")
+    entities = spark.range(1000).selectExpr("id AS query_id", "'ring' AS entity", "'title' AS kind", "CASE id % 3 WHEN 0 THEN array('s3') WHEN 1 THEN array('s2', 's9') END AS prefer")
+    for keep in (None, lambda rows: rows.where("product_id > 9")):
+        got = catalog_fallback(entities.withColumn("same", F.col("query_id") % 3), catalog, keep, "same")
+        got.write.format("noop").mode("overwrite").save()
+        first = {0: 13, 1: 12, 2: 10} if keep else {0: 3, 1: 2, 2: 0}
+        rows = got.collect()
+        assert len(rows) == 1000 and all(r.product_id == first[r.query_id % 3] and r.title == f"a ring {r.product_id % 3}" for r in rows)
+        most, plan = 0, [got._jdf.queryExecution().executedPlan()]
+        while plan:
+            node = plan.pop()
+            if node.nodeName().startswith("AdaptiveSparkPlan"):
+                plan.append(node.executedPlan())
+            if node.nodeName().endswith("QueryStage"):
+                plan.append(node.plan())
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+        assert 1000 <= most < 20_000
