@@ -71,3 +71,20 @@ def test_products_meet_requests_and_not_queries(spark):
                 most = max(most, node.metrics().apply("numOutputRows").value())
             plan += [node.children().apply(i) for i in range(node.children().size())]
         assert 1000 <= most < 20_000
+
+
+def test_equal_searches_are_answered_once(spark):
+    """Texts that differ by a word that no product has share one scoring; other filters do not."""
+    from tallymart.operators.search import search
+
+    catalog = spark.createDataFrame([(i, f"red ring {i % 2}", f"B{i % 3}", "c", "s", "d", 10.0 * i, 10.0 * i, "CNY", "CN") for i in range(1, 9)] + [(i, f"bolt w{i}", "B9", "c", "s", "d", 10.0, 10.0, "CNY", "CN") for i in range(9, 40)], "product_id long, title string, brand string, category string, sub_category string, description string, base_price double, price_cny double, currency string, origin string")
+    texts = ["red ring", "red ring zzz", "ring red", "red ring under 30", "red ring under 30 please"]
+    queries = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "query_id long, user_id long, text string")
+    seen = []
+    got = search(queries, catalog, keep=lambda df: seen.append(df) or df)
+    rows = {i: [] for i in range(5)}
+    for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
+        rows[r.query_id].append(r.product_id)
+    assert rows[0] == rows[1] == rows[2] and rows[3] == rows[4] and rows[0] != rows[3] and set(rows[3]) <= {1, 2, 3} and len(rows[0]) == 5, rows
+    shared = next(df for df in seen if df.columns == ["vid", "asks"])
+    assert shared.count() == 5 and shared.select("asks").distinct().count() == 2
